@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from wastelake.functions import geo as G
 
 CELL_DEGREES = 0.01
-LEAF_METRES = 62.5
-FAN_OUT = 8
-LEVELS = 6  # 62.5 m up to 2,048 km: at most 12 x 10 top cells on the globe
+LEAF_METRES = 7.8125
+SEED_LEVEL = 2  # 125 m
+TOP_LEVEL = 11  # 32,768 km: its 3 x 3 cells cover the globe
 SALT = 8
-SLACK_METRES = 1e-6  # keeps exact ties through rounding of the bounds
+SLACK = 1e-6
 
 
 def with_envelope(polygons: DataFrame) -> DataFrame:
@@ -80,29 +80,26 @@ def intersecting(polygons: DataFrame, bbox) -> DataFrame:
 
 # --- nearest point -----------------------------------------------------------
 
-def _box_distance(x: Column, y: Column, c: Column) -> Column:
-    dx = F.greatest(c["x0"] - x, x - c["x1"], F.lit(0.0))
-    dy = F.greatest(c["y0"] - y, y - c["y1"], F.lit(0.0))
-    return G.hypot(dx, dy)
+def _near2(x: Column, y: Column) -> Column:
+    """Squared distance to the nearest edge of a cell's tight box (0 inside)."""
+    dx = F.greatest(F.col("x0") - x, x - F.col("x1"), F.lit(0.0))
+    dy = F.greatest(F.col("y0") - y, y - F.col("y1"), F.lit(0.0))
+    return dx * dx + dy * dy
 
 
-def _cells(points: DataFrame) -> list[DataFrame]:
-    """Grid pyramid: per level the tight box of the points in each cell and one witness point."""
-    agg = [
-        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
-        F.min_by(F.struct("wx", "wy"), "wid").alias("w"), F.min("wid").alias("wid"),
-    ]
-    x, y = F.col("x"), F.col("y")
-    leaf = points.select(
-        "kind", F.floor(x / LEAF_METRES).alias("cx"), F.floor(y / LEAF_METRES).alias("cy"),
-        x.alias("x0"), x.alias("x1"), y.alias("y0"), y.alias("y1"), x.alias("wx"), y.alias("wy"), F.col("point_id").alias("wid"),
-    )
-    flat = lambda df: df.select("kind", "cx", "cy", "x0", "x1", "y0", "y1", F.col("w.wx").alias("wx"), F.col("w.wy").alias("wy"), "wid")
-    levels = [flat(leaf.groupBy("kind", "cx", "cy").agg(*agg))]
-    for _ in range(LEVELS - 1):
-        up = levels[-1].withColumns({"cx": F.floor(F.col("cx") / FAN_OUT), "cy": F.floor(F.col("cy") / FAN_OUT)})
-        levels.append(flat(up.groupBy("kind", "cx", "cy").agg(*agg)))
-    return levels
+def _far2(x: Column, y: Column) -> Column:
+    """Squared distance to the farthest corner: some point of the cell is not farther."""
+    dx = F.greatest(F.col("x1") - x, x - F.col("x0"))
+    dy = F.greatest(F.col("y1") - y, y - F.col("y0"))
+    return dx * dx + dy * dy
+
+
+def _size(level: Column) -> Column:
+    return F.lit(LEAF_METRES) * F.pow(F.lit(4.0), level)
+
+
+def _grid(v: Column, level: Column) -> Column:
+    return F.floor(v / _size(level))
 
 
 def nearest_point(sources: DataFrame, points: DataFrame) -> DataFrame:
@@ -110,45 +107,67 @@ def nearest_point(sources: DataFrame, points: DataFrame) -> DataFrame:
 
     sources: source_id, kind, x, y; points: point_id, kind, x, y (metres).
 
-    Walks a grid pyramid from 2,048 km cells down to 62.5 m cells. At each level a source
-    keeps only the cells whose nearest edge is not farther than the best witness point seen,
-    so a crowded cell is opened only by sources that really need it, and no level compares
-    all sources with all points.
+    A grid pyramid (7.8 m cells, each level four times coarser) holds the tight box of the
+    points in every occupied cell. Its 3 x 3 cells around a source on every level give a first
+    guaranteed distance; only the cells within that distance, on the level that fits it, are
+    opened, refined sixteenfold with a better bound, and finally compared point by point. All
+    steps are equi joins on cells, so no source meets all points.
     """
-    levels = _cells(points)
-    struct = F.struct("cx", "cy", "x0", "x1", "y0", "y1", "wx", "wy")
-    x, y = F.col("x"), F.col("y")
-    reach = lambda c: G.hypot(c["wx"] - x, c["wy"] - y)
-    # The top level has at most 120 cells per kind, so it fits one array per kind.
-    top = levels[-1].groupBy("kind").agg(F.collect_list(struct).alias("children"))
-    state = sources.select("source_id", "kind", "x", "y", F.lit(float("inf")).alias("best")).join(top, "kind")
-    for level in range(LEVELS - 1, -1, -1):
-        # the bound of the parent travels with each open cell, so no level regroups by source
-        opened = state.withColumn("best", F.least("best", F.array_min(F.transform("children", reach))))
-        near = F.filter("children", lambda c: _box_distance(x, y, c) <= F.col("best") + SLACK_METRES)
-        cells = opened.select("source_id", "kind", "x", "y", "best", F.explode(near).alias("c")).select(
-            "source_id", "kind", "x", "y", "best", F.col("c.cx").alias("pcx"), F.col("c.cy").alias("pcy")
-        )
-        if level > 0:
-            children = (
-                levels[level - 1]
-                .withColumns({"pcx": F.floor(F.col("cx") / FAN_OUT), "pcy": F.floor(F.col("cy") / FAN_OUT)})
-                .groupBy("kind", "pcx", "pcy")
-                .agg(F.collect_list(struct).alias("children"))  # at most 64 children per cell
-            )
-            state = cells.join(children, ["kind", "pcx", "pcy"])
-    leaf_points = points.select(
-        "kind", "point_id", F.col("x").alias("qx"), F.col("y").alias("qy"),
-        F.floor(F.col("x") / LEAF_METRES).alias("pcx"), F.floor(F.col("y") / LEAF_METRES).alias("pcy"),
-    )
-    dist = G.hypot(F.col("qx") - x, F.col("qy") - y)
-    joined = (
-        cells.join(leaf_points, ["kind", "pcx", "pcy"])
-        .withColumn("distance_m", dist)
-        .where(F.col("distance_m") <= F.col("best") + SLACK_METRES)
-    )
-    winner = joined.groupBy("source_id", "kind").agg(F.min(F.struct("distance_m", "point_id")).alias("m"))
-    return winner.select("source_id", "kind", "m.point_id", "m.distance_m")
+    x, y, lvl = F.col("x"), F.col("y"), F.col("level")
+    limit = F.col("best2") * (1 + 1e-12) + SLACK  # keeps exact ties through rounding
+    leveled = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TOP_LEVEL)))).withColumns(
+        {"cx": _grid(x, lvl), "cy": _grid(y, lvl)}
+    )
+    cells = leveled.groupBy("kind", "level", "cx", "cy").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+    )
+    key = ["kind", "level", "cx", "cy"]
+    ring = lambda c: F.explode(F.sequence(c - 1, c + 1))
+    src = sources.select("source_id", "kind", "x", "y")
+    seeds = (
+        src.withColumn("level", F.explode(F.sequence(F.lit(SEED_LEVEL), F.lit(TOP_LEVEL))))
+        .withColumn("cx", ring(_grid(x, lvl)))
+        .withColumn("cy", ring(_grid(y, lvl)))
+        .join(cells, key)
+        .groupBy("source_id", "kind")
+        .agg(F.min(_far2(x, y)).alias("best2"), F.first("x").alias("x"), F.first("y").alias("y"))
+    )
+    radius = F.sqrt(F.col("best2")) + SLACK
+    fit = F.ceil(F.log(4.0, F.greatest(radius / (2 * LEAF_METRES), F.lit(1.0)))).cast("int")
+    span = lambda v: F.explode(F.sequence(_grid(v - radius, lvl), _grid(v + radius, lvl)))
+    best_of_source = F.min(_far2(x, y)).over(W.partitionBy("source_id", "kind"))
+
+    def tighten(rows: DataFrame) -> DataFrame:
+        """Drop far cells, share the best bound among the few open cells of a source, drop again."""
+        near = rows.where(_near2(x, y) <= limit)
+        return near.withColumn("best2", F.least("best2", best_of_source)).where(_near2(x, y) <= limit)
+
+    opened = tighten(
+        seeds.withColumn("level", F.least(fit, F.lit(TOP_LEVEL)))
+        .withColumn("cx", span(x))
+        .withColumn("cy", span(y))
+        .join(cells, key)
+    ).select("source_id", "x", "y", "best2", *key)
+    # two levels down: sixteen times finer cells, or the leaf level when it is nearer
+    fine = F.greatest(lvl - 2, F.lit(0))
+    parents = cells.select(
+        "kind", F.col("level").alias("fine"), F.col("cx").alias("fx"), F.col("cy").alias("fy"), "x0", "x1", "y0", "y1",
+        F.explode(F.when(lvl == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(lvl + 2))).alias("level"),
+    ).withColumns(
+        {"cx": F.floor(F.col("fx") / F.pow(F.lit(4.0), lvl - F.col("fine"))), "cy": F.floor(F.col("fy") / F.pow(F.lit(4.0), lvl - F.col("fine")))}
+    )
+    refined = tighten(opened.withColumn("fine", fine).join(parents, ["kind", "level", "fine", "cx", "cy"])).select(
+        "source_id", "kind", "x", "y", "best2", F.col("fine").alias("level"), F.col("fx").alias("cx"), F.col("fy").alias("cy")
+    )
+    spots = leveled.select(*key, "point_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    dx, dy = F.col("qx") - x, F.col("qy") - y
+    compared = refined.join(spots, key).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= limit)
+    # two plain minima instead of a minimum over structs, which would need a sorted aggregate
+    least = compared.groupBy("source_id", "kind", "point_id").agg(F.min(F.sqrt("d2")).alias("distance_m"))
+    w = W.partitionBy("source_id", "kind").orderBy("distance_m", "point_id")
+    return (
+        least.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).select("source_id", "kind", "point_id", "distance_m")
+    )
 
 
 # --- tiles -------------------------------------------------------------------
