@@ -11,6 +11,7 @@ from wastelake.catalog.geography import EDGES
 from wastelake.catalog.views import LON_SCALE
 from wastelake.functions import bands as B
 from wastelake.operators import adequacy as O, allocation as AL
+from wastelake.plans.jobs import allocate
 from wastelake.sources import tables as S
 
 BOOK = Book()
@@ -55,9 +56,8 @@ def cells(spark, sf):
 
 def base(spark, sf):
     c, b = cells(spark, sf), S.bins(spark, sf)
-    p0 = AL.collection_points(b)
-    srv = AL.serving_points(c, p0)
-    return c, b, srv, AL.point_residents(p0, srv)
+    c, srv, pts = allocate(c, b)
+    return c, b, srv, pts
 
 
 def grid(spark, sf):

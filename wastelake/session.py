@@ -44,9 +44,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, for a frame several branches read."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage through a written table in the shared folder.
+
+    For a frame several branches read: it is computed once, survives a lost executor, and the
+    readers plan with its real size.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
