@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wastelake.functions import geo as G
+from wastelake.session import spread
 
 CELL_DEGREES = 0.01
 LEAF_METRES = 7.8125
-SEED_LEVEL = 2  # 125 m
+SEED_LEVEL = 1  # 31 m
 TOP_LEVEL = 11  # 32,768 km: its 3 x 3 cells cover the globe
 SALT = 8
 SLACK = 1e-6
@@ -61,7 +62,7 @@ def membership(points: DataFrame, polygons: DataFrame, boundary: bool = False, s
     same_cell = (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & (F.col("psalt") == F.col("salt"))
     in_box = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
     exact = test(F.col("lon"), F.col("lat"), F.col("rings"))
-    joined = keyed.join(cover, same_cell & in_box & exact, "left")
+    joined = spread(keyed, "px", "py", "psalt").join(cover, same_cell & in_box & exact, "left")
     return joined.groupBy("id").agg(
         F.min("polygon_id").alias("polygon_id"), F.count("polygon_id").alias("matches")
     )
@@ -74,8 +75,9 @@ def intersecting(polygons: DataFrame, bbox) -> DataFrame:
     near = boxed.where(
         (F.col("min_lon") <= east) & (F.col("max_lon") >= west) & (F.col("min_lat") <= north) & (F.col("max_lat") >= south)
     )
-    valid = polygon_problems(near).where(F.col("problem").isNull())
-    return valid.where(G.intersects_bbox(F.col("rings"), bbox)).drop("problem", "min_lon", "min_lat", "max_lon", "max_lat")
+    met = near.where(G.intersects_bbox(F.col("rings"), bbox))
+    valid = polygon_problems(met).where(F.col("problem").isNull())
+    return valid.drop("problem", "min_lon", "min_lat", "max_lon", "max_lat")
 
 
 # --- nearest point -----------------------------------------------------------
@@ -108,10 +110,10 @@ def nearest_point(sources: DataFrame, points: DataFrame) -> DataFrame:
     sources: source_id, kind, x, y; points: point_id, kind, x, y (metres).
 
     A grid pyramid (7.8 m cells, each level four times coarser) holds the tight box of the
-    points in every occupied cell. Its 3 x 3 cells around a source on every level give a first
-    guaranteed distance; only the cells within that distance, on the level that fits it, are
-    opened, refined sixteenfold with a better bound, and finally compared point by point. All
-    steps are equi joins on cells, so no source meets all points.
+    points in every occupied cell. The occupied cells a source lies in give a first guaranteed
+    distance. Only cells within that distance are opened, on the level that fits it, and refined
+    sixteenfold twice with an ever better bound before points are compared. All steps are equi
+    joins on cells, so no source meets all points, and a crowded cell is opened in fine pieces.
     """
     x, y, lvl = F.col("x"), F.col("y"), F.col("level")
     limit = F.col("best2") * (1 + 1e-12) + SLACK  # keeps exact ties through rounding
@@ -122,12 +124,14 @@ def nearest_point(sources: DataFrame, points: DataFrame) -> DataFrame:
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     )
     key = ["kind", "level", "cx", "cy"]
-    ring = lambda c: F.explode(F.sequence(c - 1, c + 1))
-    src = sources.select("source_id", "kind", "x", "y")
+    src = spread(sources.select("source_id", "kind", "x", "y"), "source_id", "kind")
+    # on the top level a cell is a quadrant of the globe; its neighbours make sure a bound exists
+    around = F.when(lvl == TOP_LEVEL, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     seeds = (
         src.withColumn("level", F.explode(F.sequence(F.lit(SEED_LEVEL), F.lit(TOP_LEVEL))))
-        .withColumn("cx", ring(_grid(x, lvl)))
-        .withColumn("cy", ring(_grid(y, lvl)))
+        .withColumn("dx", F.explode(around))
+        .withColumn("dy", F.explode(around))
+        .withColumns({"cx": _grid(x, lvl) + F.col("dx"), "cy": _grid(y, lvl) + F.col("dy")})
         .join(cells, key)
         .groupBy("source_id", "kind")
         .agg(F.min(_far2(x, y)).alias("best2"), F.first("x").alias("x"), F.first("y").alias("y"))
@@ -135,39 +139,25 @@ def nearest_point(sources: DataFrame, points: DataFrame) -> DataFrame:
     radius = F.sqrt(F.col("best2")) + SLACK
     fit = F.ceil(F.log(4.0, F.greatest(radius / (2 * LEAF_METRES), F.lit(1.0)))).cast("int")
     span = lambda v: F.explode(F.sequence(_grid(v - radius, lvl), _grid(v + radius, lvl)))
-    best_of_source = F.min(_far2(x, y)).over(W.partitionBy("source_id", "kind"))
-
-    def tighten(rows: DataFrame) -> DataFrame:
-        """Drop far cells, share the best bound among the few open cells of a source, drop again."""
-        near = rows.where(_near2(x, y) <= limit)
-        return near.withColumn("best2", F.least("best2", best_of_source)).where(_near2(x, y) <= limit)
-
-    opened = tighten(
-        seeds.withColumn("level", F.least(fit, F.lit(TOP_LEVEL)))
-        .withColumn("cx", span(x))
-        .withColumn("cy", span(y))
-        .join(cells, key)
-    ).select("source_id", "x", "y", "best2", *key)
-    # two levels down: sixteen times finer cells, or the leaf level when it is nearer
-    fine = F.greatest(lvl - 2, F.lit(0))
-    parents = cells.select(
-        "kind", F.col("level").alias("fine"), F.col("cx").alias("fx"), F.col("cy").alias("fy"), "x0", "x1", "y0", "y1",
-        F.explode(F.when(lvl == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(lvl + 2))).alias("level"),
-    ).withColumns(
-        {"cx": F.floor(F.col("fx") / F.pow(F.lit(4.0), lvl - F.col("fine"))), "cy": F.floor(F.col("fy") / F.pow(F.lit(4.0), lvl - F.col("fine")))}
-    )
-    refined = tighten(opened.withColumn("fine", fine).join(parents, ["kind", "level", "fine", "cx", "cy"])).select(
-        "source_id", "kind", "x", "y", "best2", F.col("fine").alias("level"), F.col("fx").alias("cx"), F.col("fy").alias("cy")
-    )
+    state = seeds.withColumn("level", F.least(fit, F.lit(TOP_LEVEL))).withColumn("cx", span(x)).withColumn("cy", span(y))
+    # every occupied cell under the cell two levels up (or fewer, at the leaf)
+    up = F.pow(F.lit(4.0), F.col("step"))
+    children = (
+        cells.withColumn("step", F.explode(F.when(lvl == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))))
+        .select("kind", (lvl + F.col("step")).alias("level"), F.floor(F.col("cx") / up).alias("cx"), F.floor(F.col("cy") / up).alias("cy"), lvl.alias("fine"), F.col("cx").alias("fx"), F.col("cy").alias("fy"), "x0", "x1", "y0", "y1")
+    )
+    for _ in range(2):
+        near = state.select("source_id", "x", "y", "best2", *key).join(children, key).withColumn("near2", _near2(x, y)).where(F.col("near2") <= limit)
+        shared = F.min(F.least("best2", _far2(x, y))).over(W.partitionBy("source_id", "kind"))
+        state = near.withColumn("best2", shared).where(F.col("near2") <= limit).select(
+            "source_id", "kind", "x", "y", "best2", F.col("fine").alias("level"), F.col("fx").alias("cx"), F.col("fy").alias("cy")
+        )
     spots = leveled.select(*key, "point_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
     dx, dy = F.col("qx") - x, F.col("qy") - y
-    compared = refined.join(spots, key).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= limit)
-    # two plain minima instead of a minimum over structs, which would need a sorted aggregate
-    least = compared.groupBy("source_id", "kind", "point_id").agg(F.min(F.sqrt("d2")).alias("distance_m"))
-    w = W.partitionBy("source_id", "kind").orderBy("distance_m", "point_id")
-    return (
-        least.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).select("source_id", "kind", "point_id", "distance_m")
-    )
+    compared = state.join(spots, key).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= limit)
+    w = W.partitionBy("source_id", "kind").orderBy("d2", "point_id")
+    best = compared.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1)
+    return best.select("source_id", "kind", "point_id", F.sqrt("d2").alias("distance_m"))
 
 
 # --- tiles -------------------------------------------------------------------

@@ -19,6 +19,7 @@ def local_session(cores: str = "8", name: str = "wastelake") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -53,3 +54,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash the rows over all shuffle partitions before a step that is heavy per row.
+
+    The explicit number keeps adaptive execution from folding few bytes but much work into one
+    task, and later joins, windows and groupings on the same columns reuse the partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
