@@ -11,7 +11,7 @@ CELL_DEGREES = 0.01
 LEAF_METRES = 7.8125
 SEED_LEVEL = 1  # 31 m
 TOP_LEVEL = 11  # 32,768 km: its 3 x 3 cells cover the globe
-SALT = 8
+HOT_CELL = 50_000  # points of one grid cell that one task may compare
 SLACK = 1e-6
 
 
@@ -32,40 +32,37 @@ def polygon_problems(polygons: DataFrame) -> DataFrame:
 
 
 def _cover(polygons: DataFrame, step: float) -> DataFrame:
-    """Polygon copies, one per grid cell their envelope touches and per salt value."""
+    """Polygon copies, one per grid cell their envelope touches."""
     span = lambda low, high: F.sequence(F.floor(low / step), F.floor(high / step))
     boxed = with_envelope(polygons)
-    return (
-        boxed.withColumn("cx", F.explode(span(F.col("min_lon"), F.col("max_lon"))))
-        .withColumn("cy", F.explode(span(F.col("min_lat"), F.col("max_lat"))))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return boxed.withColumn("px", F.explode(span(F.col("min_lon"), F.col("max_lon")))).withColumn(
+        "py", F.explode(span(F.col("min_lat"), F.col("max_lat")))
     )
 
 
 def membership(points: DataFrame, polygons: DataFrame, boundary: bool = False, step: float = CELL_DEGREES) -> DataFrame:
     """Per point id: the lowest containing polygon id (or NULL) and the number of matches.
 
-    Points and polygons meet on (grid cell, salt): a crowded cell is spread over several
-    tasks, and the polygon side pays with a fixed number of copies. `boundary` switches from
-    the half-open ray cast to the boundary-inclusive cover.
+    Points and polygons meet on (grid cell, piece). Points are counted per cell first: a cell
+    with more than HOT_CELL points is cut into pieces and only its polygons are copied, once per
+    piece; polygons over cells without points drop out. `boundary` switches from the half-open
+    ray cast to the boundary-inclusive cover.
     """
-    cover = _cover(polygons.select(F.col("id").alias("polygon_id"), "rings"), step)
+    cell = ["px", "py"]
     keyed = points.select(
-        "id",
-        F.col("longitude").alias("lon"),
-        F.col("latitude").alias("lat"),
-        F.floor(F.col("longitude") / step).alias("px"),
-        F.floor(F.col("latitude") / step).alias("py"),
-        F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("psalt"),
+        "id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"),
+        F.floor(F.col("longitude") / step).alias("px"), F.floor(F.col("latitude") / step).alias("py"),
     )
+    pieces = keyed.groupBy(*cell).agg(F.ceil(F.count("*") / HOT_CELL).alias("pieces"))
+    keyed = keyed.join(pieces, cell, "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces"))).drop("pieces")
+    cover = _cover(polygons.select(F.col("id").alias("polygon_id"), "rings"), step).join(pieces, cell)
+    cover = cover.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))).drop("pieces")
     test = G.covers if boundary else G.in_polygon
-    same_cell = (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & (F.col("psalt") == F.col("salt"))
     in_box = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    exact = test(F.col("lon"), F.col("lat"), F.col("rings"))
-    joined = spread(keyed, "px", "py", "psalt").join(cover, same_cell & in_box & exact, "left")
-    return joined.groupBy("id").agg(
-        F.min("polygon_id").alias("polygon_id"), F.count("polygon_id").alias("matches")
-    )
+    key = [*cell, "piece"]
+    near = spread(keyed, *key).join(cover, key).where(in_box & test(F.col("lon"), F.col("lat"), F.col("rings")))
+    found = near.groupBy("id").agg(F.min("polygon_id").alias("polygon_id"), F.count("*").alias("matches"))
+    return points.select("id").join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
 
 def intersecting(polygons: DataFrame, bbox) -> DataFrame:
