@@ -56,10 +56,10 @@ def enriched(spark, sf):
 
 
 @BOOK.add("bin_day_grid", """
-    select b.id as bin_id, d as date, site_id, waste_type, sub_district, object_group, population_cell_id, resident_factor, isodow(d)::integer as day_of_week, week(d)::integer as week_of_year, month(d)::integer as month,
-      (month(d) % 12 // 3 + 1)::integer as season
-    from bins b join bin_population p on p.bin_id = b.id, (select unnest(generate_series(date '2023-12-25', date '2024-01-07', interval 1 day))::date as d)
-    where sub_district is not null and b.id in (select bin_id from schedule)""")
+    select g.bin_id, g.d as date, b.site_id, b.waste_type, b.sub_district, b.object_group, p.population_cell_id, p.resident_factor, isodow(g.d)::integer as day_of_week, week(g.d)::integer as week_of_year, month(g.d)::integer as month,
+      (month(g.d) % 12 // 3 + 1)::integer as season
+    from (select bin_id, unnest(generate_series(date '2023-12-25', date '2024-01-07', interval 1 day))::date as d from (select distinct bin_id from schedule)) g
+    join bin_population p on p.bin_id = g.bin_id join bins b on b.id = g.bin_id where b.sub_district is not null""")
 def _(spark, sf):
     return O.bin_day_grid(S.bins(spark, sf), S.schedule(spark, sf), S.bin_population(spark, sf), date(2023, 12, 25), date(2024, 1, 7)).drop("capacity_m3")
 
