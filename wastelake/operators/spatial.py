@@ -60,7 +60,9 @@ def membership(points: DataFrame, polygons: DataFrame, boundary: bool = False, s
     test = G.covers if boundary else G.in_polygon
     in_box = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
     key = [*cell, "piece"]
-    near = spread(keyed, *key).join(cover, key).where(in_box & test(F.col("lon"), F.col("lat"), F.col("rings")))
+    # both sides carry the join's own partitioning: a sort-merge join adds no shuffle, and whichever
+    # side a broadcast join streams is spread for the costly exact test
+    near = spread(keyed, *key).join(spread(cover, *key), key).where(in_box & test(F.col("lon"), F.col("lat"), F.col("rings")))
     found = near.groupBy("id").agg(F.min("polygon_id").alias("polygon_id"), F.count("*").alias("matches"))
     return points.select("id").join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
