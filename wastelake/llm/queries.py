@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wastelake.llm import exact_dedup, mixing, secrets
+from wastelake.llm import exact_dedup, mixing, secrets, simhash
 from wastelake.llm.common import table
 
 QUERIES = {
     "op4_mix_sources": lambda spark, sf: mixing.op4(table(spark, sf, "documents")),
     "op8_secret_scan": lambda spark, sf: secrets.op8(table(spark, sf, "documents")),
+    "op9_simhash_groups": lambda spark, sf: simhash.op9(table(spark, sf, "documents")),
     "op10_exact_dedup": lambda spark, sf: exact_dedup.op10(table(spark, sf, "documents")),
 }
 ORACLES = {"op4_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
