@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wastelake.llm import exact_dedup, mixing, secrets, simhash
+from wastelake.llm import exact_dedup, mixing, packing, secrets, simhash
 from wastelake.llm.common import table
 
 QUERIES = {
+    "op1_best_fit_packing": lambda spark, sf: packing.op1(table(spark, sf, "documents")),
     "op4_mix_sources": lambda spark, sf: mixing.op4(table(spark, sf, "documents")),
     "op8_secret_scan": lambda spark, sf: secrets.op8(table(spark, sf, "documents")),
     "op9_simhash_groups": lambda spark, sf: simhash.op9(table(spark, sf, "documents")),
