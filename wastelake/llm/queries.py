@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from wastelake.llm import exact_dedup, mixing, packing, secrets, simhash
+from wastelake.llm import exact_dedup, mixing, packing, quality, secrets, simhash, toxicity
 from wastelake.llm.common import table
 
 QUERIES = {
     "op1_best_fit_packing": lambda spark, sf: packing.op1(table(spark, sf, "documents")),
+    "op2_toxicity": lambda spark, sf: toxicity.op2(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op4_mix_sources": lambda spark, sf: mixing.op4(table(spark, sf, "documents")),
+    "op6_quality": lambda spark, sf: quality.op6(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op8_secret_scan": lambda spark, sf: secrets.op8(table(spark, sf, "documents")),
     "op9_simhash_groups": lambda spark, sf: simhash.op9(table(spark, sf, "documents")),
     "op10_exact_dedup": lambda spark, sf: exact_dedup.op10(table(spark, sf, "documents")),
