@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wastelake.llm import arrow_tokens, exact_dedup, mixing, packing, quality, secrets, simhash, toxicity
+from wastelake.llm import arrow_tokens, exact_dedup, mixing, packing, quality, secrets, simhash, spotsigs, toxicity
 from wastelake.llm.common import table
 
 QUERIES = {
     "op1_best_fit_packing": lambda spark, sf: packing.op1(table(spark, sf, "documents")),
     "op2_toxicity": lambda spark, sf: toxicity.op2(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op3_spot_signatures": lambda spark, sf: spotsigs.op3(table(spark, sf, "documents")),
     "op4_mix_sources": lambda spark, sf: mixing.op4(table(spark, sf, "documents")),
     "op5_arrow_tokens": lambda spark, sf: arrow_tokens.op5(table(spark, sf, "documents")),
     "op6_quality": lambda spark, sf: quality.op6(table(spark, sf, "documents"), table(spark, sf, "labels")),
