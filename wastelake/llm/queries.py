@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wastelake.llm import arrow_tokens, exact_dedup, mixing, packing, quality, secrets, simhash, spotsigs, toxicity
+from wastelake.llm import arrow_tokens, chat, exact_dedup, mixing, packing, quality, secrets, simhash, spotsigs, toxicity
 from wastelake.llm.common import table
 
 QUERIES = {
@@ -12,8 +12,9 @@ QUERIES = {
     "op4_mix_sources": lambda spark, sf: mixing.op4(table(spark, sf, "documents")),
     "op5_arrow_tokens": lambda spark, sf: arrow_tokens.op5(table(spark, sf, "documents")),
     "op6_quality": lambda spark, sf: quality.op6(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op7_perspectives": lambda spark, sf: chat.op7(table(spark, sf, "conversations")),
     "op8_secret_scan": lambda spark, sf: secrets.op8(table(spark, sf, "documents")),
     "op9_simhash_groups": lambda spark, sf: simhash.op9(table(spark, sf, "documents")),
     "op10_exact_dedup": lambda spark, sf: exact_dedup.op10(table(spark, sf, "documents")),
 }
-ORACLES = {"op4_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op4_mix_sources": mixing.ORACLE, "op7_perspectives": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
