@@ -1,7 +1,54 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: raw documents in, packed sequences out.
+
+Each stage calls one operator over all that the stage before kept; `run` writes every stage's result to the
+shared folder and reads it again, so a lost executor never costs more than the stage at work.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wastelake.llm import exact_dedup, mixing, packing, quality, simhash
+from wastelake.llm.common import table
+from wastelake.session import materialize
+
+#: Near duplicates in the pipeline: five-word shingles; fingerprints within 7 of 64 bits, looked up in four segments.
+WORDS, MAX_BITS, SEGMENTS = 5, 7, 4
+#: A trained classifier, 64-bit hashes of word shingles and a greedy packer are not expressible in SQL.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs, words=WORDS, max_bits=MAX_BITS, segments=SEGMENTS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.op1(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good_documents),
+    ("exact dedup", drop_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("mix sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

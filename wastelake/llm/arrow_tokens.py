@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wastelake.llm.common import shuffle_width, whole_text, with_row
+from wastelake.llm.common import shuffle_width, whole_text, with_place
 from wastelake.session import fresh_path, materialize
 
 LENGTH, BATCH, END_ID = 2048, 256, 2
@@ -203,7 +203,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
                 sink.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "ids_path": ids_path, "docs_path": docs_path, "docs": n_docs, "tokens": out.tokens, "sequences": out.sequences}])
 
-    rows, _ = with_row(docs.select(F.col(f"`{id}`").alias("doc_id"), whole_text(text).alias("_text")))
+    rows, _ = with_place(docs.select(F.col(f"`{id}`").alias("doc_id"), whole_text(text).alias("_text")))
     ranged = rows.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "_text")
     schema = "part long, ids_path string, docs_path string, docs long, tokens long, sequences long"
     return materialize(ranged.mapInArrow(write, schema), "manifest")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wastelake.llm.common import with_row
+from wastelake.llm.common import with_place
 from wastelake.session import materialize
 
 SPAN, CROWD = 1024, 8192
@@ -35,7 +35,7 @@ def _plain(text: Column) -> Column:
 def chunks(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", span: int = SPAN, crowd: int = CROWD) -> DataFrame:
     """conv_id, first_turn, piece, said: the turns of each chunk in order of (turn, place in the table)."""
     named = lambda c: F.col(f"`{c}`")
-    rows, _ = with_row(turns.select(named(conv).alias("conv_id"), named(turn).cast("long").alias("turn"), F.coalesce(_plain(named(role)), F.lit("")).alias("role"), _plain(named(text)).alias("text")))
+    rows, _ = with_place(turns.select(named(conv).alias("conv_id"), named(turn).cast("long").alias("turn"), F.coalesce(_plain(named(role)), F.lit("")).alias("role"), _plain(named(text)).alias("text")))
     rows = rows.withColumn("role", F.when(F.col("role") == "", NOBODY).otherwise(F.col("role"))).withColumn("bucket", F.floor(F.col("turn") / span) * span)
     crowded = rows.groupBy("conv_id", "bucket").count().where(F.col("count") > crowd).select(F.col("conv_id").alias("c"), F.col("bucket").alias("b"), F.lit(True).alias("crowd"))
     marked = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("bucket").eqNullSafe(F.col("b")), "left").withColumn("cut", F.col("crowd").isNotNull())

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wastelake.session import materialize
+
 #: The six white-space characters of the class [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
+#: Type of a row's address.
+ROW_TYPE = "struct<file:bigint,at:bigint>"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,7 +40,30 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def with_row(df: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with their place in the input, stable for a table read from files, and that column's name."""
+def with_place(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number that orders them within one pass, and that column's name.
+
+    Another pass over the same table may number the rows otherwise, as file splits follow the number of cores.
+    """
     name = free_name(df, "_row")
     return df.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def rereadable(df: DataFrame) -> DataFrame:
+    """The frame itself if it only selects from one table of Parquet files, else its written copy."""
+    nodes = [re.sub(r"^[\s:+-]*", "", line) for line in df._jdf.queryExecution().analyzed().toString().splitlines()]
+    plain = all(n.split(" ")[0] in ("Project", "Filter", "SubqueryAlias", "View", "Relation") for n in nodes)
+    if plain and sum(n.startswith("Relation") and n.endswith(" parquet") for n in nodes) == 1:
+        return df
+    return materialize(df, "copy")
+
+
+def with_row(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of a re-readable frame with their address (file, place in it), and that column's name.
+
+    The address is the same in every pass and after every loss. A frame that is no plain table is written first;
+    callers that need two passes over it make it rereadable themselves.
+    """
+    df, name = rereadable(df), free_name(df, "_row")
+    meta = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"))), name

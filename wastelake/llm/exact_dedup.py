@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wastelake.llm.common import SPACES, whole_text, with_row
+from wastelake.llm.common import SPACES, rereadable, whole_text, with_row
 from wastelake.session import materialize
 
 PREFIX = 256
@@ -23,15 +23,20 @@ def normalised(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
+def _addressed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    rows, row = with_row(docs)
+    return rows.select(F.col(row).alias("_row"), F.col(f"`{id}`").alias("_id"), whole_text(text).alias("_text"))
+
+
 def duplicate_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
     """One row per input row: _row, id, keep_id, group_size, kept.
 
     Texts are equal when they agree after white space is deleted; null counts as empty and equals
     other empty texts. Of equal texts the one with the most code points, then the smallest id (null
-    last), then the first in the table stays: of repeated rows exactly one. Extra columns are not
-    read. An empty table gives no rows. `docs` must be a table read from files, as it is read twice.
+    last), then the first by address stays: of repeated rows exactly one. Extra columns are not
+    read. An empty table gives no rows. `docs` is read twice; a frame that is no table is written first.
     """
-    rows, _ = with_row(docs.select(F.col(f"`{id}`").alias("_id"), whole_text(text).alias("_text")))
+    rows = _addressed(rereadable(docs), id, text)
     clean = normalised(F.col("_text"))
     narrow = materialize(
         rows.withColumn("_clean", clean).select(
@@ -59,6 +64,7 @@ def duplicate_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", pref
 
 def drop_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
     """The input rows, all columns, without those that repeat another text."""
+    docs = rereadable(docs)
     rows, row = with_row(docs)
     gone = duplicate_rows(docs, id, text, prefix).where(~F.col("kept")).select(F.col("_row").alias(row))
     return rows.join(materialize(gone, "dropped"), row, "left_anti").drop(row)
@@ -66,8 +72,8 @@ def drop_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", pre
 
 def op10(docs: DataFrame) -> DataFrame:
     """The contract's rows: the groups of the operator with the digest of each normalised text."""
-    rows, _ = with_row(docs.select(whole_text().alias("_text")))
-    digests = rows.select("_row", F.sha2(normalised(F.col("_text")), 256).alias("text_sha256"))
+    docs = rereadable(docs)
+    digests = _addressed(docs, "doc_id", "text").select("_row", F.sha2(normalised(F.col("_text")), 256).alias("text_sha256"))
     return duplicate_rows(docs).join(digests, "_row").drop("_row")
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wastelake.llm.common import free_name, whole_text, with_row, word_count
+from wastelake.llm.common import free_name, rereadable, whole_text, with_row, word_count
 from wastelake.session import materialize
 
 SHARE, CAP, SEED = 1.5, 2.0, 42
@@ -67,8 +67,8 @@ def plan_copies(docs: DataFrame, id: str = "doc_id", source: str = "source", tex
     equally often; a null id draws as the text 'null'. An empty table gives no rows, other columns are
     not read. `weights` holds (source, weight) with weights above 0; without it CYCLE is dealt out.
     """
-    rows, _ = with_row(docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), whole_text(text).alias("_text")))
-    sized = materialize(rows.select("_row", "doc_id", "source", word_count(F.col("_text")).alias("size")), "sizes")
+    rows, row = with_row(docs)
+    sized = materialize(rows.select(F.col(row).alias("_row"), F.col(f"`{id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(whole_text(text)).alias("size")), "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = materialize(targets(sizes, cycled_weights(sizes) if weights is None else weights, share, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -79,6 +79,7 @@ def plan_copies(docs: DataFrame, id: str = "doc_id", source: str = "source", tex
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` with all columns, each as often as its copies; see plan_copies."""
+    docs = rereadable(docs)
     rows, row = with_row(docs)
     copies = free_name(docs, "_copies")
     plan = materialize(plan_copies(docs, **options).where("copies > 0").select(F.col("_row").alias(row), F.col("copies").alias(copies)), "copies")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wastelake.llm.common import whole_text, with_row
+from wastelake.llm.common import rereadable, whole_text, with_row
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -141,8 +141,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
         return None
     unit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30)) / float(1 << 30)
     chosen = open_.where((F.col("_label") == 1) & (unit("doc_id") < positives / n["positive"])).select("doc_id")
+    docs = rereadable(docs)
     texts = docs.select("doc_id", whole_text().alias("text"))
     good = texts.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("text", F.lit(1).alias("positive"))
-    rows, row = with_row(texts)
-    any_ = rows.where(unit(row) < unlabelled / max(1, docs.count())).select("text", F.lit(0).alias("positive"))
+    rows, row = with_row(docs)
+    any_ = rows.where(unit(row) < unlabelled / max(1, docs.count())).select(whole_text().alias("text"), F.lit(0).alias("positive"))
     return Sample(n["positive"] / n["all"], good.unionByName(any_))

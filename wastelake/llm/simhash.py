@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
-from wastelake.llm.common import shuffle_width, whole_text, with_row
+from wastelake.llm.common import ROW_TYPE, rereadable, shuffle_width, whole_text, with_row
 from wastelake.llm.components import components
 from wastelake.session import materialize
 
@@ -61,9 +61,10 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column("_text")], "<u8").view("<i8")
             yield pa.record_batch([batch.column("_row"), batch.column("doc_id"), pa.array(fps)], names=["_row", "doc_id", "fp"])
 
-    rows, _ = with_row(docs.select(F.col(f"`{id}`").alias("doc_id"), whole_text(text).alias("_text")))
+    rows, row = with_row(docs)
+    rows = rows.select(F.col(row).alias("_row"), F.col(f"`{id}`").alias("doc_id"), whole_text(text).alias("_text"))
     kind = dict(docs.dtypes)[id]
-    return rows.select("_row", "doc_id", "_text").mapInArrow(fold, f"_row long, doc_id {kind}, fp long")
+    return rows.mapInArrow(fold, f"_row {ROW_TYPE}, doc_id {kind}, fp long")
 
 
 def plan_segments(max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> list[tuple[int, int, int]]:
@@ -181,8 +182,8 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
     Words are runs of other than white space after A-Z is lowered; null counts as empty; texts without
     words have fingerprint 0 and are linked like any other. Exactly one row of a component is kept: the
-    one with the least id (null last), then the first in the table. A component of null ids has a null
-    id. An empty table gives no rows; other columns are not read. `docs` must be a table read from files.
+    one with the least id (null last), then the first by address. A component of null ids has a null
+    id. An empty table gives no rows; other columns are not read. A frame that is no table is written first.
     """
     prints = materialize(fingerprints(docs, id, text, words), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("first")
@@ -197,6 +198,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The input rows, all columns, one of each component; see near_groups."""
+    docs = rereadable(docs)
     rows, row = with_row(docs)
     gone = near_groups(docs, **options).where(~F.col("kept")).select(F.col("_row").alias(row))
     return rows.join(materialize(gone, "dropped"), row, "left_anti").drop(row)

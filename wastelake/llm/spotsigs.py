@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wastelake.llm.common import shuffle_width, whole_text, with_row
+from wastelake.llm.common import shuffle_width, whole_text, with_place
 from wastelake.session import materialize
 
 CHAIN, THRESHOLD = 3, 0.8
@@ -127,7 +127,7 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     occur; each range gets the rows of the next range's first id as guests, so that its last row finds its
     successor there, and the windows stay as small as the ranges.
     """
-    rows, _ = with_row(docs.select(F.col(f"`{id}`").alias("doc_id"), whole_text(text).alias("text")))
+    rows, _ = with_place(docs.select(F.col(f"`{id}`").alias("doc_id"), whole_text(text).alias("text")))
     parts = min(RANGES, 4 * shuffle_width(docs.sparkSession))
     marks = rows.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(parts)], 100 * parts).alias("m")).first()["m"]
     starts = sorted(set(marks or [])) or [0]
