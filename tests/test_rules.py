@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from wastelake.functions import bands as B, beta as BE, dates as D, geo as G
 from wastelake.operators import adequacy as AD, allocation as AL, area as AR, planning as P, series as SE, spatial as SP
 from wastelake.operators.model import calibration as CA, metrics as M, sampling as SA, training as T
-from wastelake.operators.quantiles import exact_quantiles, numpy_like_percentile
+from wastelake.operators.quantiles import exact_quantiles
+from wastelake.session import materialize
 from wastelake.plans.context import Area, Period, page
 from wastelake.sources import files as FI
 from wastelake.streaming import logs as L
@@ -182,7 +183,7 @@ def test_exact_quantiles_on_skewed_values(spark):
     df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 4.0)], "g string, v double")
     rows = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", {"p10": 0.1, "p80": 0.8, "p99": 0.99, "top": 1.0}).collect()}
     for name, q in {"p10": 0.1, "p80": 0.8, "p99": 0.99, "top": 1.0}.items():
-        assert math.isclose(rows["a"][name], numpy_like_percentile(values, q), rel_tol=1e-12, abs_tol=1e-12)
+        assert math.isclose(rows["a"][name], np.percentile(values, 100 * q), rel_tol=1e-12, abs_tol=1e-12)
         assert rows["b"][name] == 4.0
 
 
@@ -233,10 +234,39 @@ def test_prior_recovers_the_rate(spark):
 def test_two_trips_for_a_small_truck(spark):
     stops = spark.createDataFrame([("c", i, 54.7 + i * 0.00899, 25.2, 4.0) for i in range(1, 5)], "plan_id string, site_id long, latitude double, longitude double, load_m3 double")
     trucks = spark.createDataFrame([("c", 1, 10.0, 54.7, 25.2)], "plan_id string, truck_id long, max_volume_m3 double, depot_lat double, depot_lon double")
-    got = P.nearest_neighbour_trips(stops, trucks).collect()
-    assert sorted((r["trip"], r["seq"], r["site_id"]) for r in got) == [(1, 1, 1), (1, 2, 2), (2, 1, 3), (2, 2, 4)]
-    cut = P.nearest_neighbour_trips(stops, trucks, subject_stops=2).collect()
-    assert sorted(r["site_id"] for r in cut) == [1, 2, 3, 4]
+    visits, unserved = P.nearest_neighbour_trips(stops, trucks)
+    assert sorted((r["trip"], r["seq"], r["site_id"]) for r in visits.collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 3), (3, 1, 4)]
+    assert unserved.count() == 0
+
+
+@pytest.mark.parametrize("n", [10, 4_000])
+def test_route_plan_accounts_for_every_stop(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [("c", i, 54.6 + float(rng.random()) / 5, 25.1 + float(rng.random()) / 3, float(rng.choice([0.0, 0.3, 1.1, 2.5, 6.0, 9.0]))) for i in range(n)]
+    rows += [("c", n, 54.7, 25.2, 50.0), ("none", n + 1, 54.7, 25.2, 1.0), (None, n + 2, 54.7, 25.2, 1.0), ("c", n + 3, None, 25.2, 1.0)]
+    stops = spark.createDataFrame(rows, "plan_id string, site_id long, latitude double, longitude double, load_m3 double")
+    trucks = spark.createDataFrame([("c", t, 8.0 + t % 3 * 4, 54.65 + t % 2 / 10, 25.2) for t in range(7)], "plan_id string, truck_id long, max_volume_m3 double, depot_lat double, depot_lon double")
+    visits, unserved = P.nearest_neighbour_trips(stops, trucks)
+    visits = materialize(visits)
+    assert {(r["site_id"], r["reason"]) for r in unserved.collect()} == {(n, "too_large"), (n + 1, "no_fleet"), (n + 2, "no_fleet"), (n + 3, "no_place")}
+    assert sorted(column(visits, "site_id")) == list(range(n))
+    trips = P.trip_metrics(visits)
+    bad = P.plan_invariants(visits, trips, trucks, stops.where("plan_id is not null"), unserved, P.plan_figures(trips))
+    assert {r["violations"] for r in bad.collect()} == {0}
+    assert trips.agg(F.min("stops")).first()[0] >= 1 and visits.select("truck_id").distinct().count() == min(7, n) or n == 10
+
+
+def test_missing_and_empty_carrier_are_two_stops(spark):
+    b = spark.createDataFrame([(1, 7, None, "Glass waste", 1.0), (2, 7, "", "Glass waste", 1.0)], "id long, site_id long, waste_carrier string, waste_type string, capacity_m3 double")
+    f = P.due_bins(spark.createDataFrame([(1, 4), (2, 4)], "bin_id long, predicted_fill int"), b)
+    stops = P.collection_stops(f, date(2024, 7, 1))
+    assert sorted(column(stops, "stop_id")) == ["c:/7", "n/7"]
+    assert sorted((r["stop_id"], r["bin_id"]) for r in P.stop_bins(f, stops).collect()) == [("c:/7", 2), ("n/7", 1)]
+
+
+def test_litres_of_unusable_volumes(spark):
+    df = spark.createDataFrame([(1.2345,), (float("nan"),), (float("inf"),), (None,)], "v double")
+    assert [tuple(r) for r in df.select(P.litres_up(F.col("v")), P.litres_down(F.col("v"))).collect()] == [(1235, 1234), (None, None), (None, None), (None, None)]
 
 
 def test_fill_volume(spark):
@@ -288,6 +318,27 @@ def test_knots_keep_a_zero_atom():
     assert atom[0] == pytest.approx(0.305) and base[0] < atom[0] and all(a < b for a, b in zip(atom, atom[1:]))
 
 
+def test_true_shares_give_the_observed_ones_back():
+    shares = CA.true_shares()
+    e = CA.RATING_ERROR
+    seen = [(1 - e) * s for s in shares]
+    for k, s in enumerate(shares):
+        near = [j for j in (k - 1, k + 1) if 0 <= j < len(shares)]
+        for j in near:
+            seen[j] += e * s / len(near)
+    assert seen == pytest.approx(CA.TARGET_SHARES, abs=1e-12)
+
+
+def test_knots_refuse_what_carries_no_map(spark):
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "pressure double")
+    for values in ([1.0, 2.0, 3.0], [1.0, 2.0, 3.0, -1.0], [1.0, 2.0, 3.0, float("nan")], [1.0, 2.0, 3.0, float("inf")]):
+        with pytest.raises(ValueError):
+            CA.quantile_knots(frame(values))
+    with pytest.raises(ValueError):
+        CA.rising_knots(CA.quantile_knots(frame([5.0] * 9)))
+    assert len(CA.rising_knots(CA.quantile_knots(frame(range(9) and [float(v) for v in range(9)])))) == 4
+
+
 def test_history_errors(spark):
     payload = '{"data":[{"service_date":"2024-01-02T10:00:00","is_serviced":true},{"service_date":"2024-01-02T10:00:00","is_serviced":1,"non_serviced_reason":"x"},{"service_date":"2024-01-02T10:00:00+02:00","is_serviced":true},{"is_serviced":true}]}'
     parsed = FI.parse_history(spark.createDataFrame([(1, 1, payload)], "bin_id long, page int, payload string"))

@@ -42,7 +42,7 @@ V = {
         case when isnan(b.capacity_m3) then null else b.capacity_m3 end as cap,
         (case p.predicted_fill when 0 then 0.2 when 1 then 0.5 when 2 then 0.8 when 3 then 1.0 else 1.5 end)::double as share
       from predictions p join bins b on b.id = p.bin_id""",
-    "stops": """select date '2024-07-01' as date, waste_carrier, site_id, coalesce(waste_carrier, '') || '/' || site_id::varchar as stop_id,
+    "stops": """select date '2024-07-01' as date, waste_carrier, site_id, coalesce('c:' || waste_carrier, 'n') || '/' || site_id::varchar as stop_id,
         sum(coalesce(cap, 0)) as overall_volume_m3, sum(coalesce(cap, 0) * share) as overall_predicted_fill_m3, count(*) as n_bins
       from fills group by waste_carrier, site_id having bool_or(due)""",
     "stop_bins": "select s.stop_id, f.bin_id, f.predicted_fill, f.due from fills f join stops s on s.site_id = f.site_id and s.waste_carrier is not distinct from f.waste_carrier",

@@ -10,6 +10,7 @@ from wastelake.catalog.area import V as AREA_VIEWS
 from wastelake.catalog.book import Book
 from wastelake.catalog.geography import HAV
 from wastelake.operators import planning as O
+from wastelake.session import materialize
 from wastelake.sources import tables as S
 
 BOOK = Book()
@@ -63,12 +64,7 @@ def tours(spark, sf):
     from pyspark.sql import Window as W
 
     j = jobs(spark, sf)
-    # rank by counting per block first, so no carrier is ordered in one task
-    block = F.floor(F.col("site_id") / 64)
-    heads = j.groupBy("plan_id", block.alias("block")).agg(F.count("*").alias("n"))
-    heads = heads.withColumn("before", F.sum("n").over(W.partitionBy("plan_id").orderBy("block")) - F.col("n"))
-    local = F.row_number().over(W.partitionBy("plan_id", "block").orderBy("site_id"))
-    ranked = j.withColumn("block", block).join(heads, ["plan_id", "block"]).withColumn("rn", F.col("before") + local - 1)
+    ranked = O.ranked_in_blocks(j, "plan_id", "site_id", "rn").withColumn("rn", F.col("rn") - 1)
     dealt = ranked.withColumns({"trip_no": F.floor(F.col("rn") / 40), "seq": F.col("rn") % 40 + 1})
     t = fleet(spark, sf)
     w = W.partitionBy("plan_id")
@@ -119,9 +115,9 @@ def _(spark, sf):
     return O.fleet_size(stops(spark, sf), 46.0 / 3, 480.0, 90.0)
 
 
-@BOOK.add("fleet_round_robin_cap", "select id, waste_carrier, rn as round from (select *, row_number() over (partition by waste_carrier order by id) as rn from trucks where not deleted) order by rn, waste_carrier limit 30")
+@BOOK.add("fleet_round_robin_cap", "select id, waste_carrier, rn as round from (select *, row_number() over (partition by waste_carrier order by id) as rn from trucks where not deleted)")
 def _(spark, sf):
-    return O.fleet_round_robin(S.trucks(spark, sf).where(~F.col("deleted")), 30).select("id", "waste_carrier", "round")
+    return O.fleet_round_robin(S.trucks(spark, sf).where(~F.col("deleted"))).select("id", "waste_carrier", "round")
 
 
 @BOOK.add("eligible_trucks", "select truck_id as id, plan_id as waste_carrier, max_volume_m3, round(depot_lat, 6) as depot_lat from fleet", **V)
@@ -142,10 +138,11 @@ def _(spark, sf):
     return O.stop_loads_checked(fills(spark, sf), O.eligible_trucks(S.trucks(spark, sf), S.landfills(spark, sf)))
 
 
-@BOOK.add("litre_rounding", "select id, ceil(round_even(capacity_m3 * 0.333::double * 1000, 6))::bigint as up, floor(round_even(capacity_m3 * 0.333::double * 1000, 6))::bigint as down from bins where not isnan(coalesce(capacity_m3, 0))")
+@BOOK.add("litre_rounding", """
+    select id, ceil(round_even(c, 6))::bigint as up, floor(round_even(c, 6))::bigint as down from (select id, case when not isnan(capacity_m3) then capacity_m3 * 0.333::double * 1000 end as c from bins)""")
 def _(spark, sf):
     c = F.col("capacity_m3") * 0.333
-    return S.bins(spark, sf).where(~F.isnan(F.coalesce("capacity_m3", F.lit(0.0)))).select("id", O.litres_up(c).alias("up"), O.litres_down(c).alias("down"))
+    return S.bins(spark, sf).select("id", O.litres_up(c).alias("up"), O.litres_down(c).alias("down"))
 
 
 @BOOK.add("oversize_stops", """
@@ -211,9 +208,54 @@ def _(spark, sf):
     return O.assignment_coverage(got, f.where("due"))
 
 
-@BOOK.add("nearest_neighbour_trips")
+def all_jobs(spark, sf):
+    """Every stop of every carrier, four times its load, so that some stops fit no truck."""
+    place = S.sites(spark, sf).select(F.col("id").alias("site_id"), "latitude", "longitude")
+    return stops(spark, sf).select(F.col("waste_carrier").alias("plan_id"), "site_id", (F.col("overall_predicted_fill_m3") * 4).alias("load_m3")).join(place, "site_id")
+
+
+def routes(spark, sf):
+    return O.nearest_neighbour_trips(all_jobs(spark, sf), fleet(spark, sf))
+
+
+SWEEP = {
+    **V,
+    "work": """select s.waste_carrier as plan_id, s.site_id, x.latitude, x.longitude, ceil(round_even(s.overall_predicted_fill_m3 * 4 * 1000, 6))::bigint as load_l from stops s join sites x on x.id = s.site_id""",
+    "lorry": "select plan_id, depot_lat, depot_lon, truck_id, floor(round_even(max_volume_m3 * 1000, 6))::bigint as capacity_l from fleet",
+    "depots": "select plan_id, depot_lat, depot_lon, min(capacity_l) as small_l, max(capacity_l) as large_l, count(*) as n_trucks from lorry group by 1, 2, 3",
+    "reach": f"""select w.*, d.depot_lat, d.depot_lon, small_l, n_trucks, round_even({HAV.format(r='6371000', a='w.latitude', b='depot_lat', c='w.longitude', d='depot_lon')} * 1.3::double, 0)::bigint as metres
+        from work w join depots d on d.plan_id = w.plan_id where load_l <= large_l""",
+    "near": """select *, load_l * 2 <= small_l as is_light, least(metres // 1000, 63) as ring,
+        floor((degrees(atan2(latitude - depot_lat, (longitude - depot_lon) * cos(radians(depot_lat)))) + 180) * 2)::bigint as sector
+        from (select *, row_number() over (partition by plan_id, site_id order by metres, depot_lat, depot_lon) as nth from reach where metres is not null) where nth = 1""",
+    "light": """select *, 0::bigint as kind, (before // greatest(small_l - max(greatest(load_l, 1)) over (partition by plan_id, depot_lat, depot_lon), 1))::bigint as no, n_trucks as fit from (
+        select *, (sum(greatest(load_l, 1)) over (partition by plan_id, depot_lat, depot_lon order by sector, ring, metres, site_id) - greatest(load_l, 1))::bigint as before from near where is_light)""",
+    "heavy": """select *, row_number() over (partition by plan_id, depot_lat, depot_lon, kind order by sector, ring, metres, site_id) - 1 as no from (
+        select n.*, (select min(capacity_l) from lorry l where l.plan_id = n.plan_id and l.depot_lat = n.depot_lat and l.depot_lon = n.depot_lon and l.capacity_l >= n.load_l) as kind,
+          (select count(*) from lorry l where l.plan_id = n.plan_id and l.depot_lat = n.depot_lat and l.depot_lon = n.depot_lon and l.capacity_l >= n.load_l) as fit
+        from near n where not is_light)""",
+    "shared": """select x.*, t.truck_id from (select plan_id, site_id, load_l, depot_lat, depot_lon, metres, sector, ring, kind, no, no % fit as k from light
+          union all select plan_id, site_id, load_l, depot_lat, depot_lon, metres, sector, ring, kind, no, no % fit from heavy) x
+        join (select *, row_number() over (partition by plan_id, depot_lat, depot_lon order by capacity_l desc, truck_id) - 1 as k from lorry) t
+          on t.plan_id = x.plan_id and t.depot_lat = x.depot_lat and t.depot_lon = x.depot_lon and t.k = x.k""",
+    "swept": """select *, row_number() over (partition by plan_id, truck_id, trip order by sector, ring, metres, site_id) as seq from (
+        select *, dense_rank() over (partition by plan_id, truck_id order by kind, no) as trip from shared)""",
+}
+
+
+@BOOK.add("nearest_neighbour_trips", """
+    select plan_id, truck_id, trip, seq, site_id, load_l, null as reason from swept
+    union all select plan_id, null, null, null, site_id, null, case when plan_id is null or plan_id not in (select plan_id from fleet) then 'no_fleet' else 'too_large' end
+    from work w where not exists (select 1 from near n where n.plan_id = w.plan_id and n.site_id = w.site_id)""", **SWEEP)
+def _(spark, sf):
+    visits, unserved = routes(spark, sf)
+    return visits.select("plan_id", "truck_id", "trip", "seq", "site_id", "load_l").unionByName(unserved, allowMissingColumns=True)
+
+
+@BOOK.add("route_plan_invariants", "select unnest(['load_above_capacity', 'load_differs_from_stops', 'visited_twice', 'planned_and_unserved', 'due_stop_lost', 'totals_differ']) as rule, 0 as violations")
 def _(spark, sf):
-    f = fleet(spark, sf)
-    big = f.groupBy("plan_id").agg(F.max(O.litres_down(F.col("max_volume_m3"))).alias("largest"))
-    j = jobs(spark, sf).join(big, "plan_id").where(F.col("load_l") <= F.col("largest")).drop("largest")
-    return O.nearest_neighbour_trips(j, f)
+    visits, unserved = routes(spark, sf)
+    visits = materialize(visits, "visits")
+    trips = materialize(O.trip_metrics(visits), "trips")
+    due = all_jobs(spark, sf).where(F.col("plan_id").isNotNull()).select("plan_id", "site_id")
+    return O.plan_invariants(visits, trips, fleet(spark, sf), due, unserved, O.plan_figures(trips))

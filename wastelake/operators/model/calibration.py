@@ -13,29 +13,57 @@ RATING_ERROR = 0.10
 MAX_FILL = 120.0
 KNOT_LEVELS = (20.0, 50.0, 80.0, 100.0)
 LEVEL_OFFSET = 1.5
+ZERO_CEILING = 0.95
+ZERO_MARGIN = 0.005
+
+
+def true_shares(observed: tuple[float, ...] = TARGET_SHARES, error: float = RATING_ERROR) -> np.ndarray:
+    """Shares of the ratings before errors, when a rating slips to its neighbours with probability `error`.
+
+    The shares solve s = (observed - what the neighbours lose to s) / (1 - error), a contraction.
+    """
+    seen = np.array(observed, float)
+    ways = np.full(len(seen), 2.0)
+    ways[[0, -1]] = 1.0
+    shares = seen
+    for _ in range(100):
+        slip = error * shares / ways
+        received = np.pad(slip[1:], (0, 1)) + np.pad(slip[:-1], (1, 0))
+        shares = (seen - received) / (1 - error)
+    return shares
 
 
 def knot_fractions(zero_share: float) -> list[float]:
-    """Quantile positions of the four knots after undoing neighbour rating errors; keeps a zero atom."""
-    n = len(TARGET_SHARES)
-    confusion = np.eye(n) * (1 - RATING_ERROR)
-    for k in range(n):
-        near = [j for j in (k - 1, k + 1) if 0 <= j < n]
-        confusion[k, near] = RATING_ERROR / len(near)
-    shares = np.linalg.solve(confusion.T, np.array(TARGET_SHARES))
-    if zero_share >= shares[0]:
-        first = min(0.95, zero_share + 0.005)
-        shares = np.concatenate([[first], shares[1:] * (1 - first) / (1 - shares[0])])
-    return [float(v) for v in np.cumsum(shares)[:-1]]
+    """Quantile positions of the four knots. A zero atom above the first moves the positions towards 1, in proportion."""
+    at = np.cumsum(true_shares())[:-1]
+    if zero_share >= at[0]:
+        first = min(ZERO_CEILING, zero_share + ZERO_MARGIN)
+        at = 1 - (1 - at) * (1 - first) / (1 - at[0])
+    return at.tolist()
 
 
 def quantile_knots(pressures: DataFrame, column: str = "pressure") -> DataFrame:
-    """One row with the four knots of the observed pressures."""
-    zero = pressures.agg(F.avg((F.col(column) == 0).cast("double")).alias("z")).first()["z"]
-    fractions = {f"knot_{i + 1}": q for i, q in enumerate(knot_fractions(zero))}
+    """One row with the four knots of the observed pressures.
+
+    Needs as many values as knots, all finite and not negative; else a ValueError tells the counts.
+    """
+    p = F.col(column)
+    wrong = p.isNotNull() & ~(p.between(0.0, np.finfo(float).max))
+    seen = pressures.agg(F.avg((p == 0).cast("double")).alias("zero"), F.count(p).alias("n"), F.count_if(wrong | F.isnan(p)).alias("wrong")).first()
+    if seen["n"] < len(KNOT_LEVELS) or seen["wrong"]:
+        raise ValueError(f"calibration needs {len(KNOT_LEVELS)} finite pressures of 0 or more: {seen['n']} values, {seen['wrong']} unusable")
+    fractions = {f"knot_{i + 1}": q for i, q in enumerate(knot_fractions(seen["zero"]))}
     return exact_quantiles(pressures.withColumn("all", F.lit("all")), ["all"], column, fractions).drop("all")
 
 
+def rising_knots(knots: DataFrame) -> list[float]:
+    """The knots as numbers; equal or falling knots cannot carry a monotone map."""
+    values = list(knots.first())
+    if any(b <= a for a, b in zip(values, values[1:])):
+        raise ValueError(f"knots must rise: {values}")
+    return values
+
+
 def fullness(pressure: Column, residue: Column, knots: list[float]) -> Column:
     """Linear between the knots, exponential saturation above the last, bounded by the ceiling."""
     xs = [0.0, *knots]

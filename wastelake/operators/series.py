@@ -6,6 +6,7 @@ event logs are reduced to days before they get here.
 
 from __future__ import annotations
 
+from calendar import monthrange
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -62,11 +63,9 @@ def excluded_bin_counts(bins: DataFrame, schedule: DataFrame, population: DataFr
 
 def years_back(end: date, years: int) -> tuple[date, date]:
     """Inclusive range of whole years up to `end`; Feb 29 falls back to Feb 28."""
-    try:
-        anniversary = end.replace(year=end.year - years)
-    except ValueError:
-        anniversary = end.replace(year=end.year - years, day=28)
-    return anniversary + timedelta(days=1), end
+    year = end.year - years
+    last = monthrange(year, end.month)[1]
+    return date(year, end.month, min(end.day, last)) + timedelta(days=1), end
 
 
 def range_by_years(ends: DataFrame, years: int) -> DataFrame:
