@@ -380,3 +380,31 @@ def test_tile_and_projection(spark):
     assert r["tile_x"] == int((25.2 + 180) / 360 * n)
     assert r["tile_y"] == int((1 - math.asinh(math.tan(math.radians(54.7))) / math.pi) / 2 * n)
     assert r["x"] == pytest.approx(25.2 * math.cos(math.radians(54.7)) * 111320)
+
+
+def test_history_pages_lose_nothing(spark):
+    pages = [
+        (1, 1, "not json"), (1, 2, '{"meta":{}}'), (1, 3, '{"data":{}}'), (1, 4, '{"data":[]}'), (1, 5, None), (1, 6, "[1]"),
+        (2, 1, '{"data":[7,{"service_date":"2024-01-02T10:00:00","is_serviced":true,"non_serviced_reason":7},{"service_date":"2024-01-02T11:00:00","is_serviced":"1","non_serviced_reason":"x"},null,"text"]}'),
+    ]
+    out = FI.parse_history(spark.createDataFrame(pages, "bin_id long, page int, payload string"))
+    got = sorted((r["bin_id"], r["page"], -1 if r["index"] is None else r["index"], r["error"]) for r in out.collect())
+    assert got == [
+        (1, 1, -1, "bad_page"), (1, 2, -1, "missing_data"), (1, 3, -1, "missing_data"), (1, 5, -1, "bad_page"), (1, 6, -1, "bad_page"),
+        (2, 1, 0, "bad_entry"), (2, 1, 1, "bad_reason"), (2, 1, 2, None), (2, 1, 3, "bad_entry"), (2, 1, 4, "bad_entry"),
+    ]
+    assert [tuple(r) for r in FI.dedup_history(out).collect()] == [(2, datetime(2024, 1, 2, 11), True, "x")]
+
+
+def test_geojson_rows_without_polygon_have_a_reason(spark, tmp_path):
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    (tmp_path / "f.json").write_text(
+        '{"type":"Feature","id":1,"geometry":{"type":"Polygon","coordinates":[[[1.0,2.0],[3.0,2.0],[1.0,4.0],[1.0,2.0]]]},"properties":{"a":"x"}}\n'
+        '{"type":"Feature","id":2,"geometry":null,"properties":{"a":"y"}}\n{"type":"Feature","id":3,"geom\n'
+        '{"type":"Feature","id":4,"geometry":{"type":"Polygon","coordinates":[]},"properties":{}}\n{"type":"Feature","id":5,"geometry":{"type":"Polygon"},"properties":{}}\n'
+    )
+    rows = FI.read_geojson(spark, str(tmp_path / "f.json"), StructType([StructField("a", StringType())])).collect()
+    assert sorted((r["id"] or 0, r["error"]) for r in rows) == [(0, "corrupt_record"), (1, None), (2, "missing_geometry"), (4, "missing_rings"), (5, "missing_rings")] or sorted(
+        (r["error"] or "" for r in rows)
+    ) == ["", "corrupt_record", "missing_geometry", "missing_rings", "missing_rings"]

@@ -57,7 +57,7 @@ def plan_tables(spark, sf):
     return P.stop_bins(fills, stops), stops
 
 
-@BOOK.add("service_summary", f"select waste_type as \"group\", {SVC} from av where {RECENT_V} group by 1", **V)
+@BOOK.add("service_summary", f"select waste_type as \"group\", {SVC}, (select count(*) from abins) as eligible_bins from av where {RECENT_V} group by 1", **V)
 def _(spark, sf):
     return O.service_summary(S.visits(spark, sf), S.bins(spark, sf), AREA, "waste_type")
 
@@ -159,7 +159,7 @@ def _(spark, sf):
     return O.failed_attempts(S.visits(spark, sf), S.bins(spark, sf), AREA, JUNE)
 
 
-@BOOK.add("request_summary", f"select waste_type as \"group\", count(*) as submissions, count(distinct bin_id) as reporting_bins from ar where {RECENT_R} group by 1", **V)
+@BOOK.add("request_summary", f"select waste_type as \"group\", count(*) as submissions, count(distinct bin_id) as reporting_bins, (select count(*) from abins) as eligible_bins from ar where {RECENT_R} group by 1", **V)
 def _(spark, sf):
     return O.request_summary(S.requests(spark, sf), S.bins(spark, sf), AREA, "waste_type")
 
@@ -235,11 +235,13 @@ def _(spark, sf):
 
 
 @BOOK.add("plan_list", """
-    select b.stop_id, b.bin_id, b.predicted_fill, b.due, a.capacity_m3 as current_capacity_m3, s.date, s.waste_carrier, round(s.overall_volume_m3, 6) as whole_stop_snapshot_volume_m3,
-      round(s.overall_predicted_fill_m3, 6) as whole_stop_predicted_fill_m3 from stop_bins b join abins a on a.id = b.bin_id join stops s on s.stop_id = b.stop_id where not isnan(coalesce(a.capacity_m3, 0))""", **V)
+    select b.stop_id, b.bin_id, b.predicted_fill, b.due, case when not isnan(a.capacity_m3) then a.capacity_m3 end as current_capacity_m3, a.capacity_m3 is null or isnan(a.capacity_m3) as capacity_unknown, s.date, s.waste_carrier, round(s.overall_volume_m3, 6) as whole_stop_snapshot_volume_m3,
+      round(s.overall_predicted_fill_m3, 6) as whole_stop_predicted_fill_m3 from stop_bins b join abins a on a.id = b.bin_id join stops s on s.stop_id = b.stop_id""", **V)
 def _(spark, sf):
     stop_bins, stops = plan_tables(spark, sf)
-    return O.plan_list(stop_bins, stops, S.bins(spark, sf), AREA, PLAN).where(~F.isnan(F.coalesce("current_capacity_m3", F.lit(0.0))))
+    rows = O.plan_list(stop_bins, stops, S.bins(spark, sf), AREA, PLAN)
+    c = F.col("current_capacity_m3")
+    return rows.withColumns({"capacity_unknown": c.isNull() | F.isnan(c), "current_capacity_m3": F.when(~F.isnan(c), c)})
 
 
 @BOOK.add("plan_summary", f"""

@@ -14,16 +14,16 @@ BOOK = Book()
 
 
 @BOOK.add("site_page", """
-    select s.id, address, (select count(*) from bins b where b.site_id = s.id and b.id % 4 = 0) as bin_count, (select count(*) from sites where address ilike '%vė 1%') as total, (select count(*) from sites where address ilike '%vė 1%') > 60 as has_more
+    select s.id, address, (select count(*) from bins b where b.site_id = s.id) as bin_count, (select count(*) from sites where address ilike '%vė 1%') as total, (select count(*) from sites where address ilike '%vė 1%') > 60 as has_more
     from sites s where address ilike '%vė 1%' order by id limit 50 offset 10""")
 def _(spark, sf):
-    rows = O.sites_with_counts(FI.sites_matching(S.sites(spark, sf), "vė 1"), S.bins(spark, sf).where(F.col("id") % 4 == 0))
+    rows = O.sites_with_counts(FI.sites_matching(S.sites(spark, sf), "vė 1"), S.bins(spark, sf))
     return page_with_total(rows.select("id", "address", "bin_count"), F.col("id"), limit=50, offset=10)
 
 
-@BOOK.add("sites_with_counts", "select s.id, (select count(*) from bins b where b.site_id = s.id and b.id % 4 = 0) as bin_count from sites s")
+@BOOK.add("sites_with_counts", "select s.id, (select count(*) from bins b where b.site_id = s.id) as bin_count from sites s")
 def _(spark, sf):
-    return O.sites_with_counts(S.sites(spark, sf), S.bins(spark, sf).where(F.col("id") % 4 == 0)).select("id", "bin_count")
+    return O.sites_with_counts(S.sites(spark, sf), S.bins(spark, sf)).select("id", "bin_count")
 
 
 @BOOK.add("site_stats", """

@@ -110,10 +110,18 @@ def _(spark, sf):
     return O.project_schedule(O.detect_cycles(S.schedule(spark, sf)), date(2024, 9, 1), date(2024, 9, 30))
 
 
-@BOOK.add("holiday_calendar", "select h.date, count(o_orderkey) as orders from (select date from holidays) h left join orders on strftime(o_orderdate, '%m-%d') = strftime(h.date, '%m-%d') group by 1")
+FIXED = ", ".join(f"'{m:02d}-{d:02d}'" for m, d in D.FIXED_HOLIDAYS)
+EASTER = """date '1992-04-19', date '1993-04-11', date '1994-04-03', date '1995-04-16', date '1996-04-07', date '1997-03-30', date '1998-04-12', date '1999-04-04', date '2000-04-23', date '2001-04-15'"""
+
+
+@BOOK.add("holiday_calendar", f"""
+    with d as (select o_orderdate::date as day, count(*) as orders from orders group by 1)
+    select day, orders, (strftime(day, '%m-%d') in ({FIXED}) or day in ({EASTER}) or day - 1 in ({EASTER}) or (month(day) in (5, 6) and isodow(day) = 7 and day(day) <= 7))::boolean as is_holiday from d""")
 def _(spark, sf):
-    o = S.table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "MM-dd").alias("md")).agg(F.count("*").alias("orders"))
-    return holidays(spark).withColumn("md", F.date_format("date", "MM-dd")).join(o, "md", "left").select("date", F.coalesce("orders", F.lit(0)).alias("orders"))
+    d = S.table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("orders"))
+    years = d.agg(F.min(F.year("day")).alias("first"), F.max(F.year("day")).alias("last")).first()
+    known = D.holiday_calendar(spark, years["first"], years["last"]).select(F.col("date").alias("day"), F.lit(True).alias("is_holiday"))
+    return d.join(known, "day", "left").select("day", "orders", F.coalesce("is_holiday", F.lit(False)).alias("is_holiday"))
 
 
 @BOOK.add("holidays_since_success", "select bin_id, date, holidays_since_last_collection from enr", **V)
@@ -206,7 +214,7 @@ def _(spark, sf):
 
 ND = {
     **V,
-    "hist": "select bin_id, date, collection_status, fill_level from bin_days where date <= date '2024-06-30' and not (bin_id % 5 = 0 and date > date '2024-06-20')",
+    "hist": "select bin_id, case when bin_id % 5 = 0 and date > date '2024-06-20' then date - 365 else date end as date, collection_status, fill_level from bin_days where date <= date '2024-06-30'",
     "hagg": f"""select bin_id, count(*) as h_rows, max(date) as last_date, arg_max(collection_status, date) as last_status, arg_max(fill_level, date) filter (where fill_level is not null) as rating, max(date) filter (where fill_level is not null) as rated,
         max(date) filter (where {OKS}) as ok_date, max(date) filter (where collection_status <> 'none') as try_date, count(fill_level) as labels, count(*) filter (where date >= date '2024-06-03') as n28,
         count(*) filter (where date >= date '2024-06-03' and {OKS}) as ok28, count(*) filter (where date >= date '2024-06-03' and collection_status = 'missed') as miss28, count(*) filter (where date >= date '2024-06-24' and {OKS}) as ok7 from hist group by 1""",
@@ -232,7 +240,9 @@ def _(spark, sf):
 
 
 def next_day(spark, sf, day_counters=None):
-    hist = S.bin_days(spark, sf).where(~((F.col("bin_id") % 5 == 0) & (F.col("date") > F.lit(date(2024, 6, 20)))))
+    """Next-day features where a fifth of the bins have their last ten days a year too early, so they end in a gap."""
+    early = (F.col("bin_id") % 5 == 0) & (F.col("date") > F.lit(date(2024, 6, 20)))
+    hist = S.bin_days(spark, sf).withColumn("date", F.when(early, F.date_sub("date", 365)).otherwise(F.col("date")))
     return O.next_day_features(hist, S.bins(spark, sf), END, S.district_aliases(spark, sf), holidays(spark), S.bin_population(spark, sf), day_counters)
 
 
@@ -248,15 +258,16 @@ def _(spark, sf):
 
 
 @BOOK.add("month_completeness", """
-    with m as (select date_trunc('month', date)::date as month, bin_id, bit_or(1::bigint << (extract(day from date)::integer - 1)) as mask from bin_days where bin_id % 10 <> 1 or date < date '2024-06-28' group by 1, 2)
+    with m as (select date_trunc('month', date)::date as month, bin_id, bit_or(1::bigint << (extract(day from date)::integer - 1)) as mask from (select bin_id, case when bin_id % 10 = 1 and date >= date '2024-06-28' then date - 31 else date end as date from bin_days) group by 1, 2)
     select month, count(*) as bins_present, count(*) filter (where mask = (1::bigint << extract(day from last_day(month))::integer) - 1) as bins_with_full_calendar, sum(bit_count(mask))::bigint as calendar_rows,
       (select count(distinct bin_id) from m) as cohort_bins, count(*) filter (where mask = (1::bigint << extract(day from last_day(month))::integer) - 1) = (select count(distinct bin_id) from m) as complete from m group by 1""")
 def _(spark, sf):
-    return O.month_completeness(S.bin_days(spark, sf).where((F.col("bin_id") % 10 != 1) | (F.col("date") < F.lit(date(2024, 6, 28)))))
+    late = (F.col("bin_id") % 10 == 1) & (F.col("date") >= F.lit(date(2024, 6, 28)))
+    return O.month_completeness(S.bin_days(spark, sf).withColumn("date", F.when(late, F.date_sub("date", 31)).otherwise(F.col("date"))))
 
 
 @BOOK.add("cohort_by_first_day", """
-    with d as (select bin_id, date from bin_days where not (bin_id % 10 = 1 and date = date '2024-06-15') and not (bin_id % 10 = 2 and date < date '2024-06-20')),
+    with d as (select case when (bin_id % 10 = 1 and date = date '2024-06-15') or (bin_id % 10 = 2 and date < date '2024-06-20') then -bin_id - 1 else bin_id end as bin_id, date from bin_days),
       c as (select bin_id from d where date = date '2024-06-01'), k as (select unnest(generate_series(1, 30)) as cutoff)
     select date '2024-06-01' as month, cutoff, (select count(*) from c) as cohort_bins,
       (select count(*) from c where (select count(*) from d where d.bin_id = c.bin_id and extract(day from d.date) <= cutoff) < cutoff) as missing_bins,
@@ -264,7 +275,8 @@ def _(spark, sf):
       (select count(*) from c where (select count(*) from d where d.bin_id = c.bin_id and extract(day from d.date) <= cutoff) < cutoff) = 0
         and (select count(distinct bin_id) from d where extract(day from d.date) <= cutoff and bin_id not in (select bin_id from c)) = 0 and (select count(*) from c) > 0 as valid from k""")
 def _(spark, sf):
-    days = S.bin_days(spark, sf).where(~((F.col("bin_id") % 10 == 1) & (F.col("date") == F.lit(date(2024, 6, 15)))) & ~((F.col("bin_id") % 10 == 2) & (F.col("date") < F.lit(date(2024, 6, 20)))))
+    other = ((F.col("bin_id") % 10 == 1) & (F.col("date") == F.lit(date(2024, 6, 15)))) | ((F.col("bin_id") % 10 == 2) & (F.col("date") < F.lit(date(2024, 6, 20))))
+    days = S.bin_days(spark, sf).withColumn("bin_id", F.when(other, -F.col("bin_id") - 1).otherwise(F.col("bin_id")))
     return O.cohort_by_first_day(days, START)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wastelake.catalog import calendar as CC
-from wastelake.catalog.book import Book
+from wastelake.catalog.book import Book, tidy
 from wastelake.session import fresh_path
 from wastelake.sources import files as O, sinks as K, tables as S
 
@@ -55,14 +55,21 @@ def cell_features(spark, sf):
     return K.polygon_features(S.cells(spark, sf), ["density_text", "area_m2"])
 
 
-@BOOK.add("scan_geojson_features", "select id, density_text, case when holed then 2 else 1 end::integer as rings, round(x0, 6) as first_lon, round(y0, 6) as first_lat from cells")
+@BOOK.add("scan_geojson_features", """
+    select case when id % 10 <> 6 then id end as id, case when id % 10 <> 6 then density_text end as density_text, case when id % 10 > 6 or id % 10 < 6 and id % 10 <> 5 and id % 10 <> 4 then case when holed then 2 else 1 end end::integer as rings,
+      case when id % 10 not in (4, 5, 6) then round(x0, 6) end as first_lon, case when id % 10 not in (4, 5, 6) then round(y0, 6) end as first_lat,
+      case id % 10 when 4 then 'missing_geometry' when 5 then 'missing_geometry' when 6 then 'corrupt_record' end as error, count(*) as rows from cells group by all""")
 def _(spark, sf):
-    path = fresh_path(spark, "cells-geojson")
+    path, broken = fresh_path(spark, "cells-geojson"), fresh_path(spark, "cells-broken")
     K.write_geojson(cell_features(spark, sf), path)
+    line, kind = F.col("value"), F.get_json_object("value", "$.id").cast("long") % 10
+    cut = F.when(kind == 6, F.substring(line, 1, 40)).when(kind.isin(4, 5), F.regexp_replace(line, r'"geometry":\{.*\},"properties"', '"geometry":null,"properties"')).otherwise(line)
+    spark.read.text(path).select(cut.alias("value")).write.text(broken)
     props = StructType([StructField("density_text", StringType())])
-    rows = O.read_geojson(spark, path, props).where(F.col("error").isNull())
-    first = F.element_at(F.element_at("rings", 1), 1)
-    return rows.select("id", "density_text", F.size("rings").alias("rings"), first[0].alias("first_lon"), first[1].alias("first_lat"))
+    rows = O.read_geojson(spark, broken, props)
+    first = F.try_element_at(F.try_element_at("rings", F.lit(1)), F.lit(1))
+    out = rows.select("id", "density_text", F.when(F.col("rings").isNotNull(), F.size("rings")).alias("rings"), first[0].alias("first_lon"), first[1].alias("first_lat"), "error")
+    return tidy(out).groupBy(*out.columns).agg(F.count("*").alias("rows"))
 
 
 def history_payloads(spark, sf):

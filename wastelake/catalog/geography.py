@@ -136,12 +136,12 @@ def _(spark, sf):
 
 
 @BOOK.add("tile_to_lonlat", """
-    select l_suppkey as x, l_partkey as y, l_linenumber as px, round((l_suppkey + l_linenumber / 4096.0::double) / 4096.0::double * 360 - 180, 6) as lon,
-      round(degrees(atan(sinh(pi() * (1 - 2 * (l_partkey + (4096 - l_linenumber * 100) / 4096.0::double) / 4096.0::double)))), 6) as lat, count(*) as n
-    from lineitem where l_partkey < 4096 and l_suppkey < 4096 group by 1, 2, 3, l_linenumber""")
+    select x, y, px, round((x + px / 4096.0::double) / 4096.0::double * 360 - 180, 6) as lon,
+      round(degrees(atan(sinh(pi() * (1 - 2 * (y + (4096 - px * 100) / 4096.0::double) / 4096.0::double)))), 6) as lat, count(*) as n
+    from (select l_suppkey % 4096 as x, l_partkey % 4096 as y, l_linenumber as px from lineitem) group by 1, 2, 3""")
 def _(spark, sf):
-    x, y, p = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_linenumber")
-    rows = S.table(spark, sf, "lineitem").where((x < 4096) & (y < 4096)).groupBy(x.alias("x"), y.alias("y"), p.alias("px")).agg(F.count("*").alias("n"))
+    x, y, p = F.col("l_suppkey") % 4096, F.col("l_partkey") % 4096, F.col("l_linenumber")
+    rows = S.table(spark, sf, "lineitem").groupBy(x.alias("x"), y.alias("y"), p.alias("px")).agg(F.count("*").alias("n"))
     return rows.select("x", "y", "px", G.tile_lon(F.col("x"), F.col("px"), 12, 4096.0).alias("lon"), G.tile_lat(F.col("y"), F.col("px") * 100, 12, 4096.0).alias("lat"), "n")
 
 

@@ -33,11 +33,11 @@ def _(spark, sf):
     return O.null_safe(S.bins(spark, sf).select("id", "site_id", "waste_carrier"), CP.stops(spark, sf).select("site_id", "waste_carrier", "stop_id"), "waste_carrier", ["site_id"]).drop("site_id")
 
 
-@BOOK.add("join_semi_exists", "select stop_id, n_bins from stops s where exists (select 1 from stop_bins b where b.stop_id = s.stop_id and b.due and b.bin_id % 2 = 0)", **CP.V)
+@BOOK.add("join_semi_exists", "select stop_id, n_bins from stops s where exists (select 1 from stop_bins b where b.stop_id = s.stop_id and b.due)", **CP.V)
 def _(spark, sf):
     f = CP.fills(spark, sf)
     st = P.collection_stops(f, CP.DAY)
-    return P.stops_with_due(st, P.stop_bins(f, st).where(F.col("bin_id") % 2 == 0)).select("stop_id", "n_bins")
+    return P.stops_with_due(st, P.stop_bins(f, st)).select("stop_id", "n_bins")
 
 
 @BOOK.add("join_anti_not_exists", "select id, sub_district from bins b where sub_district is not null and not exists (select 1 from bin_population p where p.bin_id = b.id)")
@@ -52,9 +52,9 @@ def _(spark, sf):
 
 
 @BOOK.add("join_theta_since", """
-    select v.bin_id, v.okat, (select count(*) from requests r where r.bin_id = v.bin_id and r."timestamp" > v.okat) as later from (select bin_id, max(date) as okat from visits where was_serviced and id % 5 = 0 group by 1) v""")
+    select v.bin_id, v.okat, (select count(*) from requests r where r.bin_id = v.bin_id and r."timestamp" > v.okat) as later from (select bin_id, max(date) as okat from visits where was_serviced group by 1) v""")
 def _(spark, sf):
-    base = S.visits(spark, sf).where(F.col("was_serviced") & (F.col("id") % 5 == 0)).groupBy("bin_id").agg(F.max("date").alias("okat"))
+    base = S.visits(spark, sf).where("was_serviced").groupBy("bin_id").agg(F.max("date").alias("okat"))
     hits = S.requests(spark, sf).join(base, "bin_id").groupBy("bin_id").agg(F.count_if(F.col("timestamp") > F.col("okat")).alias("later"))
     return base.join(hits, "bin_id", "left").withColumn("later", F.coalesce("later", F.lit(0)))
 
@@ -71,10 +71,11 @@ def _(spark, sf):
     return S.bins(spark, sf).select(F.col("id").alias("bin_id")).join(last, "bin_id", "left").select("bin_id", F.col("s.date").alias("last_date"), F.col("s.collection_status").alias("last_status"))
 
 
-@BOOK.add("join_many_to_one_checked", "select s.row_id, g.med from scores s left join (select waste_type, quantile_cont(fill_level, 0.5) as med from scores where waste_type <> '5-LOW' group by 1) g on g.waste_type = s.waste_type")
+@BOOK.add("join_many_to_one_checked", "select s.row_id, g.med from scores s left join (select case when waste_type = '5-LOW' then 'retired' else waste_type end as waste_type, quantile_cont(fill_level, 0.5) as med from scores group by 1) g on g.waste_type = s.waste_type")
 def _(spark, sf):
     s = S.scores(spark, sf)
-    per = s.where(F.col("waste_type") != "5-LOW").groupBy("waste_type", "fill_level").agg(F.count("*").alias("n"))
+    renamed = F.when(F.col("waste_type") == "5-LOW", "retired").otherwise(F.col("waste_type"))
+    per = s.withColumn("waste_type", renamed).groupBy("waste_type", "fill_level").agg(F.count("*").alias("n"))
     med = per.groupBy("waste_type").agg(F.percentile("fill_level", 0.5, F.col("n")).alias("med"))
     return O.many_to_one(s.select("row_id", "waste_type"), med, ["waste_type"]).select("row_id", "med")
 

@@ -245,9 +245,10 @@ def _(spark, sf):
     select split, count(*) as rows, count(fill_level) as labeled_rows, count(distinct bin_id) as bins, count(distinct case when fill_level is not null then bin_id end) as labeled_bins,
       count(distinct case when bin_id not in (select bin_id from t where split = 'train') then bin_id end) as unseen_bins, count(distinct site_id) as sites,
       count(distinct case when site_id not in (select site_id from t where split = 'train') then site_id end) as unseen_sites, round(100.0::double * count(distinct bin_id) / 1000, 6) as registry_coverage_pct
-    from t where split is not null group by 1""", **PV, t="select * from pdays where not (split = 'train' and site_id % 8 = 0)")
+    from t where split is not null group by 1""", **PV, t="select * replace (case when split = 'train' and site_id % 8 = 0 then 'validation' else split end as split) from pdays")
 def _(spark, sf):
-    rows = split_days(spark, sf).where(~((F.col("split") == "train") & (F.col("site_id") % 8 == 0)))
+    moved = F.when((F.col("split") == "train") & (F.col("site_id") % 8 == 0), "validation").otherwise(F.col("split"))
+    rows = split_days(spark, sf).withColumn("split", moved)
     return P.split_profile(rows, 1000)
 
 
@@ -293,11 +294,11 @@ def _(spark, sf):
 
 @BOOK.add("correlated_features", """
     select 'l_quantity' as first, 'l_extendedprice' as second, round(corr(l_quantity, l_extendedprice), 6) as correlation from lineitem having abs(corr(l_quantity, l_extendedprice)) >= 0.3
-    union all select 'l_quantity', 'double_quantity', 1.0""")
+    union all select 'l_quantity', 'double_quantity', 1.0
+    union all select 'l_extendedprice', 'double_quantity', round(corr(l_quantity, l_extendedprice), 6) from lineitem having abs(corr(l_quantity, l_extendedprice)) >= 0.3""")
 def _(spark, sf):
     rows = S.table(spark, sf, "lineitem").withColumn("double_quantity", F.col("l_quantity") * 2 + 1)
-    out = P.correlated_features(rows, ["l_quantity", "l_extendedprice", "l_discount", "double_quantity"], 0.3)
-    return out.where(~((F.col("first") == "l_extendedprice") & (F.col("second") == "double_quantity")))
+    return P.correlated_features(rows, ["l_quantity", "l_extendedprice", "l_discount", "double_quantity"], 0.3)
 
 
 @BOOK.add("importance_rollup", "select p_brand as feature, round(sum(p_retailprice), 4) as importance, count(*) as columns from part group by 1", digits=4)

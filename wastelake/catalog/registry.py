@@ -69,21 +69,21 @@ def _(spark, sf):
     select coalesce(n.external_id, o.external_id) as external_id, case when n.external_id is not null then n.waste_type else o.waste_type end as waste_type,
       case when n.external_id is not null then n.city else o.city end as city
     from (select external_id, waste_type, city from bins where external_id is not null and id % 3 <> 0) o
-    full join (select external_id, upper(waste_type) as waste_type, null as city from bins where external_id is not null and id % 2 = 0) n on n.external_id = o.external_id""")
+    full join (select external_id, upper(waste_type) as waste_type, null as city from bins where external_id is not null and (id % 2 = 0 or id % 3 = 0)) n on n.external_id = o.external_id""")
 def _(spark, sf):
     bins = S.bins(spark, sf).where(F.col("external_id").isNotNull())
     old = bins.where(F.col("id") % 3 != 0).select("external_id", "waste_type", "city")
-    new = bins.where(F.col("id") % 2 == 0).select("external_id", F.upper("waste_type").alias("waste_type"), F.lit(None).cast("string").alias("city"))
+    new = bins.where((F.col("id") % 2 == 0) | (F.col("id") % 3 == 0)).select("external_id", F.upper("waste_type").alias("waste_type"), F.lit(None).cast("string").alias("city"))
     return O.merge_by_key(old, new, ["external_id"])
 
 
 @BOOK.add("merge_history", """
     select bin_id, date, was_serviced, case when max(age) = 1 then max(case when age = 1 then reason end) else max(reason) end as non_serviced_reason from (
       select bin_id, date_trunc('hour', date) as date, was_serviced, non_serviced_reason as reason, 0 as age from visits where id % 3 <> 0
-      union all select bin_id, date_trunc('hour', date), was_serviced, 'new_' || (id % 4)::varchar, 1 from visits where id % 2 = 0) group by 1, 2, 3""")
+      union all select bin_id, date_trunc('hour', date), was_serviced, 'new_' || (id % 4)::varchar, 1 from visits where id % 2 = 0 or id % 3 = 0) group by 1, 2, 3""")
 def _(spark, sf):
     hourly = S.visits(spark, sf).withColumn("date", F.date_trunc("hour", F.col("date")).cast("timestamp_ntz"))
-    new = hourly.where(F.col("id") % 2 == 0).withColumn("non_serviced_reason", F.concat(F.lit("new_"), (F.col("id") % 4).cast("string")))
+    new = hourly.where((F.col("id") % 2 == 0) | (F.col("id") % 3 == 0)).withColumn("non_serviced_reason", F.concat(F.lit("new_"), (F.col("id") % 4).cast("string")))
     return O.merge_history(hourly.where(F.col("id") % 3 != 0), new)
 
 

@@ -12,9 +12,9 @@ BOOK = Book()
 
 
 def events(spark, sf):
-    """The event log as a file stream with the shifted clock."""
+    """The event log, one file or a folder of files, as a file stream with the shifted clock."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     return raw.select(F.col("event_id").alias("id"), F.col("user_id").alias("bin_id"), (F.col("ts") + F.expr(f"interval {S.SHIFT_DAYS} days")).cast("timestamp_ntz").alias("date"), "event_type")
 
 

@@ -63,17 +63,30 @@ def feature_schema(properties: StructType) -> StructType:
     )
 
 
+CORRUPT = "_corrupt"
+
+
 def read_geojson(spark: SparkSession, path: str, properties: StructType, lines: bool = True) -> DataFrame:
-    """Polygon features, one per row; `lines` expects one feature per line, which splits over tasks."""
+    """Features, one per row, with the reason in `error` where a row is no polygon with rings.
+
+    `lines` expects one feature per line, which splits over tasks. A line that is no JSON is a row too.
+    """
     schema = feature_schema(properties)
+    broken = StructField(CORRUPT, StringType())
     if lines:
-        rows = spark.read.schema(schema).json(path)
+        rows = spark.read.schema(StructType([*schema.fields, broken])).option("columnNameOfCorruptRecord", CORRUPT).json(path)
     else:
-        whole = StructType([StructField("type", StringType()), StructField("features", ArrayType(schema))])
-        docs = spark.read.schema(whole).option("multiLine", True).json(path)
-        rows = docs.select(F.explode("features").alias("f")).select("f.*")
-    error = F.when(F.col("geometry.type") != "Polygon", "not_a_polygon").when(F.size("geometry.coordinates") < 1, "missing_rings")
-    return rows.select("id", "properties.*", F.col("geometry.coordinates").alias("rings"), error.alias("error"))
+        whole = StructType([StructField("type", StringType()), StructField("features", ArrayType(schema)), broken])
+        docs = spark.read.schema(whole).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+        rows = docs.select(F.explode_outer("features").alias("f"), CORRUPT).select("f.*", CORRUPT)
+    shape, rings = F.col("geometry.type"), F.col("geometry.coordinates")
+    error = (
+        F.when(F.col(CORRUPT).isNotNull(), "corrupt_record")
+        .when(shape.isNull(), "missing_geometry")
+        .when(shape != "Polygon", "not_a_polygon")
+        .when(F.coalesce(F.size(rings), F.lit(0)) < 1, "missing_rings")
+    )
+    return rows.select("id", "properties.*", rings.alias("rings"), error.alias("error"))
 
 
 # --- payloads ----------------------------------------------------------------------
@@ -93,15 +106,27 @@ ATTEMPT = "struct<service_date:string,is_serviced:string,non_serviced_reason:str
 
 
 def parse_history(payloads: DataFrame) -> DataFrame:
-    """Attempts of JSON pages (bin_id, page, payload) with an error code per bad entry."""
-    doc = F.from_json("payload", f"struct<data:array<{ATTEMPT}>>")
-    rows = payloads.select("bin_id", "page", F.posexplode(doc["data"]).alias("index", "item"))
+    """Attempts of JSON pages (bin_id, page, payload); every entry is a row, a bad one with an error code.
+
+    Entries are read one by one, so a bad entry spoils no other. A page that is no JSON object or has no list
+    under `data` is one row without index and the error bad_page or missing_data; an empty list has no entries.
+    """
+    page_ok = F.coalesce(F.json_object_keys("payload").isNotNull(), F.lit(False))
+    listed = F.get_json_object("payload", "$.data")
+    entries = F.from_json(F.when(F.ltrim(listed).startswith("["), listed), "array<string>")
+    lost = F.when(~page_ok, "bad_page").when(entries.isNull(), "missing_data")
+    pages = payloads.select("bin_id", "page", lost.alias("lost"), entries.alias("entries")).where("lost is not null or size(entries) > 0")
+    rows = pages.select("bin_id", "page", "lost", F.posexplode_outer("entries").alias("index", "entry"))
+    rows = rows.withColumns({"item": F.from_json("entry", ATTEMPT), "raw_reason": F.get_json_object("entry", "$.non_serviced_reason")})
+    is_object = F.coalesce(F.ltrim("entry").startswith("{"), F.lit(False))
+    reason_is_text = F.col("raw_reason").isNull() | F.coalesce(F.col("entry").rlike(r'"non_serviced_reason"\s*:\s*"'), F.lit(False))
     stamp = F.col("item.service_date")
     offset = stamp.rlike(r"[T ].*(Z|[+-]\d{2}:?\d{2})$")
     when = F.when(~offset, stamp).try_cast("timestamp_ntz")
     ok = parse_bool(F.col("item.is_serviced"))
     error = (
-        F.when(stamp.isNull(), "missing_timestamp").when(offset, "offset_timestamp").when(when.isNull(), "bad_timestamp").when(ok.isNull(), "bad_status")
+        F.when(F.col("lost").isNotNull(), F.col("lost")).when(~is_object, "bad_entry").when(~reason_is_text, "bad_reason")
+        .when(stamp.isNull(), "missing_timestamp").when(offset, "offset_timestamp").when(when.isNull(), "bad_timestamp").when(ok.isNull(), "bad_status")
     )
     return rows.select("bin_id", "page", "index", when.alias("date"), ok.alias("was_serviced"), F.col("item.non_serviced_reason").alias("non_serviced_reason"), error.alias("error"))
 
