@@ -346,14 +346,26 @@ def test_history_errors(spark):
     assert column(FI.dedup_history(parsed), "non_serviced_reason") == ["x"]
 
 
-def test_since_success_over_batches(spark):
+def test_since_success_out_of_order_and_over_restarts(spark, tmp_path):
     at = lambda h: datetime(2024, 6, 1, h)
     schema = "bin_id long, at timestamp_ntz, kind string"
-    one = spark.createDataFrame([(1, at(1), "success"), (1, at(2), "request"), (2, at(1), "request")], schema)
-    two = spark.createDataFrame([(1, at(5), "request"), (2, at(6), "success"), (2, at(7), "request"), (2, at(5), "request")], schema)
-    state = L.merge_since_success(L.merge_since_success(spark.createDataFrame([], L.STATE), one), two)
-    got = {r["bin_id"]: (r["submissions_since_success"], r["total_submissions"]) for r in state.collect()}
-    assert got == {1: (2, 2), 2: (1, 3)}
+    source, root, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    spark.createDataFrame([], schema).write.parquet(source)
+
+    def drain(rows):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        out = L.run_since_success(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), root, checkpoint)
+        return {r["bin_id"]: (r["latest_success"], r["submissions_since_success"], r["total_submissions"]) for r in out.collect()}
+
+    assert drain([]) == {}
+    assert drain([(1, at(1), "success"), (1, at(2), "request"), (2, at(1), "request"), (2, at(1), "request")]) == {1: (at(1), 1, 1), 2: (None, None, 2)}
+    # a late request before the success, a late success between two requests, a first success after old requests
+    late = {1: (at(1), 1, 2), 2: (at(6), 1, 5)}
+    assert drain([(1, at(0), "request"), (2, at(6), "success"), (2, at(7), "request"), (2, at(5), "request"), (2, at(3), "request")]) == late | {2: (at(6), 1, 5)}
+    assert drain([(2, at(4), "success"), (1, at(5), "request")]) == {1: (at(1), 2, 3), 2: (at(6), 1, 5)}
+    assert drain([(1, at(3), "success")]) == {1: (at(3), 1, 3), 2: (at(6), 1, 5)}
+    assert drain([]) == {1: (at(3), 1, 3), 2: (at(6), 1, 5)}
 
 
 def test_period_rules():
@@ -405,6 +417,4 @@ def test_geojson_rows_without_polygon_have_a_reason(spark, tmp_path):
         '{"type":"Feature","id":4,"geometry":{"type":"Polygon","coordinates":[]},"properties":{}}\n{"type":"Feature","id":5,"geometry":{"type":"Polygon"},"properties":{}}\n'
     )
     rows = FI.read_geojson(spark, str(tmp_path / "f.json"), StructType([StructField("a", StringType())])).collect()
-    assert sorted((r["id"] or 0, r["error"]) for r in rows) == [(0, "corrupt_record"), (1, None), (2, "missing_geometry"), (4, "missing_rings"), (5, "missing_rings")] or sorted(
-        (r["error"] or "" for r in rows)
-    ) == ["", "corrupt_record", "missing_geometry", "missing_rings", "missing_rings"]
+    assert sorted(r["error"] or "" for r in rows) == ["", "corrupt_record", "missing_geometry", "missing_rings", "missing_rings"]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from wastelake.session import fresh_path
 
@@ -44,47 +49,63 @@ def daily_trend(events: DataFrame, column: str, delay: str = WATERMARK) -> DataF
     )
 
 
-STATE = "bin_id long, latest_success timestamp_ntz, submissions_since_success long, total_submissions long"
+SINCE = "bin_id long, latest_success timestamp_ntz, submissions_since_success long, total_submissions long"
+_STATE = "latest long, total long, times array<long>, counts array<long>"
+_CHANGED = "bin_id long, latest long, since long, total long"
 
 
-def merge_since_success(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """New state per bin after one micro-batch of (bin_id, at, kind in success or request).
+def _count_since(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Fold new events of one bin into its state: latest success, all submissions, and the times of those after it.
 
-    Batches follow each other in event time; inside a batch order does not matter.
+    The latest success only ever moves forward, so a submission at or before it never counts again and can be
+    forgotten; one after it is kept, as a success that arrives late may still pass it. Order does not matter.
     """
-    ok, req = F.col("kind") == "success", F.col("kind") == "request"
-    latest = batch.where(ok).groupBy("bin_id").agg(F.max("at").alias("b_success"))
-    counted = batch.join(latest, "bin_id", "left").groupBy("bin_id").agg(
-        F.max("b_success").alias("b_success"), F.count_if(req).alias("b_total"),
-        F.count_if(req & (F.col("b_success").isNull() | (F.col("at") > F.col("b_success")))).alias("b_after"),
-    )
-    both = state.join(counted, "bin_id", "full")
-    newer = F.col("b_success").isNotNull() & (F.col("latest_success").isNull() | (F.col("b_success") > F.col("latest_success")))
-    success = F.when(newer, F.col("b_success")).otherwise(F.col("latest_success"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    after = F.when(newer, zero(F.col("b_after"))).otherwise(zero(F.col("submissions_since_success")) + zero(F.col("b_after")))
-    return both.select(
-        "bin_id", success.alias("latest_success"), F.when(success.isNotNull(), after).alias("submissions_since_success"),
-        (zero(F.col("total_submissions")) + zero(F.col("b_total"))).alias("total_submissions"),
-    )
+    latest, total, times, counts = state.get if state.exists else (None, 0, [], [])
+    waiting = Counter(dict(zip(times, counts)))
+    for frame in frames:
+        wins = frame.loc[frame["kind"] == "success", "at"]
+        latest = max([*([] if latest is None else [latest]), *([] if wins.empty else [int(wins.max())])], default=None)
+        asked = frame.loc[frame["kind"] == "request", "at"]
+        total += len(asked)
+        waiting.update(asked.tolist())
+    kept = sorted((t, n) for t, n in waiting.items() if latest is None or t > latest)
+    state.update((latest, total, [t for t, _ in kept], [n for _, n in kept]))
+    since = None if latest is None else sum(n for _, n in kept)
+    yield pd.DataFrame({"bin_id": [key[0]], "latest": pd.array([latest], "Int64"), "since": pd.array([since], "Int64"), "total": [total]})
+
+
+def since_success(events: DataFrame) -> DataFrame:
+    """Changed bins of a stream of (bin_id, at, kind in success or request), in update mode.
+
+    Rows without a bin or a time belong to no bin's history and are left out.
+    """
+    timed = events.where("bin_id is not null and at is not null").select("bin_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "kind")
+    changed = timed.groupBy("bin_id").applyInPandasWithState(_count_since, _CHANGED, _STATE, "update", "NoTimeout")
+    latest = F.timestamp_micros("latest").cast("timestamp_ntz")
+    return changed.select("bin_id", latest.alias("latest_success"), F.col("since").alias("submissions_since_success"), F.col("total").alias("total_submissions"))
 
 
 def run_since_success(events: DataFrame, root: str, checkpoint: str) -> DataFrame:
-    """Drain the stream; every batch writes a new version of the state table, so a replayed batch is harmless."""
-    spark: SparkSession = events.sparkSession
+    """Drain the stream and return the newest row of every bin.
 
-    def version(batch_id: int) -> str:
-        return f"{root}/version={batch_id:09d}"
+    Each batch writes only the bins it changed, in a folder of its own, so a replayed batch is harmless and a
+    restart without new data finds what was there.
+    """
+    spark: SparkSession = events.sparkSession
+    spark.createDataFrame([], SINCE).write.mode("ignore").parquet(f"{root}/batch=-1")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        state = s.read.schema(STATE).parquet(version(batch_id - 1)) if batch_id > 0 else s.createDataFrame([], STATE)
-        merge_since_success(state, batch).write.mode("overwrite").parquet(version(batch_id))
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
-    q = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress), default=0)
-    return spark.read.schema(STATE).parquet(version(last))
+    query = since_success(events).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return newest_since_success(spark, root)
+
+
+def newest_since_success(spark: SparkSession, root: str) -> DataFrame:
+    columns = ["latest_success", "submissions_since_success", "total_submissions"]
+    rows = spark.read.schema(f"{SINCE}, batch long").parquet(root)
+    return rows.groupBy("bin_id").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("bin_id", *[f"s.{c}" for c in columns])
 
 
 def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
