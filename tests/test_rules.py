@@ -299,9 +299,25 @@ def test_sample_is_stable(spark):
 
 def test_permuted_column_keeps_its_values(spark):
     df = spark.range(0, 400).select((F.col("id") % 40).alias("bin_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 40).cast("int")).alias("date"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("v"))
-    out = T.permuted(df, "v", 0, 4)
+    df = df.withColumn("w", F.col("v") * 2)
     key = lambda v: (v is None, v or 0)
-    assert sorted(column(out, "v"), key=key) == sorted(column(df, "v"), key=key)
+    for block in (50, 1000):
+        out = T.permuted(df, ["v", "w"], 0, block)
+        own = {(r["bin_id"], r["date"]): r for r in df.collect()}
+        for moved, still in (("v", "w"), ("w", "v")):
+            rows = out.where(F.col("feature") == moved).collect()
+            assert sorted((r[moved] for r in rows), key=key) == sorted(column(df, moved), key=key)
+            assert all(r[still] == own[r["bin_id"], r["date"]][still] for r in rows) and any(r[moved] != own[r["bin_id"], r["date"]][moved] for r in rows)
+
+
+def test_preparation_keeps_every_input(spark):
+    rows = [(i, 1.0 if i % 3 else None, None, "a" if i < 95 else f"r{i}", i % 5) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, c string, fill_level int")
+    prep = T.prepare(df, ["x", "y"], ["c"])
+    assert prep.medians == {"x": 1.0, "y": 0.0} and prep.common == {"c": ["a"]}
+    assert {r[0] for r in prep.apply(df.withColumn("c", F.lit("new"))).select("c_text").collect()} == {"__RARE__"}
+    with pytest.raises(ValueError):
+        T.fit("logistic", df.where("fill_level < 4"), ["x", "y"], ["c"])
 
 
 def test_fullness_is_monotone(spark):

@@ -239,11 +239,11 @@ def _(spark, sf):
     return next_day(spark, sf)
 
 
-def next_day(spark, sf, day_counters=None):
+def next_day(spark, sf, day_counters=None, end=END):
     """Next-day features where a fifth of the bins have their last ten days a year too early, so they end in a gap."""
     early = (F.col("bin_id") % 5 == 0) & (F.col("date") > F.lit(date(2024, 6, 20)))
     hist = S.bin_days(spark, sf).withColumn("date", F.when(early, F.date_sub("date", 365)).otherwise(F.col("date")))
-    return O.next_day_features(hist, S.bins(spark, sf), END, S.district_aliases(spark, sf), holidays(spark), S.bin_population(spark, sf), day_counters)
+    return O.next_day_features(hist, S.bins(spark, sf), end, S.district_aliases(spark, sf), holidays(spark), S.bin_population(spark, sf), day_counters)
 
 
 PERIODS = {"train": (date(2024, 6, 1), date(2024, 6, 18)), "validation": (date(2024, 6, 19), date(2024, 6, 24)), "test": (date(2024, 6, 25), date(2024, 6, 29))}

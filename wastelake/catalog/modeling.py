@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wastelake.catalog import calendar as CC
 from wastelake.catalog.book import Book
@@ -350,8 +351,11 @@ def _(spark, sf):
 
 # --- training ---
 
-CAT = SE.CATEGORICAL_FEATURES
-CANDIDATES = ["day_of_week", "capacity_m3", "resident_factor", "collections_last_28d", "missed_collections_28d", "qr_alerts", "days_since_last_successful_collection", "previous_worker_rating"]
+CAT, NUM = SE.CATEGORICAL_FEATURES, SE.NUMERIC_FEATURES
+CUT = date(2024, 6, 22)
+#: Trees and depth kept small, so that the registered queries stay short; both are parameters of the operator.
+FOREST = {"numTrees": 10, "maxDepth": 5}
+GRIDS = {"random_forest": {"numTrees": [5], "maxDepth": [3, 5]}, "logistic": {"maxIter": [8], "regParam": [0.03, 0.3]}}
 
 
 def matrix(spark, sf):
@@ -362,60 +366,111 @@ def matrix(spark, sf):
 
 def fitted(spark, sf, kind="random_forest", **params):
     rows = matrix(spark, sf)
-    train = rows.where((F.col("date") <= "2024-06-22") & F.col("fill_level").isNotNull())
-    numeric = T.usable_numeric(train, CANDIDATES)
-    return rows, numeric, T.fit(kind, train, numeric, CAT, **(params or {"numTrees": 10, "maxDepth": 5}))
+    return rows, T.fit(kind, rows.where(F.col("date") <= F.lit(CUT)), NUM, CAT, **(params or FOREST))
 
 
-@BOOK.add("preprocess_pipeline")
-def _(spark, sf):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
+def tested(rows):
+    return rows.where(F.col("date") > F.lit(CUT))
+
+
+INPUT = f"select {CC.FEATURES} from flagged"
+PREPARED = " union all ".join(
+    [f"select '{c}' as feature, null as value, count(*) filter (where {c} is null) as rows, round(sum(coalesce({c}::double, coalesce((select quantile_disc({c}::double, 0.5) from f where date <= date '2024-06-22' and fill_level is not null), 0))), 4) as total from f" for c in NUM]
+    + [
+        f"select '{c}', case when coalesce({c}::varchar, '__MISSING__') in (select coalesce({c}::varchar, '__MISSING__') from f where date <= date '2024-06-22' and fill_level is not null group by 1 having count(*) >= 5) then coalesce({c}::varchar, '__MISSING__') else '__RARE__' end, count(*), null from f group by 2"
+        for c in CAT
+    ]
+)
+
 
+@BOOK.add("preprocess_pipeline", f"with f as ({INPUT}) {PREPARED}", digits=4, **CC.V)
+def _(spark, sf):
+    """Per number the rows without a value and the filled total, per category the rows of each folded value."""
     rows = matrix(spark, sf)
-    train = rows.where(F.col("date") <= "2024-06-22")
-    numeric = T.usable_numeric(train, CANDIDATES)
-    ready = T.model_input(rows, numeric, CAT)
-    ready = T.fold_rare(ready, T.model_input(train, numeric, CAT), CAT)
-    out = Pipeline(stages=T.preprocess_stages(numeric, CAT)).fit(ready.where(F.col("date") <= "2024-06-22")).transform(ready)
-    v = vector_to_array("features")
-    return out.select("bin_id", "date", F.size(v).alias("width"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    ready = T.prepare(rows.where((F.col("date") <= F.lit(CUT)) & F.col("fill_level").isNotNull()), NUM, CAT).apply(rows)
+    parts = [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("string").alias("value"), F.col(f"{c}_missing").cast("long").alias("rows"), F.col(f"{c}_filled").alias("total")) for c in NUM]
+    parts += [F.struct(F.lit(c).alias("feature"), F.col(f"{c}_text").alias("value"), F.lit(1).cast("long").alias("rows"), F.lit(None).cast("double").alias("total")) for c in CAT]
+    return ready.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.feature", "p.value").agg(F.sum("p.rows").alias("rows"), F.round(F.sum("p.total"), 4).alias("total"))
 
 
 @BOOK.add("train_forest")
 def _(spark, sf):
-    rows, numeric, model = fitted(spark, sf)
-    return T.predict(model, rows.where(F.col("date") > "2024-06-22"), numeric, CAT).select("bin_id", "date", "fill_level", "predicted_fill_level", "needs_collection_probability")
+    rows, model = fitted(spark, sf)
+    return T.predict(model, tested(rows)).select("bin_id", "date", "fill_level", "predicted_fill_level", "needs_collection_probability")
 
 
 @BOOK.add("train_second_model")
 def _(spark, sf):
-    rows, numeric, model = fitted(spark, sf, "logistic", maxIter=8, regParam=0.05)
-    return T.predict(model, rows.where(F.col("date") > "2024-06-22"), numeric, CAT).select("bin_id", "date", "fill_level", "predicted_fill_level", "needs_collection_probability")
+    rows, model = fitted(spark, sf, "logistic", maxIter=8, regParam=0.05)
+    return T.predict(model, tested(rows)).select("bin_id", "date", "fill_level", "predicted_fill_level", "needs_collection_probability")
+
+
+def audited(predictions, train):
+    """One row: coverage of the keys, valid probabilities, consistent class, and whether the majority class is beaten."""
+    p = F.col("probabilities")
+    most = train.where(F.col("fill_level").isNotNull()).groupBy("fill_level").agg(F.count("*").alias("n")).agg(F.max_by("fill_level", F.struct("n", -F.col("fill_level"))).alias("majority"))
+    right = lambda c: F.count_if(F.col("fill_level") == c)
+    return predictions.join(most, F.lit(True)).agg(
+        F.count("*").alias("rows"), (F.count("*") - F.count_distinct("bin_id", "date")).alias("repeated_keys"),
+        F.count_if(F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9).alias("bad_sums"), F.count_if(F.exists(p, lambda x: (x < 0) | (x > 1))).alias("outside"),
+        F.count_if(F.array_position(p, F.array_max(p)) - 1 != F.col("predicted_fill_level")).alias("argmax_mismatch"),
+        (right(F.col("predicted_fill_level")) * 1.1 >= right(F.col("majority"))).alias("near_or_above_majority"),
+    )
+
+
+AUDIT = "0::bigint as repeated_keys, 0::bigint as bad_sums, 0::bigint as outside, 0::bigint as argmax_mismatch"
+
+
+@BOOK.add("train_forest_audit", f"select count(*) as rows, {AUDIT}, true as near_or_above_majority from bin_days where date > date '2024-06-22'")
+def _(spark, sf):
+    rows, model = fitted(spark, sf, balanced=False, **FOREST)
+    return audited(T.predict(model, tested(rows)), rows.where(F.col("date") <= F.lit(CUT)))
+
+
+@BOOK.add("train_second_model_audit", f"select count(*) as rows, {AUDIT} from bin_days where date > date '2024-06-22'")
+def _(spark, sf):
+    rows, model = fitted(spark, sf, "logistic", maxIter=40, regParam=0.05, balanced=False)
+    return audited(T.predict(model, tested(rows)), rows.where(F.col("date") <= F.lit(CUT))).drop("near_or_above_majority")
 
 
 @BOOK.add("temporal_grid_search")
 def _(spark, sf):
-    rows = matrix(spark, sf)
-    numeric = T.usable_numeric(rows, CANDIDATES)
     folds = T.expanding_folds(date(2024, 6, 1), [date(2024, 6, 15), date(2024, 6, 20), date(2024, 6, 25)])
-    return T.temporal_grid_search(rows, "random_forest", {"maxDepth": [3, 5], "numTrees": [5]}, folds, numeric, CAT)
+    return T.temporal_grid_search(matrix(spark, sf), GRIDS, folds, NUM, CAT)
+
+
+FORECAST_DAYS = 3
 
 
 @BOOK.add("predict_registry_days")
 def _(spark, sf):
-    _, numeric, model = fitted(spark, sf)
-    return T.predict(model, CC.next_day(spark, sf), numeric, CAT).select("bin_id", "date", "predicted_fill_level", "needs_collection_probability")
+    """Forecasts of every registry bin for each day of a range, each from the history up to the day before."""
+    _, model = fitted(spark, sf)
+    ends = [CC.END - timedelta(days=k) for k in range(FORECAST_DAYS)]
+    return reduce(DataFrame.unionByName, [T.predict(model, CC.next_day(spark, sf, end=end)) for end in ends]).select("bin_id", "date", "predicted_fill_level", "needs_collection_probability")
+
+
+@BOOK.add("predict_registry_days_audit", f"select d as date, count(*) as bins, count(*) as forecasts from bins, (select unnest(generate_series(date '2024-07-01' - {FORECAST_DAYS - 1}, date '2024-07-01', interval 1 day))::date as d) group by 1")
+def _(spark, sf):
+    rows = BOOK.queries["predict_registry_days"](spark, sf)
+    valid = F.col("predicted_fill_level").between(0, 4) & F.col("needs_collection_probability").between(0, 1)
+    return rows.groupBy("date").agg(F.count_distinct("bin_id").alias("bins"), F.count_if(valid).alias("forecasts"))
 
 
 @BOOK.add("permutation_importance")
 def _(spark, sf):
-    rows, numeric, model = fitted(spark, sf)
-    return T.permutation_importance(model, rows.where(F.col("date") > "2024-06-22"), ["qr_alerts", "previous_worker_rating"], numeric, CAT, repeats=2)
+    rows, model = fitted(spark, sf)
+    return T.permutation_importance(model, tested(rows), [*NUM, *CAT])
 
 
 @BOOK.add("forest_importances")
 def _(spark, sf):
-    _, numeric, model = fitted(spark, sf)
-    enc = T.encoded_importances(model, numeric, CAT, spark)
+    _, model = fitted(spark, sf)
+    enc = T.encoded_importances(model, NUM, CAT, spark)
     return P.importance_rollup(enc.select("encoded", "importance"), enc.select("encoded", "feature"))
+
+
+@BOOK.add("forest_importances_audit", f"select 1.0 as total, {len(CAT) + len(NUM)}::bigint as features, 0::bigint as negative", digits=4)
+def _(spark, sf):
+    rows = BOOK.queries["forest_importances"](spark, sf)
+    return rows.agg(F.sum("importance").alias("total"), F.count("*").alias("features"), F.count_if(F.col("importance") < 0).alias("negative"))

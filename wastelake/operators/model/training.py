@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -15,42 +17,53 @@ from wastelake.functions import hashing as H
 from wastelake.operators.model import metrics as M
 
 RARE = 5
+CLASSES = 5
+MISSING, RARE_VALUE = "__MISSING__", "__RARE__"
 
 
-def model_input(rows: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Numbers as double with a missing indicator each; categories as text; label as double."""
-    out = {c: F.col(c).cast("double") for c in numeric}
-    out.update({f"{c}_missing": F.col(c).isNull().cast("double") for c in numeric})
-    out.update({c: F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")) for c in categorical})
-    return rows.withColumns(out).withColumn("label", F.col("fill_level").cast("double"))
+@dataclass(frozen=True)
+class Preparation:
+    """What the training rows say about the inputs: a median per number, the common values per category."""
 
+    medians: dict[str, float]
+    common: dict[str, list[str]]
 
-def usable_numeric(train: DataFrame, numeric: list[str]) -> list[str]:
-    """Numeric inputs with at least one known training value; a median needs one."""
-    row = train.agg(*[F.count(F.col(c)).alias(c) for c in numeric]).first()
-    return [c for c in numeric if row[c] > 0]
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """Numbers filled with the training median plus a missing indicator each; rare and new categories folded to one value."""
+        out = {}
+        for c, median in self.medians.items():
+            out[f"{c}_filled"] = F.coalesce(F.col(c).cast("double"), F.lit(median))
+            out[f"{c}_missing"] = F.col(c).isNull().cast("double")
+        for c, values in self.common.items():
+            text = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+            out[f"{c}_text"] = F.when(text.isin(values), text).otherwise(RARE_VALUE)
+        return rows.withColumns(out).withColumn("label", F.col("fill_level").cast("double"))
 
 
-def fold_rare(rows: DataFrame, train: DataFrame, categorical: list[str], minimum: int = RARE) -> DataFrame:
-    """Training categories below the minimum count become one rare value, on both frames' scale."""
-    n = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in categorical])).alias("f")).groupBy("f.feature", "f.value").agg(F.count("*").alias("n"))
-    rare = n.where(F.col("n") < minimum)
-    for c in categorical:
-        own = rare.where(F.col("feature") == c).select(F.col("value").alias(c), F.lit(True).alias("is_rare"))
-        rows = rows.join(own, c, "left").withColumn(c, F.when(F.col("is_rare"), "__RARE__").otherwise(F.col(c))).drop("is_rare")
-    return rows
+def prepare(train: DataFrame, numeric: list[str], categorical: list[str], rare: int = RARE) -> Preparation:
+    """Every input stays: a number without any training value is filled with 0, a category seen fewer than `rare` times is folded."""
+    medians = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in numeric]).first()
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value")) for c in categorical]))
+    counted = train.select(pairs.alias("f")).groupBy("f.feature", "f.value").agg(F.count("*").alias("n")).where(F.col("n") >= rare)
+    seen = counted.groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("values")).collect()  # a few hundred values in all
+    common = {c: [] for c in categorical} | {r["feature"]: r["values"] for r in seen}
+    return Preparation({c: 0.0 if medians[c] is None else float(medians[c]) for c in numeric}, common)
 
 
-def preprocess_stages(numeric: list[str], categorical: list[str]) -> list:
-    filled = [f"{c}_filled" for c in numeric]
+def encoding_stages(numeric: list[str], categorical: list[str]) -> list:
     return [
-        Imputer(strategy="median", inputCols=numeric, outputCols=filled, relativeError=0.001),
-        StringIndexer(inputCols=categorical, outputCols=[f"{c}_index" for c in categorical], handleInvalid="keep"),
+        StringIndexer(inputCols=[f"{c}_text" for c in categorical], outputCols=[f"{c}_index" for c in categorical], handleInvalid="keep"),
         OneHotEncoder(inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_vec" for c in categorical], handleInvalid="keep"),
-        VectorAssembler(inputCols=[*filled, *[f"{c}_missing" for c in numeric], *[f"{c}_vec" for c in categorical]], outputCol="features"),
+        VectorAssembler(inputCols=[*[f"{c}_filled" for c in numeric], *[f"{c}_missing" for c in numeric], *[f"{c}_vec" for c in categorical]], outputCol="features"),
     ]
 
 
+@dataclass(frozen=True)
+class FillModel:
+    preparation: Preparation
+    pipeline: PipelineModel
+
+
 def with_class_weights(train: DataFrame) -> DataFrame:
     """Weights inverse to the class frequency; one small joined table."""
     n = train.groupBy("label").agg(F.count("*").alias("n"))
@@ -59,25 +72,34 @@ def with_class_weights(train: DataFrame) -> DataFrame:
     return train.join(w, "label")
 
 
-def fit(kind: str, train: DataFrame, numeric: list[str], categorical: list[str], **params) -> PipelineModel:
-    """Preprocessing plus a class-weighted forest or a multinomial logistic regression."""
+def fit(kind: str, train: DataFrame, numeric: list[str], categorical: list[str], balanced: bool = True, **params) -> FillModel:
+    """Preparation plus a forest or a multinomial logistic regression, class-weighted on demand; needs all five classes."""
+    labeled = train.where(F.col("fill_level").isNotNull())
+    classes = sorted(r[0] for r in labeled.select(F.col("fill_level").cast("int")).distinct().collect())
+    if classes != list(range(CLASSES)):
+        raise ValueError(f"training rows hold the classes {classes}; all of 0 to {CLASSES - 1} are needed")
+    weight = {"weightCol": "class_weight"} if balanced else {}
     if kind == "random_forest":
-        model = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="class_weight", seed=H.SEED, **params)
+        model = RandomForestClassifier(featuresCol="features", labelCol="label", seed=H.SEED, **weight, **params)
     elif kind == "logistic":
-        model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="class_weight", family="multinomial", **params)
+        model = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", **weight, **params)
     else:
         raise ValueError(f"unknown model {kind!r}")
-    ready = with_class_weights(model_input(train.where(F.col("fill_level").isNotNull()), numeric, categorical))
-    return Pipeline(stages=[*preprocess_stages(numeric, categorical), model]).fit(ready)
+    preparation = prepare(labeled, numeric, categorical)
+    ready = with_class_weights(preparation.apply(labeled))
+    return FillModel(preparation, Pipeline(stages=[*encoding_stages(numeric, categorical), model]).fit(ready))
 
 
-def predict(model: PipelineModel, rows: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+def predict(model: FillModel, rows: DataFrame) -> DataFrame:
     """Rows with a five-class probability array and the derived class and flag."""
     keep = [F.col(f"`{c}`") for c in rows.columns]
-    out = model.transform(model_input(rows, numeric, categorical).select("*"))
-    p = vector_to_array("probability")
-    padded = F.slice(F.concat(p, F.array_repeat(F.lit(0.0), 5)), 1, 5)
-    return M.scored(out.withColumn("probabilities", padded).select(*keep, "probabilities"))
+    out = model.pipeline.transform(model.preparation.apply(rows))
+    return M.scored(out.withColumn("probabilities", vector_to_array("probability")).select(*keep, "probabilities"))
+
+
+def selection_score(predictions: DataFrame) -> float:
+    """F1 of the collection flag at one half: what the search, the choice and the importances go by."""
+    return float(M.binary_metrics(M.counts(predictions, threshold=0.5)).first()["f1"])
 
 
 def expanding_folds(start: date, cuts: list[date]) -> list[tuple[tuple[date, date], tuple[date, date]]]:
@@ -85,57 +107,74 @@ def expanding_folds(start: date, cuts: list[date]) -> list[tuple[tuple[date, dat
     return [((start, a), (a, b)) for a, b in zip(cuts, cuts[1:])]
 
 
-def temporal_grid_search(rows: DataFrame, kind: str, grid: dict[str, list], folds, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Mean and deviation of the collection F1 per candidate over expanding folds.
+def candidates(grid: dict[str, list]) -> list[dict]:
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
+
+
+def refined(kind: str, best: dict) -> dict[str, list]:
+    """A small grid around the best coarse candidate."""
+    around = {"maxDepth": [max(2, best["maxDepth"] - 2), best["maxDepth"] + 2], "featureSubsetStrategy": ["sqrt", "0.7"]} if kind == "random_forest" else {"regParam": [best["regParam"] / 3, best["regParam"] * 3], "elasticNetParam": [0.0, 0.5]}
+    return {name: [value] for name, value in best.items()} | around
+
 
-    Candidates and folds are a short driver loop of distributed fits; only scores come back.
+def temporal_grid_search(rows: DataFrame, grids: dict[str, dict[str, list]], folds, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """Mean and deviation of the selection score per model, phase and candidate over expanding folds.
+
+    The coarse grid of each model is searched first, then a refined grid around its best candidate. Candidates and
+    folds are a driver loop of distributed fits; only scores come back.
     """
-    names = sorted(grid)
+    inside = lambda r: (F.col("date") >= F.lit(r[0])) & (F.col("date") < F.lit(r[1]))
+    parts = [(rows.where(inside(a)), rows.where(inside(b) & F.col("fill_level").isNotNull())) for a, b in folds]
     out = []
-    for values in product(*(grid[n] for n in names)):
-        params = dict(zip(names, values))
-        for i, (fit_range, score_range) in enumerate(folds):
-            inside = lambda r: (F.col("date") >= F.lit(r[0])) & (F.col("date") < F.lit(r[1]))
-            model = fit(kind, rows.where(inside(fit_range)), numeric, categorical, **params)
-            scored = predict(model, rows.where(inside(score_range) & F.col("fill_level").isNotNull()), numeric, categorical)
-            f1 = M.binary_metrics(M.counts(scored, threshold=0.5)).first()["f1"]
-            out.append((",".join(f"{k}={v}" for k, v in params.items()), i, float(f1)))
-    table = rows.sparkSession.createDataFrame(out, "candidate string, fold int, score double")
-    return table.groupBy("candidate").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.count("*").alias("folds"))
-
-
-BLOCK_ROWS = 10_000
-
-
-def permuted(rows: DataFrame, column: str, repeat: int, blocks: int) -> DataFrame:
-    """The column moved to another row: a cyclic shift in hash order inside hash blocks of bounded size."""
-    order = H.uniform(f"perm-{column}-{repeat}", F.col("bin_id"), F.col("date"))
-    w = W.partitionBy("block").orderBy("order", "bin_id", "date")
-    all_rows = W.partitionBy("block").orderBy("order", "bin_id", "date").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    tagged = rows.withColumns({"block": F.pmod(F.xxhash64("bin_id", "date", F.lit(repeat)), F.lit(blocks)), "order": order})
-    boxed = tagged.withColumn("boxed", F.struct(F.col(column)))
-    moved = boxed.withColumn("moved", F.coalesce(F.lead("boxed").over(w), F.first("boxed").over(all_rows)))
-    return moved.withColumn(column, F.col("moved").getField(column)).drop("block", "order", "boxed", "moved")
-
-
-def permutation_importance(model: PipelineModel, rows: DataFrame, columns: list[str], numeric: list[str], categorical: list[str], repeats: int = 3) -> DataFrame:
-    """Accuracy lost when a column is shuffled, mean over repeats; each column is its own distributed job."""
+    for kind, grid in grids.items():
+        best = None
+        for phase in ("coarse", "refined"):
+            for params in candidates(grid if phase == "coarse" else refined(kind, best[1])):
+                scores = [selection_score(predict(fit(kind, train, numeric, categorical, **params), test)) for train, test in parts]
+                mean = sum(scores) / len(scores)
+                out += [(kind, phase, ",".join(f"{k}={v}" for k, v in params.items()), score) for score in scores]
+                if best is None or mean > best[0]:
+                    best = (mean, params)
+    table = rows.sparkSession.createDataFrame(out, "model string, phase string, candidate string, score double")
+    return table.groupBy("model", "phase", "candidate").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.count("*").alias("folds"))
+
+
+#: Rows among which values change places; one rule at any size.
+PERMUTATION_BLOCK = 10_000
+
+
+def permuted(rows: DataFrame, columns: list[str], repeat: int, block: int = PERMUTATION_BLOCK) -> DataFrame:
+    """Each row once per column with that column's value from another row: the next in hash order, cyclic in blocks.
+
+    Blocks are ranges of the hash, as many as give about `block` rows each.
+    """
+    n = max(1, -(-rows.count() // block))
+    order = H.uniform(f"perm-{repeat}", F.col("bin_id"), F.col("date"))
+    w = W.partitionBy("_block").orderBy("_order", "bin_id", "date")
+    everything = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    boxed = rows.withColumns({"_order": order, "_own": F.struct(*columns)}).withColumn("_block", F.floor(F.col("_order") * n))
+    moved = boxed.withColumn("_moved", F.coalesce(F.lead("_own").over(w), F.first("_own").over(everything))).withColumn("feature", F.explode(F.array(*map(F.lit, columns))))
+    swapped = {c: F.when(F.col("feature") == c, F.col("_moved")[c]).otherwise(F.col("_own")[c]) for c in columns}
+    return moved.withColumns(swapped).drop("_order", "_own", "_block", "_moved")
+
+
+def permutation_importance(model: FillModel, rows: DataFrame, columns: list[str], repeats: int = 3) -> DataFrame:
+    """Selection score lost when a column changes places, mean over repeats; every column is scored in one job per repeat."""
     labeled = rows.where(F.col("fill_level").isNotNull())
-    n = labeled.count()
-    blocks = max(1, n // BLOCK_ROWS)
-    accuracy = lambda df: predict(model, df, numeric, categorical).agg(F.avg((F.col("fill_level") == F.col("predicted_fill_level")).cast("double"))).first()[0]
-    base = accuracy(labeled)
-    out = [(c, r, base - accuracy(permuted(labeled, c, r, blocks))) for c in columns for r in range(repeats)]
-    table = rows.sparkSession.createDataFrame(out, "feature string, repeat int, loss double")
-    return table.groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_pop("loss").alias("std"))
+    base = selection_score(predict(model, labeled))
+    parts = []
+    for r in range(repeats):
+        cells = M.counts(predict(model, permuted(labeled, columns, r)), ["feature"], threshold=0.5)
+        parts.append(M.binary_metrics(cells, ["feature"]).select("feature", (F.lit(base) - F.col("f1")).alias("loss")))
+    return reduce(DataFrame.unionByName, parts).groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_pop("loss").alias("std"))
 
 
-def encoded_importances(model: PipelineModel, numeric: list[str], categorical: list[str], spark) -> DataFrame:
+def encoded_importances(model: FillModel, numeric: list[str], categorical: list[str], spark) -> DataFrame:
     """Forest importances by encoded column with the original feature; bounded by the encoded width."""
-    sizes = {c: len(labels) + 1 for c, labels in zip(categorical, model.stages[1].labelsArray)}
+    sizes = {c: len(labels) + 1 for c, labels in zip(categorical, model.pipeline.stages[0].labelsArray)}
     encoded = [(f"{c}", c) for c in numeric] + [(f"{c}_missing", c) for c in numeric]
     for c in categorical:
         encoded += [(f"{c}={i}", c) for i in range(sizes[c])]
-    values = model.stages[-1].featureImportances.toArray()
+    values = model.pipeline.stages[-1].featureImportances.toArray()
     rows = [(name, feature, float(v)) for (name, feature), v in zip(encoded, values)]
     return spark.createDataFrame(rows, "encoded string, feature string, importance double")
