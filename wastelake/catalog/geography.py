@@ -110,22 +110,6 @@ def _(spark, sf):
     return nearest_facilities(S.sites(spark, sf), 54.7, 25.25, 10).select("id", "distance_metres")
 
 
-@BOOK.add("haversine_pairs", f"""
-    select stop_id, depot_id, distance_m, (round_even(distance_m / (30.0::double / 3.6::double), 0) + case when to_depot then 900 else 0 end)::bigint as duration_s, to_depot from (
-      select s.id as stop_id, l.id as depot_id, to_depot, round_even({HAV.format(r='6371000', a='s.latitude', b='l.latitude', c='s.longitude', d='l.longitude')} * 1.3::double, 0)::bigint as distance_m
-      from sites s, landfills l, (select unnest([true, false]) as to_depot) where l.latitude is not null)""")
-def _(spark, sf):
-    from wastelake.operators import planning as P
-
-    depots = S.landfills(spark, sf).where(F.col("latitude").isNotNull())
-    sites = S.sites(spark, sf).select(F.col("id").alias("stop_id"), "latitude", "longitude")
-    depot_array = depots.agg(F.collect_list(F.struct(F.col("id").alias("depot_id"), F.col("latitude").alias("dlat"), F.col("longitude").alias("dlon"))).alias("depots"))
-    pairs = sites.join(depot_array, F.lit(True)).withColumn("d", F.explode("depots")).select("stop_id", "latitude", "longitude", "d.*")
-    pairs = pairs.withColumn("to_depot", F.explode(F.array(F.lit(True), F.lit(False))))
-    legs = P.legs(pairs, ("latitude", "longitude"), ("dlat", "dlon"), F.col("to_depot"))
-    return legs.select("stop_id", "depot_id", "distance_m", "duration_s", "to_depot")
-
-
 MX = "((longitude + 180.0::double) / 360.0::double)"
 MY = "((1.0::double - ln(tan(radians(latitude)) + sqrt(tan(radians(latitude)) * tan(radians(latitude)) + 1.0::double)) / pi()) / 2.0::double)"
 

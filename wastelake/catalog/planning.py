@@ -208,6 +208,19 @@ def _(spark, sf):
     return O.assignment_coverage(got, f.where("due"))
 
 
+@BOOK.add("haversine_pairs", f"""
+    select stop_id, depot_id, distance_m, (round_even(distance_m / (30.0::double / 3.6::double), 0) + case when to_depot then 900 else 0 end)::bigint as duration_s, to_depot from (
+      select s.stop_id, d.depot_id, to_depot, round_even({HAV.format(r='6371000', a='x.latitude', b='d.latitude', c='x.longitude', d='d.longitude')} * 1.3::double, 0)::bigint as distance_m
+      from stops s join sites x on x.id = s.site_id join (select distinct t.waste_carrier, l.id as depot_id, l.latitude, l.longitude from trucks t join landfills l on l.id = t.landfill_id
+        where available and not deleted and l.latitude is not null and max_volume_m3 > 0) d on d.waste_carrier = s.waste_carrier, (select unnest([true, false]) as to_depot))""", **V)
+def _(spark, sf):
+    """Both directions between each stop and the depots of its carrier's own trucks."""
+    place = S.sites(spark, sf).select(F.col("id").alias("site_id"), "latitude", "longitude")
+    depots = O.eligible_trucks(S.trucks(spark, sf), S.landfills(spark, sf)).select("waste_carrier", F.col("landfill_id").alias("depot_id"), F.col("depot_lat").alias("dlat"), F.col("depot_lon").alias("dlon")).distinct()
+    pairs = stops(spark, sf).join(place, "site_id").join(depots, "waste_carrier").withColumn("to_depot", F.explode(F.array(F.lit(True), F.lit(False))))
+    return O.legs(pairs, ("latitude", "longitude"), ("dlat", "dlon"), F.col("to_depot")).select("stop_id", "depot_id", "distance_m", "duration_s", "to_depot")
+
+
 def all_jobs(spark, sf):
     """Every stop of every carrier, four times its load, so that some stops fit no truck."""
     place = S.sites(spark, sf).select(F.col("id").alias("site_id"), "latitude", "longitude")

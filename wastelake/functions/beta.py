@@ -23,9 +23,6 @@ def ln_beta(a: Column, b: Column) -> Column:
     return ln_gamma(a) + ln_gamma(b) - ln_gamma(a + b)
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
 def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function (modified Lentz), all rows at once."""
     tiny = 1e-300
@@ -49,11 +46,11 @@ def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h
 
 
-def beta_cdf(x, a, b) -> np.ndarray:
-    """Regularised incomplete beta function."""
-    x, a, b = [np.array(v, dtype=float) for v in np.broadcast_arrays(x, a, b)]
+def beta_cdf(x, a, b, ln_b) -> np.ndarray:
+    """Regularised incomplete beta function; `ln_b` is the log of the complete one, a column's `ln_beta`."""
+    x, a, b, ln_b = [np.array(v, dtype=float) for v in np.broadcast_arrays(x, a, b, ln_b)]
     inside = np.clip(x, 1e-300, 1 - 1e-16)
-    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inside) + b * np.log1p(-inside))
+    front = np.exp(a * np.log(inside) + b * np.log1p(-inside) - ln_b)
     swap = inside > (a + 1) / (a + b + 2)
     aa, bb, xx = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - inside, inside)
     value = front * _fraction(aa, bb, xx) / aa
@@ -61,12 +58,12 @@ def beta_cdf(x, a, b) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
 
 
-def beta_quantile(p, a, b) -> np.ndarray:
+def beta_quantile(p, a, b, ln_b) -> np.ndarray:
     """Inverse by bisection on every row at once."""
-    p, a, b = [np.array(v, dtype=float) for v in np.broadcast_arrays(p, a, b)]
+    p, a, b, ln_b = [np.array(v, dtype=float) for v in np.broadcast_arrays(p, a, b, ln_b)]
     low, high = np.zeros_like(p), np.ones_like(p)
     for _ in range(60):
         mid = (low + high) / 2
-        below = beta_cdf(mid, a, b) < p
+        below = beta_cdf(mid, a, b, ln_b) < p
         low, high = np.where(below, mid, low), np.where(below, high, mid)
     return (low + high) / 2
