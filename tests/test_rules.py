@@ -435,3 +435,18 @@ def test_geojson_rows_without_polygon_have_a_reason(spark, tmp_path):
     )
     rows = FI.read_geojson(spark, str(tmp_path / "f.json"), StructType([StructField("a", StringType())])).collect()
     assert sorted(r["error"] or "" for r in rows) == ["", "corrupt_record", "missing_geometry", "missing_rings", "missing_rings"]
+
+
+def test_broken_polygons_are_counted_and_summary_keeps_to_its_geography(spark):
+    ring = lambda x, y, w: [[[x, y], [x + w, y], [x + w, y + w], [x, y + w], [x, y]]]
+    bow = [[[25.1, 54.7], [25.2, 54.8], [25.2, 54.7], [25.1, 54.8], [25.1, 54.7]]]
+    polygons = spark.createDataFrame([(1, "a", ring(25.1, 54.6, 0.1)), (2, "b", ring(25.15, 54.6, 0.1)), (3, "bow", bow), (4, "far", ring(10.0, 10.0, 1.0))], "id long, name string, rings array<array<array<double>>>")
+    bins = spark.createDataFrame([(1, 54.65, 25.12), (2, 54.65, 25.17), (3, 54.65, 25.22), (4, 10.5, 10.5)], "id long, latitude double, longitude double").withColumns({c: F.lit(None).cast("string") for c in ("site_id", "waste_type", "waste_carrier", "object_group")}).withColumn("capacity_m3", F.lit(1.0))
+    area = Area((25.0, 54.5, 25.3, 54.9), datetime(2024, 6, 26))
+    rows = AR.geographic_context(bins, polygons, area).collect()
+    assert {r["id"]: (r["selected_bin_count"], r["invalid_polygons"]) for r in rows} == {1: (2, 1), 2: (1, 1)}
+    visits = spark.createDataFrame([(1, datetime(2024, 6, 20), True), (3, datetime(2024, 6, 20), False), (4, datetime(2024, 6, 20), True)], "bin_id long, date timestamp_ntz, was_serviced boolean")
+    requests = spark.createDataFrame([], "bin_id long, timestamp timestamp_ntz")
+    got = {i: {r["part"]: (r["bins"], r["attempts"]) for r in AR.geographic_summary(bins, polygons, visits, requests, area, i).collect()} for i in (1, 2, 3, 4)}
+    assert got[1] == {"whole_geography": (2, 1), "selected_intersection": (2, 1)} and got[2] == {"whole_geography": (1, 1), "selected_intersection": (1, 1)}
+    assert got[3] == {} and got[4] == {"whole_geography": (1, 1)}

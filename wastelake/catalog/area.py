@@ -292,7 +292,7 @@ MEM = {"mem": f"select b.id, min(d.id) as polygon_id, count(d.id) as matches fro
 
 @BOOK.add("geographic_context", """
     select d.id, d.name, (select count(*) from mem where polygon_id = d.id) as selected_bin_count, (select count(*) from abins) as selected_bins,
-      (select count(*) from abins where id not in (select id from mem)) as unmatched_bins, (select count(*) from mem where matches > 1) as ambiguous_bins
+      (select count(*) from abins where id not in (select id from mem)) as unmatched_bins, (select count(*) from mem where matches > 1) as ambiguous_bins, 0 as invalid_polygons
     from districts d where x0 <= 25.40 and x1 >= 25.05 and y0 <= 54.80 and y1 >= 54.60""", **V, **MEM)
 def _(spark, sf):
     return O.geographic_context(S.bins(spark, sf), S.districts(spark, sf), AREA)

@@ -67,13 +67,21 @@ def membership(points: DataFrame, polygons: DataFrame, boundary: bool = False, s
     return points.select("id").join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
 
-def intersecting(polygons: DataFrame, bbox) -> DataFrame:
-    """Valid polygons that meet the rectangle; a cheap envelope test runs before the exact one."""
+def _envelope_meets(polygons: DataFrame, bbox) -> DataFrame:
     west, south, east, north = bbox
-    boxed = with_envelope(polygons)
-    near = boxed.where(
+    return with_envelope(polygons).where(
         (F.col("min_lon") <= east) & (F.col("max_lon") >= west) & (F.col("min_lat") <= north) & (F.col("max_lat") >= south)
     )
+
+
+def broken_near(polygons: DataFrame, bbox) -> DataFrame:
+    """Polygons whose envelope meets the rectangle and that break a geometry rule, with the `problem`."""
+    return polygon_problems(_envelope_meets(polygons, bbox)).where(F.col("problem").isNotNull())
+
+
+def intersecting(polygons: DataFrame, bbox) -> DataFrame:
+    """Valid polygons that meet the rectangle; a cheap envelope test runs before the exact one. The others: broken_near."""
+    near = _envelope_meets(polygons, bbox)
     met = near.where(G.intersects_bbox(F.col("rings"), bbox))
     valid = polygon_problems(met).where(F.col("problem").isNull())
     return valid.drop("problem", "min_lon", "min_lat", "max_lon", "max_lat")
