@@ -450,3 +450,18 @@ def test_broken_polygons_are_counted_and_summary_keeps_to_its_geography(spark):
     got = {i: {r["part"]: (r["bins"], r["attempts"]) for r in AR.geographic_summary(bins, polygons, visits, requests, area, i).collect()} for i in (1, 2, 3, 4)}
     assert got[1] == {"whole_geography": (2, 1), "selected_intersection": (2, 1)} and got[2] == {"whole_geography": (1, 1), "selected_intersection": (1, 1)}
     assert got[3] == {} and got[4] == {"whole_geography": (1, 1)}
+
+
+def test_adequacy_job_refuses_broken_days(spark):
+    from wastelake.plans.jobs import adequacy_run
+
+    bins = spark.createDataFrame([(1, 5, "Glass waste", "x")], "id long, site_id long, waste_type string, object_group string")
+    days = spark.createDataFrame([(1, date(2024, 6, 1), 2, 5, "Glass waste", "x")] * 2 + [(9, date(2024, 6, 1), 7, 5, "Glass waste", "x")], "bin_id long, date date, fill_level int, site_id long, waste_type string, object_group string")
+    with pytest.raises(ValueError, match="duplicate_day.*unknown_bin.*invalid_label"):
+        adequacy_run(None, bins, days)
+
+
+def test_prior_at_a_bound_is_marked(spark):
+    rows = [(date(2024, 6, 1), "Glass waste", i, 30, 0) for i in range(50)]
+    p = AD.beta_binomial_prior(spark.createDataFrame(rows, "month date, waste_type string, point_id long, assessments long, level4_count long")).first()
+    assert p["at_bound"]
