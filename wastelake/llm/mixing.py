@@ -5,7 +5,7 @@ under a cap, and every document is taken floor(rate) times plus once more with p
 the fraction of the rate. The draw is a hash of the seed and the id, so reruns and retries agree.
 
 Only sums per source are shuffled, with map-side combine; the table of sources joins back as written
-rows, so Spark may broadcast it by size or split a hot source.
+rows, so Spark sends it to the documents where it is small and else splits a hot source.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wastelake.llm.common import free_name, rereadable, whole_text, with_row, word_count
+from wastelake.llm.common import free_name, whole_text, word_count
 from wastelake.session import materialize
 
 SHARE, CAP, SEED = 1.5, 2.0, 42
@@ -59,32 +59,46 @@ def targets(sizes: DataFrame, weights: DataFrame, share: float = SHARE, cap: flo
     return s.select("source", "source_size", target.alias("target"))
 
 
+def _sized(docs: DataFrame, id: str, source: str, text: str) -> DataFrame:
+    named = [F.col(f"`{id}`").alias("doc_id"), F.col(f"`{source}`").alias("source")]
+    return materialize(docs.select(*named, word_count(whole_text(text)).alias("size")), "sizes")
+
+
+def _goals(sized: DataFrame, weights: DataFrame | None, share: float, cap: float) -> DataFrame:
+    """source, source_size, target: one written row per source."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return materialize(targets(sizes, cycled_weights(sizes) if weights is None else weights, share, cap), "targets")
+
+
+def copies_of(id: Column, source_size: Column, target: Column, seed: int = SEED) -> Column:
+    """floor(rate), and one more with probability equal to the fraction."""
+    rate = F.when(source_size > 0, target / source_size).otherwise(0.0)
+    return (F.floor(rate) + (draw(id, seed) < rate - F.floor(rate)).cast("long")).cast("long")
+
+
 def plan_copies(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: DataFrame | None = None, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """_row, doc_id, size, source_size, target, copies for every row.
+    """doc_id, size, source_size, target, copies for every row.
 
     Size is the number of words, 0 for null; null is a source of its own. A source without words has
     target 0 and its documents are not taken. Rows with one id draw alike, so repeated rows are taken
     equally often; a null id draws as the text 'null'. An empty table gives no rows, other columns are
     not read. `weights` holds (source, weight) with weights above 0; without it CYCLE is dealt out.
     """
-    rows, row = with_row(docs)
-    sized = materialize(rows.select(F.col(row).alias("_row"), F.col(f"`{id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(whole_text(text)).alias("size")), "sizes")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = materialize(targets(sizes, cycled_weights(sizes) if weights is None else weights, share, cap), "targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    extra = draw(F.col("doc_id"), seed) < rate - F.floor(rate)
-    joined = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
-    return joined.select("_row", "doc_id", "size", "source_size", "target", (F.floor(rate) + extra.cast("long")).cast("long").alias("copies"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` with all columns, each as often as its copies; see plan_copies."""
-    docs = rereadable(docs)
-    rows, row = with_row(docs)
-    copies = free_name(docs, "_copies")
-    plan = materialize(plan_copies(docs, **options).where("copies > 0").select(F.col("_row").alias(row), F.col("copies").alias(copies)), "copies")
-    taken = rows.join(plan, row)
-    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(row, copies)
+    sized = _sized(docs, id, source, text)
+    joined = sized.alias("d").join(_goals(sized, weights, share, cap).alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+    return joined.select("doc_id", "size", "source_size", "target", copies_of(F.col("doc_id"), F.col("source_size"), F.col("target"), seed).alias("copies"))
+
+
+def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: DataFrame | None = None, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The rows of `docs` with all columns, each as often as its copies; see plan_copies.
+
+    The rows meet the table of sources alone, so no text moves while that table is small enough to be sent to them.
+    """
+    names = {n: free_name(docs, n) for n in ("_source", "_size", "_target", "_copies")}
+    goals = _goals(_sized(docs, id, source, text), weights, share, cap).toDF(names["_source"], names["_size"], names["_target"])
+    joined = docs.join(goals, docs[f"`{source}`"].eqNullSafe(goals[names["_source"]]))
+    counted = joined.withColumn(names["_copies"], copies_of(docs[f"`{id}`"], F.col(names["_size"]), F.col(names["_target"]), seed)).where(F.col(names["_copies"]) > 0)
+    return counted.withColumn(names["_copies"], F.explode(F.sequence(F.lit(1), F.col(names["_copies"]).cast("int")))).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op4(docs: DataFrame) -> DataFrame:
