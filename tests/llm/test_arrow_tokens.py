@@ -33,15 +33,23 @@ def plain(library, rows):
 def test_units_keep_the_ids(library):
     encoder = at.Encoder(at.tokenizer_path())
     texts = [t or "" for t in AWKWARD] + [f"{a}{s}{b}" for s in (" ", "  ", "\n", " \n", "\n ", "\t", " ", "　", "\x1f", "'s ", " 's") for a in ("a", "1", "!", "é", "a ", "'") for b in ("b", "2", "?", " c", "'t")]
-    for got, text in zip(encoder.encode(texts), texts, strict=True):
-        assert np.frombuffer(got, encoder.type).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), encoder.type).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_every_small_table_word_alone(spark, library):
+    encoder = at.Encoder(at.tokenizer_path())
+    assert encoder.plain
+    words = {w for r in table(spark, SF, "documents").select("text").collect() for w in r["text"].split()} | {"ª", "ĳ", "ǅx", "a.", "é,", "..", ".", "don't", "Ŀ!", "naïve?", "ß", "abc:", "x²", "ɐ", "한글."}
+    for word in words:
+        assert np.frombuffer(encoder.after_space[word], encoder.type).tolist() == library.encode(" " + word, add_special_tokens=False).ids, word
 
 
 def test_a_full_memory_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(at, "REMEMBERED", 3)
     encoder = at.Encoder(at.tokenizer_path())
     for texts in (["a b"], ["a b c d e f", "b"], ["z a", ""]):
-        assert [np.frombuffer(x, encoder.type).tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(encoder.encode(t), encoder.type).tolist() for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_whole_small_table(spark, library):

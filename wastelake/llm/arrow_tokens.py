@@ -15,9 +15,11 @@ lost executor or a repeated attempt leaves at worst a file nobody reads.
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -30,8 +32,8 @@ from wastelake.llm.common import shuffle_width, whole_text, with_place
 from wastelake.session import fresh_path, materialize
 
 LENGTH, BATCH, END_ID = 2048, 256, 2
-#: Text units a worker remembers with their ids, and documents encoded at a time.
-REMEMBERED, GROUP = 300_000, 200
+#: Text units of each kind and generation that a worker remembers, and documents taken from a batch at a time.
+REMEMBERED, GROUP = 600_000, 200
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -40,6 +42,39 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# The sign that stands for each byte in a byte-level vocabulary. Printable bytes stand for themselves, the others
+# for the signs from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+BYTE_SPACE = chr(BYTE_SIGNS[32])
+MARKS = frozenset(".,;:!?")
+
+
+def _letters(word: str) -> bool:
+    """Whether a word is letters of the Latin blocks alone, whose kind no Unicode version disputes."""
+    return word.isascii() and word.isalpha() or word.isalpha() and max(word) < "\u0250"
+
+
+class _Known(dict):
+    """Ids of text units as bytes; asks for what it does not hold.
+
+    Holds two generations of at most REMEMBERED units: when the young one is full it becomes the old one, and
+    what is met again comes over from there, so frequent units stay and rare ones go.
+    """
+
+    def __init__(self, ask: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.ask, self.old = ask, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.old.get(unit) or self.ask(unit)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = ids
+        return ids
+
+
 class Encoder:
     """The library's ids of whole texts, asked once for each different unit of text.
 
@@ -55,44 +90,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        cut = self.tokenizer.pre_tokenizer
+        self.plain = self.tokenizer.normalizer is None and type(cut).__name__ == "ByteLevel" and not cut.add_prefix_space and cut.use_regex
+        self.unit = _Known(self._ask)
+        self.after_space = _Known(self._ask_word)
+
+    def _ask(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _ask_word(self, word: str) -> bytes:
+        """Ids of a space and a word. Letters alone are one piece to a byte-level tokenizer and go to its model as bytes;
+        a mark after letters is a piece of its own."""
+        if self.plain:
+            if word[-1:] in MARKS and _letters(word[:-1]):
+                return self.after_space[word[:-1]] + self.unit[word[-1]]
+            if _letters(word):
+                ids = [t.id for t in self.tokenizer.model.tokenize(BYTE_SPACE + word.encode().decode("latin-1").translate(BYTE_SIGNS))]
+                return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return self._ask(" " + word)
+
+    def _words(self, text: str) -> list[bytes] | None:
+        """Ids word by word, if single spaces and line breaks are all the white space; else None."""
+        out: list[bytes] = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            if len(words) != len(line.split()):  # an empty word, or other white space
+                return None
+            if out:
+                out.append(self.unit["\n"])
+            out.append(self.unit[words[0]])
+            out.extend(map(self.after_space.__getitem__, words[1:]))
+        return out
 
-    def _line(self, line: str, out: list[str]) -> None:
-        parts = line.split(" ")
-        unit = parts[0]
+    def _units(self, text: str) -> list[str]:
+        """The text cut at its single spaces alone."""
+        parts = text.split(" ")
+        out, unit = [], parts[0]
         for part in parts[1:]:
             if part and unit and not part[0].isspace() and not unit[-1].isspace():
                 out.append(unit)
                 unit = " " + part
             else:
                 unit += " " + part
-        if unit:
-            out.append(unit)
+        return [*out, unit] if unit else out
 
-    def units(self, text: str) -> list[str]:
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian bytes of the file's type."""
         if any(s in text for s in self.special):
-            return [text]
-        out: list[str] = []
-        lines = text.split("\n")
-        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            for i, line in enumerate(lines):
-                if i:
-                    out.append("\n")
-                self._line(line, out)
-        else:
-            self._line(text, out)
-        return out
+            return self._ask(text)
+        ids = self._words(text)
+        return b"".join(map(self.unit.__getitem__, self._units(text)) if ids is None else ids)
+
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of the file's type."""
-        split = [self.units(t) for t in texts]
-        new = list({u: None for units in split for u in units if u not in self.known})
-        fresh = {u: np.array(e.ids, self.type).tobytes() for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(self.known) + len(fresh) <= REMEMBERED:
-            self.known.update(fresh)
-            return [b"".join([self.known[u] for u in units]) for units in split]
-        return [b"".join([(self.known.get(u) or fresh[u]) for u in units]) for units in split]
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: what one task has learnt serves the next."""
+    return Encoder(path)
 
 
 class _Writer:
@@ -181,7 +237,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
             for at in range(0, batch.num_rows, GROUP):
                 rows = batch.slice(at, GROUP)
                 if encoder is None:
-                    encoder = Encoder(tokenizer)
+                    encoder = encoder_of(tokenizer)
                     end = np.array([end_id], encoder.type).tobytes()
                     name = f"{path}/{part:06d}-{uuid.uuid4().hex}"
                     ids_path, docs_path = f"{name}-ids.arrow", f"{name}-docs.arrow"
@@ -193,7 +249,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
                     index = pa.ipc.new_file(sinks[1], schema)
                     n_docs = 0
                 first = out.tokens
-                sizes = np.array([out.add(ids + end) for ids in encoder.encode(rows.column("_text").to_pylist())], np.int64)
+                sizes = np.array([out.add(encoder.encode(text) + end) for text in rows.column("_text").to_pylist()], np.int64)
                 index.write_batch(pa.record_batch([rows.column("doc_id"), pa.array(first + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=schema))
                 n_docs += len(sizes)
         if out is not None:
