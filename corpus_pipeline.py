@@ -12,8 +12,9 @@ from wastelake.llm import exact_dedup, mixing, packing, quality, simhash
 from wastelake.llm.common import table
 from wastelake.session import materialize
 
-#: Near duplicates in the pipeline: five-word shingles; fingerprints within 7 of 64 bits, looked up in four segments.
-WORDS, MAX_BITS, SEGMENTS = 5, 7, 4
+#: Near duplicates in the pipeline: a Jaccard similarity of 0.8 or more over sets of five-word shingles, checked exactly.
+#: Fingerprints within 7 of 64 bits, looked up in four segments, and shared MinHash bands are the candidates.
+WORDS, MAX_BITS, SEGMENTS, SIMILARITY = 5, 7, 4, 0.8
 #: A trained classifier, 64-bit hashes of word shingles and a greedy packer are not expressible in SQL.
 ORACLE_SQL = None
 
@@ -27,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs, words=WORDS, max_bits=MAX_BITS, segments=SEGMENTS)
+    return simhash.drop_near_duplicates(docs, words=WORDS, max_bits=MAX_BITS, segments=SEGMENTS, similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
