@@ -36,6 +36,22 @@ def test_shared_passages_and_repeated_lines_stay(spark, tmp_path):
     assert stage(spark, tmp_path, texts) == set(range(len(texts)))
 
 
+def test_near_copies_from_the_threshold_on_go(spark, tmp_path):
+    rng = random.Random(4)
+    texts, copies = [], {0.8: [], 0.9: []}
+    for at in copies:
+        for _ in range(150):
+            own = round(400 * (1 - at) / (1 + at))  # shingles only one of the two has
+            shared = words(rng, 404 - own)
+            texts += [" ".join(shared + words(rng, own)), " ".join(shared + words(rng, own))]
+            assert jaccard(grams(texts[-1]), grams(texts[-2])) >= at
+            copies[at].append(len(texts) - 1)
+    kept = stage(spark, tmp_path, texts)
+    assert kept >= set(range(0, len(texts), 2))
+    for at, ids in copies.items():
+        assert sum(i not in kept for i in ids) >= 0.97 * len(ids), at
+
+
 def test_chain_keeps_one_and_unlike_neighbours_stay(spark, tmp_path):
     rng = random.Random(5)
     base = words(rng, 404)
