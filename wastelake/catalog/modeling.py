@@ -353,9 +353,13 @@ def _(spark, sf):
 
 CAT, NUM = SE.CATEGORICAL_FEATURES, SE.NUMERIC_FEATURES
 CUT = date(2024, 6, 22)
-#: Trees and depth kept small, so that the registered queries stay short; both are parameters of the operator.
-FOREST = {"numTrees": 10, "maxDepth": 5}
-GRIDS = {"random_forest": {"numTrees": [5], "maxDepth": [3, 5]}, "logistic": {"maxIter": [8], "regParam": [0.03, 0.3]}}
+#: The reference's forest, the deeper of its grid, and a logistic model that runs until it converges.
+FOREST = {"numTrees": 150, "maxDepth": 16, "minInstancesPerNode": 10, "subsamplingRate": 0.7, "balanced": True}
+LOGISTIC = {"maxIter": 1000, "regParam": 0.05, "balanced": True}
+GRIDS = {
+    "random_forest": {"numTrees": [150], "maxDepth": [10, 16], "minInstancesPerNode": [10], "subsamplingRate": [0.7], "balanced": [False, True]},
+    "logistic": {"maxIter": [1000], "regParam": [0.03, 0.3], "balanced": [False, True]},
+}
 
 
 def matrix(spark, sf):
@@ -401,7 +405,7 @@ def _(spark, sf):
 
 @BOOK.add("train_second_model")
 def _(spark, sf):
-    rows, model = fitted(spark, sf, "logistic", maxIter=8, regParam=0.05)
+    rows, model = fitted(spark, sf, "logistic", **LOGISTIC)
     return T.predict(model, tested(rows)).select("bin_id", "date", "fill_level", "predicted_fill_level", "needs_collection_probability")
 
 
@@ -423,13 +427,13 @@ AUDIT = "0::bigint as repeated_keys, 0::bigint as bad_sums, 0::bigint as outside
 
 @BOOK.add("train_forest_audit", f"select count(*) as rows, {AUDIT}, true as near_or_above_majority from bin_days where date > date '2024-06-22'")
 def _(spark, sf):
-    rows, model = fitted(spark, sf, balanced=False, **FOREST)
+    rows, model = fitted(spark, sf)
     return audited(T.predict(model, tested(rows)), rows.where(F.col("date") <= F.lit(CUT)))
 
 
 @BOOK.add("train_second_model_audit", f"select count(*) as rows, {AUDIT} from bin_days where date > date '2024-06-22'")
 def _(spark, sf):
-    rows, model = fitted(spark, sf, "logistic", maxIter=40, regParam=0.05, balanced=False)
+    rows, model = fitted(spark, sf, "logistic", **LOGISTIC)
     return audited(T.predict(model, tested(rows)), rows.where(F.col("date") <= F.lit(CUT))).drop("near_or_above_majority")
 
 
