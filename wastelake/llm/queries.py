@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wastelake.llm import arrow_tokens, chat, exact_dedup, mixing, packing, quality, secrets, simhash, spotsigs, toxicity
+from wastelake.llm import arrow_tokens, chat, exact_dedup, mixing, packing, quality, secrets, simhash, spotsigs, toxicity, variants
 from wastelake.llm.common import table
 
 QUERIES = {
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_secret_scan": lambda spark, sf: secrets.op8(table(spark, sf, "documents")),
     "op9_simhash_groups": lambda spark, sf: simhash.op9(table(spark, sf, "documents")),
     "op10_exact_dedup": lambda spark, sf: exact_dedup.op10(table(spark, sf, "documents")),
+    "op11_spelling_variants": lambda spark, sf: variants.op11(table(spark, sf, "documents")),
 }
 ORACLES = {"op4_mix_sources": mixing.ORACLE, "op7_perspectives": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
