@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wastelake.llm import arrow_tokens, chat, exact_dedup, mixing, packing, quality, secrets, simhash, spotsigs, toxicity, treap, variants
+from wastelake.llm import arrow_tokens, chat, exact_dedup, forest, mixing, packing, quality, secrets, simhash, spotsigs, toxicity, treap, variants
 from wastelake.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_simhash_groups": lambda spark, sf: simhash.op9(table(spark, sf, "documents")),
     "op10_exact_dedup": lambda spark, sf: exact_dedup.op10(table(spark, sf, "documents")),
     "op11_spelling_variants": lambda spark, sf: variants.op11(table(spark, sf, "documents")),
+    "op12_forest_groups": lambda spark, sf: forest.op12(table(spark, sf, "documents")),
     "op13_treap_search": lambda spark, sf: treap.op13(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
 }
 ORACLES = {"op4_mix_sources": mixing.ORACLE, "op7_perspectives": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op13_treap_search": treap.ORACLE}
