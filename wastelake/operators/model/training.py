@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -12,12 +13,19 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.util import inheritable_thread_target
 
 from wastelake.functions import hashing as H
 from wastelake.operators.model import metrics as M
+from wastelake.operators.model.sampling import bottom_k
+from wastelake.session import materialize
 
 RARE = 5
 CLASSES = 5
+#: Values of a category that get a column of their own, the most frequent ones; bounds the width of the inputs.
+VALUES = 1000
+#: Labelled rows per fold that a search fits on, drawn by hash; fits that run at a time.
+TUNING_ROWS, POOL = 20_000, 8
 MISSING, RARE_VALUE = "__MISSING__", "__RARE__"
 
 
@@ -40,12 +48,16 @@ class Preparation:
         return rows.withColumns(out).withColumn("label", F.col("fill_level").cast("double"))
 
 
-def prepare(train: DataFrame, numeric: list[str], categorical: list[str], rare: int = RARE) -> Preparation:
-    """Every input stays: a number without any training value is filled with 0, a category seen fewer than `rare` times is folded."""
+def prepare(train: DataFrame, numeric: list[str], categorical: list[str], rare: int = RARE, values: int = VALUES) -> Preparation:
+    """Every input stays: a number without any training value is filled with 0, a category seen fewer than `rare` times is folded.
+
+    So are all but the `values` most frequent ones of a category (ties by value).
+    """
     medians = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in numeric]).first()
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value")) for c in categorical]))
     counted = train.select(pairs.alias("f")).groupBy("f.feature", "f.value").agg(F.count("*").alias("n")).where(F.col("n") >= rare)
-    seen = counted.groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("values")).collect()  # a few hundred values in all
+    place = F.row_number().over(W.partitionBy("feature").orderBy(F.col("n").desc(), "value"))
+    seen = counted.withColumn("place", place).where(F.col("place") <= values).groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("values")).collect()
     common = {c: [] for c in categorical} | {r["feature"]: r["values"] for r in seen}
     return Preparation({c: 0.0 if medians[c] is None else float(medians[c]) for c in numeric}, common)
 
@@ -72,21 +84,30 @@ def with_class_weights(train: DataFrame) -> DataFrame:
     return train.join(w, "label")
 
 
-def fit(kind: str, train: DataFrame, numeric: list[str], categorical: list[str], balanced: bool = True, **params) -> FillModel:
-    """Preparation plus a forest or a multinomial logistic regression, class-weighted on demand; needs all five classes."""
-    labeled = train.where(F.col("fill_level").isNotNull())
-    classes = sorted(r[0] for r in labeled.select(F.col("fill_level").cast("int")).distinct().collect())
-    if classes != list(range(CLASSES)):
-        raise ValueError(f"training rows hold the classes {classes}; all of 0 to {CLASSES - 1} are needed")
+def estimator(kind: str, balanced: bool = True, **params):
+    """A forest or a multinomial logistic regression over encoded rows."""
     weight = {"weightCol": "class_weight"} if balanced else {}
     if kind == "random_forest":
-        model = RandomForestClassifier(featuresCol="features", labelCol="label", seed=H.SEED, **weight, **params)
-    elif kind == "logistic":
-        model = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", **weight, **params)
-    else:
-        raise ValueError(f"unknown model {kind!r}")
-    preparation = prepare(labeled, numeric, categorical)
-    ready = with_class_weights(preparation.apply(labeled))
+        return RandomForestClassifier(featuresCol="features", labelCol="label", seed=H.SEED, maxMemoryInMB=512, **weight, **params)
+    if kind == "logistic":
+        return LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", **weight, **params)
+    raise ValueError(f"unknown model {kind!r}")
+
+
+def labelled(train: DataFrame) -> DataFrame:
+    """The rows with a label; all five classes have to occur."""
+    rows = train.where(F.col("fill_level").isNotNull())
+    classes = sorted(r[0] for r in rows.select(F.col("fill_level").cast("int")).distinct().collect())
+    if classes != list(range(CLASSES)):
+        raise ValueError(f"training rows hold the classes {classes}; all of 0 to {CLASSES - 1} are needed")
+    return rows
+
+
+def fit(kind: str, train: DataFrame, numeric: list[str], categorical: list[str], balanced: bool = True, **params) -> FillModel:
+    """Preparation plus a forest or a multinomial logistic regression, class-weighted on demand; needs all five classes."""
+    rows, model = labelled(train), estimator(kind, balanced, **params)
+    preparation = prepare(rows, numeric, categorical)
+    ready = with_class_weights(preparation.apply(rows))
     return FillModel(preparation, Pipeline(stages=[*encoding_stages(numeric, categorical), model]).fit(ready))
 
 
@@ -117,24 +138,55 @@ def refined(kind: str, best: dict) -> dict[str, list]:
     return {name: [value] for name, value in best.items()} | around
 
 
-def temporal_grid_search(rows: DataFrame, grids: dict[str, dict[str, list]], folds, numeric: list[str], categorical: list[str]) -> DataFrame:
+@dataclass(frozen=True)
+class Fold:
+    """Encoded rows of one fold, written once: what all fits train on and are scored by."""
+
+    train: DataFrame
+    test: DataFrame
+
+    def score(self, kind: str, params: dict) -> float:
+        out = estimator(kind, **params).fit(self.train).transform(self.test)
+        return selection_score(M.scored(out.select("fill_level", vector_to_array("probability").alias("probabilities"))))
+
+
+def encoded_fold(train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], rows: int = TUNING_ROWS) -> Fold:
+    """Preparation, index and encoding are learnt from the training rows alone and applied to both sides once.
+
+    A side with more than `rows` labelled rows is drawn down to that many by the hash of bin and date.
+    """
+    drawn = lambda df: bottom_k(df, rows)
+    train, test = (materialize(drawn(x), "fold") for x in (labelled(train), test.where(F.col("fill_level").isNotNull())))
+    preparation = prepare(train, numeric, categorical)
+    ready = with_class_weights(preparation.apply(train))
+    encoder = Pipeline(stages=encoding_stages(numeric, categorical)).fit(ready)
+    kept = ["bin_id", "date", "fill_level", "label", "features"]
+    size = lambda df: max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // 10_000))  # noqa: E731  few rows: their fits run side by side
+    written = lambda df, *more: materialize(encoder.transform(df).select(*kept, *more).coalesce(size(df)).sortWithinPartitions("bin_id", "date"), "encoded")
+    return Fold(written(ready, "class_weight"), written(preparation.apply(test)))
+
+
+def temporal_grid_search(rows: DataFrame, grids: dict[str, dict[str, list]], folds, numeric: list[str], categorical: list[str], tuning_rows: int = TUNING_ROWS, pool: int = POOL) -> DataFrame:
     """Mean and deviation of the selection score per model, phase and candidate over expanding folds.
 
-    The coarse grid of each model is searched first, then a refined grid around its best candidate. Candidates and
-    folds are a driver loop of distributed fits; only scores come back.
+    Each fold is encoded and written once. The coarse grid of every model is searched first, then a refined grid around each
+    model's best candidate (the first of equal ones); the fits of a phase are Spark jobs of which `pool` run side by
+    side. Only scores come back.
     """
     inside = lambda r: (F.col("date") >= F.lit(r[0])) & (F.col("date") < F.lit(r[1]))
-    parts = [(rows.where(inside(a)), rows.where(inside(b) & F.col("fill_level").isNotNull())) for a, b in folds]
+    parts = [encoded_fold(rows.where(inside(a)), rows.where(inside(b)), numeric, categorical, tuning_rows) for a, b in folds]
+    best: dict[str, tuple[float, dict]] = {}
     out = []
-    for kind, grid in grids.items():
-        best = None
+    with ThreadPoolExecutor(pool) as threads:
         for phase in ("coarse", "refined"):
-            for params in candidates(grid if phase == "coarse" else refined(kind, best[1])):
-                scores = [selection_score(predict(fit(kind, train, numeric, categorical, **params), test)) for train, test in parts]
-                mean = sum(scores) / len(scores)
+            tried = [(kind, params) for kind, grid in grids.items() for params in candidates(grid if phase == "coarse" else refined(kind, best[kind][1]))]
+            jobs = [[threads.submit(inheritable_thread_target(rows.sparkSession)(fold.score), kind, params) for fold in parts] for kind, params in tried]
+            for (kind, params), scores in zip(tried, jobs, strict=True):
+                scores = [job.result() for job in scores]
                 out += [(kind, phase, ",".join(f"{k}={v}" for k, v in params.items()), score) for score in scores]
-                if best is None or mean > best[0]:
-                    best = (mean, params)
+                mean = sum(scores) / len(scores)
+                if kind not in best or mean > best[kind][0]:
+                    best[kind] = (mean, params)
     table = rows.sparkSession.createDataFrame(out, "model string, phase string, candidate string, score double")
     return table.groupBy("model", "phase", "candidate").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.count("*").alias("folds"))
 
