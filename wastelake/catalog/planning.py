@@ -231,35 +231,54 @@ def routes(spark, sf):
     return O.nearest_neighbour_trips(all_jobs(spark, sf), fleet(spark, sf))
 
 
-SWEEP = {
+def hilbert(rows: str, bits: int = O.CURVE_BITS) -> str:
+    """`rows` (with whole cx, cy) and their place on the Hilbert curve, one nested level a bit."""
+    last, sql = (1 << bits) - 1, f"select *, cx as hx, cy as hy, 0::bigint as place from {rows}"
+    for k in range(bits - 1, -1, -1):
+        r, u = f"((hx >> {k}) & 1)", f"((hy >> {k}) & 1)"
+        sql = f"select * replace (case when {u} = 1 then hx when {r} = 1 then {last} - hy else hy end as hx, case when {u} = 1 then hy when {r} = 1 then {last} - hx else hx end as hy, place * 4 + xor(3 * {r}, {u}) as place) from ({sql})"
+    return sql
+
+
+CELL = f"greatest(0, least({(1 << O.CURVE_BITS) - 1}, floor({{}} * {O.CELLS_PER_DEGREE}) + {1 << (O.CURVE_BITS - 1)}))::bigint"
+ROUTE = {
     **V,
     "work": """select s.waste_carrier as plan_id, s.site_id, x.latitude, x.longitude, ceil(round_even(s.overall_predicted_fill_m3 * 4 * 1000, 6))::bigint as load_l from stops s join sites x on x.id = s.site_id""",
     "lorry": "select plan_id, depot_lat, depot_lon, truck_id, floor(round_even(max_volume_m3 * 1000, 6))::bigint as capacity_l from fleet",
-    "depots": "select plan_id, depot_lat, depot_lon, min(capacity_l) as small_l, max(capacity_l) as large_l, count(*) as n_trucks from lorry group by 1, 2, 3",
-    "reach": f"""select w.*, d.depot_lat, d.depot_lon, small_l, n_trucks, round_even({HAV.format(r='6371000', a='w.latitude', b='depot_lat', c='w.longitude', d='depot_lon')} * 1.3::double, 0)::bigint as metres
+    "depots": "select plan_id, depot_lat, depot_lon, max(capacity_l) as large_l from lorry group by 1, 2, 3",
+    "reach": f"""select w.*, d.depot_lat, d.depot_lon, round_even({HAV.format(r='6371000', a='w.latitude', b='depot_lat', c='w.longitude', d='depot_lon')} * 1.3::double, 0)::bigint as metres
         from work w join depots d on d.plan_id = w.plan_id where load_l <= large_l""",
-    "near": """select *, load_l * 2 <= small_l as is_light, least(metres // 1000, 63) as ring,
-        floor((degrees(atan2(latitude - depot_lat, (longitude - depot_lon) * cos(radians(depot_lat)))) + 180) * 2)::bigint as sector
+    "cells": f"""select *, greatest(load_l, 1) as counted, {CELL.format("((longitude - depot_lon) * cos(radians(depot_lat)))")} as cx, {CELL.format("(latitude - depot_lat)")} as cy
         from (select *, row_number() over (partition by plan_id, site_id order by metres, depot_lat, depot_lon) as nth from reach where metres is not null) where nth = 1""",
-    "light": """select *, 0::bigint as kind, (before // greatest(small_l - max(greatest(load_l, 1)) over (partition by plan_id, depot_lat, depot_lon), 1))::bigint as no, n_trucks as fit from (
-        select *, (sum(greatest(load_l, 1)) over (partition by plan_id, depot_lat, depot_lon order by sector, ring, metres, site_id) - greatest(load_l, 1))::bigint as before from near where is_light)""",
-    "heavy": """select *, row_number() over (partition by plan_id, depot_lat, depot_lon, kind order by sector, ring, metres, site_id) - 1 as no from (
-        select n.*, (select min(capacity_l) from lorry l where l.plan_id = n.plan_id and l.depot_lat = n.depot_lat and l.depot_lon = n.depot_lon and l.capacity_l >= n.load_l) as kind,
-          (select count(*) from lorry l where l.plan_id = n.plan_id and l.depot_lat = n.depot_lat and l.depot_lon = n.depot_lon and l.capacity_l >= n.load_l) as fit
-        from near n where not is_light)""",
-    "shared": """select x.*, t.truck_id from (select plan_id, site_id, load_l, depot_lat, depot_lon, metres, sector, ring, kind, no, no % fit as k from light
-          union all select plan_id, site_id, load_l, depot_lat, depot_lon, metres, sector, ring, kind, no, no % fit from heavy) x
-        join (select *, row_number() over (partition by plan_id, depot_lat, depot_lon order by capacity_l desc, truck_id) - 1 as k from lorry) t
-          on t.plan_id = x.plan_id and t.depot_lat = x.depot_lat and t.depot_lon = x.depot_lon and t.k = x.k""",
-    "swept": """select *, row_number() over (partition by plan_id, truck_id, trip order by sector, ring, metres, site_id) as seq from (
-        select *, dense_rank() over (partition by plan_id, truck_id order by kind, no) as trip from shared)""",
+    "near": hilbert("cells"),
+    "kinds": """select *, (sum(n * capacity_l) over (partition by plan_id, depot_lat, depot_lon order by capacity_l))::double / (sum(n * capacity_l) over (partition by plan_id, depot_lat, depot_lon))::double as upto
+        from (select plan_id, depot_lat, depot_lon, capacity_l, count(*) as n from lorry group by all)""",
+    "needs": """select n.*, (select min(capacity_l) from kinds k where k.plan_id = n.plan_id and k.depot_lat = n.depot_lat and k.depot_lon = n.depot_lon and k.capacity_l >= n.load_l) as need from near n""",
+    "shared": """select * from (select s.*, k.capacity_l as kind, k.n, row_number() over (partition by s.plan_id, s.site_id order by k.capacity_l) as pick from (
+          select *, (sum(counted) over (partition by plan_id, depot_lat, depot_lon order by need, metres, site_id) - counted)::double / (sum(counted) over (partition by plan_id, depot_lat, depot_lon))::double as part from needs) s
+        join kinds k on k.plan_id = s.plan_id and k.depot_lat = s.depot_lat and k.depot_lon = s.depot_lon and k.upto > s.part and k.capacity_l >= s.load_l) where pick = 1""",
+    "lined": f"""select *, row_number() over (partition by plan_id, depot_lat, depot_lon, kind, piece order by place, metres, site_id) as r from (
+        select *, (sum(counted) over (partition by plan_id, depot_lat, depot_lon, kind order by place, metres, site_id) - counted)::bigint // (kind * {O.CUT_TRIPS}) as piece from shared)""",
+    "filled": """select plan_id, depot_lat, depot_lon, kind, piece, r, site_id, 0::bigint as cut, 1::bigint as seq, counted::bigint as held from lined where r = 1
+        union all select l.plan_id, l.depot_lat, l.depot_lon, l.kind, l.piece, l.r, l.site_id, if(held + l.counted > l.kind, l.r - 1, cut), if(held + l.counted > l.kind, 1, seq + 1), if(held + l.counted > l.kind, l.counted, held + l.counted)::bigint
+        from filled f join lined l on l.plan_id = f.plan_id and l.depot_lat = f.depot_lat and l.depot_lon = f.depot_lon and l.kind = f.kind and l.piece = f.piece and l.r = f.r + 1""",
+    "run": """select l.*, cut, seq, lead(seq) over t is null as ends, coalesce(lag(latitude) over t, depot_lat) as flat, coalesce(lag(longitude) over t, depot_lon) as flon
+        from lined l join (select plan_id, site_id, cut, seq from filled) using (plan_id, site_id) window t as (partition by plan_id, depot_lat, depot_lon, kind, piece, cut order by seq)""",
+    "driven": f"""select plan_id, depot_lat, depot_lon, kind, piece, cut, n, (sum(round_even(d1 / (30.0::double / 3.6::double), 0) + 300) + sum(round_even(d2 / (30.0::double / 3.6::double), 0) + 900))::bigint as duration_s from (
+        select *, round_even({HAV.format(r='6371000', a='flat', b='latitude', c='flon', d='longitude')} * 1.3::double, 0)::bigint as d1,
+          case when ends then round_even({HAV.format(r='6371000', a='latitude', b='depot_lat', c='longitude', d='depot_lon')} * 1.3::double, 0)::bigint end as d2 from run) group by all""",
+    "turns": """select *, least(rank % (2 * n), 2 * n - 1 - rank % (2 * n)) as k, rank // n + 1 as trip from (
+        select *, row_number() over (partition by plan_id, depot_lat, depot_lon, kind order by duration_s // 60 desc, piece, cut) - 1 as rank from driven)""",
+    "routed": """select run.plan_id, o.truck_id, turns.trip, run.seq, run.site_id, run.load_l from run join turns using (plan_id, depot_lat, depot_lon, kind, piece, cut)
+        join (select *, row_number() over (partition by plan_id, depot_lat, depot_lon, capacity_l order by truck_id) - 1 as k from lorry) o
+          on o.plan_id = run.plan_id and o.depot_lat = run.depot_lat and o.depot_lon = run.depot_lon and o.capacity_l = run.kind and o.k = turns.k""",
 }
 
 
 @BOOK.add("nearest_neighbour_trips", """
-    select plan_id, truck_id, trip, seq, site_id, load_l, null as reason from swept
+    select plan_id, truck_id, trip, seq, site_id, load_l, null as reason from routed
     union all select plan_id, null, null, null, site_id, null, case when plan_id is null or plan_id not in (select plan_id from fleet) then 'no_fleet' else 'too_large' end
-    from work w where not exists (select 1 from near n where n.plan_id = w.plan_id and n.site_id = w.site_id)""", **SWEEP)
+    from work w where not exists (select 1 from near n where n.plan_id = w.plan_id and n.site_id = w.site_id)""", **ROUTE)
 def _(spark, sf):
     visits, unserved = routes(spark, sf)
     return visits.select("plan_id", "truck_id", "trip", "seq", "site_id", "load_l").unionByName(unserved, allowMissingColumns=True)

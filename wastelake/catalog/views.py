@@ -166,4 +166,6 @@ def sql(body: str, **extra: str) -> str:
         return body.strip()
     body = body.strip()
     ctes = ",\n".join(f"{n} as ({known[n].strip()})" for n in needed)
-    return f"with {ctes},\n{body[5:]}" if body.startswith("with ") else f"with {ctes}\n{body}"
+    own = {n for n in needed if re.search(rf"\bunion all\b.*\bfrom {n}\b", known[n], re.S)}  # a view that goes on from its own rows
+    start = "with recursive" if own else "with"
+    return f"{start} {ctes},\n{body[5:]}" if body.startswith("with ") else f"{start} {ctes}\n{body}"
