@@ -13,6 +13,7 @@ SEED_LEVEL = 1  # 31 m
 TOP_LEVEL = 11  # 32,768 km: its 3 x 3 cells cover the globe
 HOT_CELL = 50_000  # points of one grid cell that one task may compare
 SLACK = 1e-6
+MARGIN = 1e-9  # degrees: 0.1 mm
 
 
 def with_envelope(polygons: DataFrame) -> DataFrame:
@@ -31,22 +32,77 @@ def polygon_problems(polygons: DataFrame) -> DataFrame:
     return polygons.withColumn("problem", G.polygon_problem(F.col("rings")))
 
 
-def _cover(polygons: DataFrame, step: float) -> DataFrame:
-    """Polygon copies, one per grid cell their envelope touches."""
-    span = lambda low, high: F.sequence(F.floor(low / step), F.floor(high / step))
-    boxed = with_envelope(polygons)
-    return boxed.withColumn("px", F.explode(span(F.col("min_lon"), F.col("max_lon")))).withColumn(
-        "py", F.explode(span(F.col("min_lat"), F.col("max_lat")))
-    )
+def _row(y: Column, step: float) -> Column:
+    return F.floor(y / step)
+
+
+def _columns(e: Column, x0: str, y0: str, x1: str, y1: str, row: Column, step: float) -> tuple[Column, Column]:
+    """First and last grid column of an edge's part within a grid row, widened by more than rounding can move it."""
+    low, high = F.least(e[y0], e[y1]), F.greatest(e[y0], e[y1])
+    at = lambda y: e[x0] + F.try_divide((e[x1] - e[x0]) * (F.least(F.greatest(y, low), high) - e[y0]), e[y1] - e[y0])
+    a, b = F.coalesce(at(row * step), e[x0]), F.coalesce(at((row + 1) * step), e[x1])  # NULL: a level edge
+    return F.floor((F.least(a, b) - MARGIN) / step), F.floor((F.greatest(a, b) + MARGIN) / step)
+
+
+def cell_index(polygons: DataFrame, step: float = CELL_DEGREES) -> DataFrame:
+    """Polygons (id, rings) as grid cells: polygon_id, ring (0 the outer one), px, py, edges, heights, base.
+
+    A cell without edges lies inside the ring and decides by itself. Any other cell carries the edges that meet it, and what
+    lies to its right in short: a ray to the right crosses an even or odd number of those edges, and all but the
+    ends of their chains cancel. `base` is the parity of the ends above the cell's row, `heights` are the ends in the row, where
+    a chain goes on among the cell's own edges. So no row carries a whole ring, and each answer is that of the full ray
+    cast. A ring that does not end where it starts is closed.
+    """
+    ring = F.col("points")
+    closed = F.when(F.element_at(ring, 1) != F.element_at(ring, -1), F.concat(ring, F.array(F.element_at(ring, 1)))).otherwise(ring)
+    rings = polygons.select(F.col("id").alias("polygon_id"), F.posexplode("rings").alias("ring", "points")).where(F.size("points") > 2).withColumn("points", closed)
+    n = F.size(ring) - 1
+    at = lambda i: F.get(ring, F.pmod(i, n))
+    edge = lambda i: F.struct(*[at(i + k)[c].alias(f"{'xy'[c]}{k}") for k in (0, 1, 2) for c in (0, 1)])
+    rings = rings.select("polygon_id", "ring", F.transform(F.sequence(F.lit(0), n - 1), edge).alias("all"))
+    lowest, highest = F.array_min(F.transform("all", lambda e: e["y0"])), F.array_max(F.transform("all", lambda e: e["y0"]))
+    rows = rings.withColumn("py", F.explode(F.sequence(_row(lowest, step), _row(highest, step))))
+    py = F.col("py")
+
+    def placed(e: Column) -> Column:
+        c0, c1 = _columns(e, "x0", "y0", "x1", "y1", py, step)
+        follows = F.when(_row(e["y1"], step) == py, _columns(e, "x1", "y1", "x2", "y2", py, step)[0])
+        above = (_row(e["y0"], step) > py) != (_row(e["y1"], step) > py)
+        return F.struct(e["x0"].alias("x0"), e["y0"].alias("y0"), e["x1"].alias("x1"), e["y1"].alias("y1"), c0.alias("c0"), c1.alias("c1"), follows.alias("n0"), above.alias("above"))
+
+    in_row = lambda e: (_row(F.least(e["y0"], e["y1"]), step) <= py) & (_row(F.greatest(e["y0"], e["y1"]), step) >= py)
+    rows = rows.select("polygon_id", "ring", "py", F.transform(F.filter("all", in_row), placed).alias("row"))
+    first, last = F.array_min(F.transform("row", lambda e: e["c0"])), F.array_max(F.transform("row", lambda e: e["c1"]))
+    px = F.col("px")
+    cells = rows.withColumn("px", F.explode(F.sequence(first, last)))
+    own = F.transform(F.filter("row", lambda e: (e["c0"] <= px) & (e["c1"] >= px)), lambda e: F.struct(*[e[c].alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    ends = F.transform(F.filter("row", lambda e: (F.least(e["c0"], e["n0"]) <= px) & (F.greatest(e["c0"], e["n0"]) > px) & e["n0"].isNotNull()), lambda e: e["y1"])
+    base = F.size(F.filter("row", lambda e: e["above"] & (e["c0"] > px))) % 2
+    cells = cells.select("polygon_id", "ring", "px", "py", own.alias("edges"), ends.alias("heights"), base.alias("base"))
+    return cells.where((F.size("edges") > 0) | (F.col("base") == 1))
+
+
+def _in_ring(lon: Column, lat: Column) -> Column:
+    """Half-open ray cast of a point in a cell of the index."""
+    crosses = lambda e: F.coalesce(((e["y0"] > lat) != (e["y1"] > lat)) & (lon < (e["x1"] - e["x0"]) * (lat - e["y0"]) / F.nullif(e["y1"] - e["y0"], F.lit(0.0)) + e["x0"]), F.lit(False))
+    return (F.size(F.filter("edges", crosses)) + F.size(F.filter("heights", lambda y: y > lat)) + F.col("base")) % 2 == 1
+
+
+def _on_ring(lon: Column, lat: Column) -> Column:
+    def touches(e: Column) -> Column:
+        cross = (e["x1"] - e["x0"]) * (lat - e["y0"]) - (e["y1"] - e["y0"]) * (lon - e["x0"])
+        return (cross == 0.0) & lon.between(F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"])) & lat.between(F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"]))
+
+    return F.exists("edges", touches)
 
 
 def membership(points: DataFrame, polygons: DataFrame, boundary: bool = False, step: float = CELL_DEGREES) -> DataFrame:
     """Per point id: the lowest containing polygon id (or NULL) and the number of matches.
 
-    Points and polygons meet on (grid cell, piece). Points are counted per cell first: a cell
-    with more than HOT_CELL points is cut into pieces and only its polygons are copied, once per
-    piece; polygons over cells without points drop out. `boundary` switches from the half-open
-    ray cast to the boundary-inclusive cover.
+    `polygons` are polygons (id, rings) or the rows of their `cell_index`, written before. Points and cells of polygons meet
+    on (grid cell, piece). Points are counted per cell first: a cell with more than HOT_CELL points is cut into pieces and
+    only its index rows are copied, once per piece; index rows of cells without points drop out. `boundary` switches from
+    the half-open ray cast to the boundary-inclusive cover.
     """
     cell = ["px", "py"]
     keyed = points.select(
@@ -55,15 +111,18 @@ def membership(points: DataFrame, polygons: DataFrame, boundary: bool = False, s
     )
     pieces = keyed.groupBy(*cell).agg(F.ceil(F.count("*") / HOT_CELL).alias("pieces"))
     keyed = keyed.join(pieces, cell, "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces"))).drop("pieces")
-    cover = _cover(polygons.select(F.col("id").alias("polygon_id"), "rings"), step).join(pieces, cell)
+    cover = (polygons if "heights" in polygons.columns else cell_index(polygons, step)).join(pieces, cell)
     cover = cover.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))).drop("pieces")
-    test = G.covers if boundary else G.in_polygon
-    in_box = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
+    lon, lat = F.col("lon"), F.col("lat")
+    inside = _in_ring(lon, lat)
+    if boundary:
+        inside = F.when(F.col("ring") == 0, inside | _on_ring(lon, lat)).otherwise(inside & ~_on_ring(lon, lat))
     key = [*cell, "piece"]
     # both sides carry the join's own partitioning: a sort-merge join adds no shuffle, and whichever
     # side a broadcast join streams is spread for the costly exact test
-    near = spread(keyed, *key).join(spread(cover, *key), key).where(in_box & test(F.col("lon"), F.col("lat"), F.col("rings")))
-    found = near.groupBy("id").agg(F.min("polygon_id").alias("polygon_id"), F.count("*").alias("matches"))
+    near = spread(keyed, *key).join(spread(cover, *key), key).where(inside)
+    held = near.groupBy("id", "polygon_id").agg(F.min("ring").alias("outer"), F.max("ring").alias("hole"))
+    found = held.where("outer = 0 and hole = 0").groupBy("id").agg(F.min("polygon_id").alias("polygon_id"), F.count("*").alias("matches"))
     return points.select("id").join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
 
