@@ -206,15 +206,39 @@ def test_density_codes(spark):
     assert [r["population_known"] for r in rows] == [True, True, False, False] and rows[3]["error"] == "bad_density"
 
 
-def test_beta_functions():
+def test_beta_functions(spark):
+    def cdf(values, a, b):
+        df = spark.createDataFrame([(float(v), float(a), float(b)) for v in values], "x double, a double, b double")
+        return column(df.select(BE.beta_cdf(F.col("x"), F.col("a"), F.col("b"), BE.ln_beta(F.col("a"), F.col("b"))).alias("v")), "v")
+
     x = np.array([0.1, 0.5, 0.9])
-    ln_b = lambda a, b: math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
-    assert np.allclose(BE.beta_cdf(x, 3.0, 1.0, ln_b(3.0, 1.0)), x**3, atol=1e-12)
-    assert np.allclose(BE.beta_cdf(x, 1.0, 4.0, ln_b(1.0, 4.0)), 1 - (1 - x) ** 4, atol=1e-12)
+    assert np.allclose(cdf(x, 3.0, 1.0), x**3, atol=1e-12)
+    assert np.allclose(cdf(x, 1.0, 4.0), 1 - (1 - x) ** 4, atol=1e-12)
     a, b = 4, 7
     binomial = [sum(math.comb(a + b - 1, j) * v**j * (1 - v) ** (a + b - 1 - j) for j in range(a, a + b)) for v in x]
-    assert np.allclose(BE.beta_cdf(x, a, b, ln_b(a, b)), binomial, atol=1e-12)
-    assert np.allclose(BE.beta_cdf(BE.beta_quantile(0.05, 2.5, 9.0, ln_b(2.5, 9.0)), 2.5, 9.0, ln_b(2.5, 9.0)), 0.05, atol=1e-10)
+    assert np.allclose(cdf(x, a, b), binomial, atol=1e-12)
+    assert cdf([0.0, 1.0, -1.0, 2.0], 2.0, 3.0) == [0.0, 1.0, 0.0, 1.0]
+
+
+def test_beta_quantile_meets_its_cdf(spark):
+    pairs = [(2.5, 9.0), (0.2, 3.0), (0.01, 0.5), (300.0, 700.0), (5e3, 1e4), (1.0, 1.0), (0.7, 200.0), (30.0, 0.4)]
+    df = spark.createDataFrame(pairs, "a double, b double")
+    a, b = F.col("a"), F.col("b")
+    for p in (0.05, 0.5, 0.95):
+        found = df.select("a", "b", BE.beta_quantile(p, a, b, BE.ln_beta(a, b)).alias("q")).collect()
+        q = spark.createDataFrame(found, "a double, b double, q double")
+        got = column(q.select(BE.beta_cdf(F.col("q"), a, b, BE.ln_beta(a, b)).alias("v")), "v")
+        assert np.allclose(got, p, atol=1e-8), (p, got)
+
+
+def test_digamma_and_trigamma(spark):
+    values = [1e-4, 0.3, 1.0, 2.5, 40.0, 1e6]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(BE.digamma(F.col("v")).alias("d"), BE.trigamma(F.col("v")).alias("t"))
+    at = lambda v, n: sum(1.0 / (v + k) ** n for k in range(60))  # noqa: E731  down from a far argument with an ample series
+    far = [v + 60 for v in values]
+    digamma = [math.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - at(v, 1) for v, z in zip(values, far)]
+    trigamma = [1 / z + 1 / (2 * z**2) + 1 / (6 * z**3) - 1 / (30 * z**5) + at(v, 2) for v, z in zip(values, far)]
+    assert np.allclose(column(df, "d"), digamma, rtol=1e-10, atol=1e-10) and np.allclose(column(df, "t"), trigamma, rtol=1e-10)
 
 
 def test_ln_gamma_column(spark):

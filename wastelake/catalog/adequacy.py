@@ -47,6 +47,39 @@ V = {
           case when population_known and residents > 0 and point_id is not null and not sufficient_evidence then 'insufficient_fill_evidence' end,
           case when population_known and residents > 0 and point_id is not null and sufficient_evidence and exceedance_probability >= 0.9 then 'elevated_level4' end], lambda x : x is not null), ';') as reasons from feats""",
 }
+#: The prior by closing grids: each of the next views scores a square of nodes around the best node of the one before.
+PRIOR_GRIDS, NODES = 48, 9
+LN_K = f"({O.LN_K_LOW!r}::double)", f"({O.LN_K_HIGH!r}::double)"
+LOGIT = f"({O.LOGIT_BOUND!r}::double)"
+V |= {
+    "wgt": "select month, waste_type, assessments as n, level4_count as y, count(*) as weight from cnt group by all",
+    "node": f"select (i - {NODES // 2}) / {NODES // 2}::double as dm, (j - {NODES // 2}) / {NODES // 2}::double as dc from range({NODES}) t(i), range({NODES}) u(j)",
+    "pg0": f"select month, waste_type, ln(sum(weight * y) / sum(weight * (n - y))) as m, ({LN_K[0]} + {LN_K[1]}) / 2 as c, 0::double as ll from wgt group by all",
+}
+for _k in range(1, PRIOR_GRIDS + 1):
+    _close = 0.7 ** (_k - 1)
+    V[f"pg{_k}"] = f"""select month, waste_type, arg_max(m, ll) as m, arg_max(c, ll) as c, max(ll) as ll from (
+      select month, waste_type, m, c, sum(weight * (lgamma(y + a) + lgamma(n - y + b) - lgamma(n + a + b) - lgamma(a) - lgamma(b) + lgamma(a + b))) as ll from (
+        select *, exp(c) / (1 + exp(-m)) as a, exp(c) / (1 + exp(m)) as b from (
+          select distinct g.month, g.waste_type, least(greatest(g.m + dm * {_close!r}::double, -{LOGIT}), {LOGIT}) as m, least(greatest(g.c + dc * ({LN_K[1]} - {LN_K[0]}) / 2 * {_close!r}::double, {LN_K[0]}), {LN_K[1]}) as c from pg{_k - 1} g, node))
+        join wgt using (month, waste_type) group by all) group by all"""
+V |= {
+    "prior": f"""select month, waste_type, exp(c) / (1 + exp(-m)) as alpha, exp(c) / (1 + exp(m)) as beta, 1 / (1 + exp(-m)) as mean, exp(c) as concentration, points::bigint as points, -ll as objective,
+        least({LOGIT} - abs(m), c - {LN_K[0]}, {LN_K[1]} - c) < 1e-6 as at_bound, true as converged from pg{PRIOR_GRIDS} join (select month, waste_type, sum(weight) as points from wgt group by all) using (month, waste_type)""",
+    # the beta distribution as a sum of narrow bars; for a < 1 over x^a, where the density is smooth
+    "bars": """select *, sum(mass) over (partition by a, b, lim order by u) as upto from (
+        select a, b, lim, u, pow((u + 0.5) / 20000, 1 / least(a, 1)) as x, pow((u + 1) / 20000::double, 1 / least(a, 1)) as edge,
+          exp((a - 1) * ln(x) + (b - 1) * ln(1 - x) + (1 - least(a, 1)) * ln(x) - ln(least(a, 1)) + lgamma(a + b) - lgamma(a) - lgamma(b)) / 20000 as mass
+        from (select distinct level4_count + alpha as a, assessments - level4_count + beta as b, mean + 0.05 as lim from cnt join prior using (month, waste_type)), range(20000) t(u))""",
+    "tails": """select a, b, lim, min(case when upto >= 0.05 and upto - mass < 0.05 then edge - (upto - 0.05) / mass * (edge - before) end) as low, min(case when upto >= 0.95 and upto - mass < 0.95 then edge - (upto - 0.95) / mass * (edge - before) end) as high,
+        1 - max(case when before < lim then upto - mass * greatest(0, (edge - lim) / (edge - before)) else 0 end) as exceedance from (select *, pow(u / 20000::double, 1 / least(a, 1)) as before from bars) group by all""",
+    "est": """select c.month, c.waste_type, c.point_id, assessments, level4_count, assessed_days, assessed_bins, assessed_bins::double / bin_count as bin_coverage, level4_count::double / assessments as raw_frequency, a / (a + b) as smoothed_frequency,
+        low as interval_low, high as interval_high, exceedance as exceedance_probability, assessments >= 5 and assessed_days >= 3 and assessed_bins::double / bin_count >= 0.5 as sufficient_evidence
+        from (select *, level4_count + alpha as a, assessments - level4_count + beta as b, mean + 0.05 as lim from cnt join prior using (month, waste_type)) c join tails using (a, b, lim) join pts0 p on p.waste_type = c.waste_type and p.point_id = c.point_id""",
+}
+FITTED = V | {"feats": """select g.*, date '2024-06-01' as month, coalesce(c.assessments, 0) as assessments, coalesce(c.level4_count, 0) as level4_count, coalesce(c.assessed_days, 0) as assessed_days, coalesce(c.assessed_bins, 0) as assessed_bins,
+    coalesce(c.bin_coverage, 0) as bin_coverage, coalesce(c.sufficient_evidence, false) as sufficient_evidence, c.raw_frequency, c.smoothed_frequency, c.interval_low, c.interval_high, c.exceedance_probability
+    from grid g left join est c on c.month = date '2024-06-01' and c.waste_type = g.waste_type and c.point_id = g.point_id"""}
 CATS = ", ".join(f"count(*) filter (where category = '{c}') as {c}" for c in O.CATEGORIES)
 
 
@@ -167,13 +200,16 @@ def _(spark, sf):
     return w.groupBy("month", "waste_type").agg(F.sum(O.log_likelihood(w, F.lit(0.2), F.lit(4.0))).alias("log_likelihood"), F.sum("weight").alias("points"))
 
 
-@BOOK.add("beta_binomial_prior")
+@BOOK.add("beta_binomial_prior", "select month, waste_type, round(alpha, 3) as alpha, round(beta, 3) as beta, round(mean, 3) as mean, round(concentration, 3) as concentration, points, round(objective, 3) as objective, at_bound, converged from prior", digits=3, **V)
 def _(spark, sf):
     b = S.bins(spark, sf)
     return O.beta_binomial_prior(counts(spark, sf, b, AL.collection_points(b)))
 
 
-@BOOK.add("posterior_estimates")
+ROUNDED = ", ".join(f"round({c}, 4) as {c}" for c in ("bin_coverage", "raw_frequency", "smoothed_frequency", "interval_low", "interval_high", "exceedance_probability"))
+
+
+@BOOK.add("posterior_estimates", f"select * replace ({ROUNDED}) from est", digits=4, **V)
 def _(spark, sf):
     b = S.bins(spark, sf)
     pts = AL.collection_points(b)
@@ -196,13 +232,16 @@ def _(spark, sf):
     return standin(spark, sf)[0].select("month", "feature_id", "category", F.array_join("reasons", ";").alias("reasons"))
 
 
-@BOOK.add("adequacy_features")
+FEATURES = ("month", "feature_id", "cell_id", "waste_type", "point_id", "residents", "distance_m", "pressure", "assessments", "level4_count", "bin_coverage", "smoothed_frequency", "interval_low", "interval_high", "exceedance_probability", "sufficient_evidence", "category", "reasons")
+
+
+@BOOK.add("adequacy_features", "select " + ", ".join(f"round({c}, 4) as {c}" if c in ("residents", "distance_m", "pressure", "bin_coverage", "smoothed_frequency", "interval_low", "interval_high", "exceedance_probability") else c for c in FEATURES) + " from classed", digits=4, **FITTED)
 def _(spark, sf):
     c, b, srv, pts, thr, g = grid(spark, sf)
     n = counts(spark, sf, b, pts)
     est = O.posterior_estimates(n, pts, O.beta_binomial_prior(n), POLICY)
     months = spark.range(1).select(F.lit(date(2024, 6, 1)).alias("month"))
-    return O.adequacy_features(g, est, months, POLICY).withColumn("reasons", F.array_join("reasons", ";"))
+    return O.adequacy_features(g, est, months, POLICY).withColumn("reasons", F.array_join("reasons", ";")).select(*FEATURES)
 
 
 @BOOK.add("adequacy_quality", """
