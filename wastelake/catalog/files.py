@@ -214,8 +214,16 @@ def _(spark, sf):
     return K.merge_changed(stored, incoming)
 
 
-@BOOK.add("dataset_fingerprint", """
-    select count(*) as rows, bit_xor(h) as xor_hash, sum(h % 1000003)::bigint as sum_hash from (
-      select ('0x' || substr(sha256('{"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || ',"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}'), 1, 15))::bigint as h from lineitem)""")
+LANES = " || '-' || ".join(f"sum(('0x' || substr(d, {8 * i + 1}, 8))::bigint)" for i in range(K.LANES))
+DIGESTS = """select l_returnflag, sha256('{"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || ',"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}') as d from lineitem"""
+
+
+@BOOK.add("dataset_fingerprint", f"select count(*) as rows, {LANES} as identity from ({DIGESTS})")
+def _(spark, sf):
+    """The whole table from the fingerprints of its partitions."""
+    return K.identity(K.merged(K.fingerprint(S.table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"], by=["l_returnflag"])))
+
+
+@BOOK.add("partition_fingerprints", f"select l_returnflag, count(*) as rows, {LANES} as identity from ({DIGESTS}) group by 1")
 def _(spark, sf):
-    return K.fingerprint(S.table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"])
+    return K.identity(K.fingerprint(S.table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"], by=["l_returnflag"]))

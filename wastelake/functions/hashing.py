@@ -14,7 +14,6 @@ def uniform(namespace: str, *keys: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(_TWO_52)
 
 
-def row_hash60(*columns: Column) -> Column:
-    """60-bit hash of a row; NULL and '' stay distinct through the JSON text."""
-    payload = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return F.conv(F.substring(F.sha2(payload, 256), 1, 15), 16, 10).cast("bigint")
+def row_json(*columns: Column) -> Column:
+    """A row as one text; NULL and '' stay distinct."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

@@ -67,7 +67,32 @@ def merge_changed(stored: DataFrame, incoming: DataFrame, key: str = "id", revis
     return both.select(key, row.alias("row"), action.alias("action")).select(key, "row.*", "action")
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free identity of a table: row count, xor and sum of row hashes; identical input, identical row."""
-    h = df.select(H.row_hash60(*[F.col(c) for c in columns]).alias("h"))
-    return h.agg(F.count("*").alias("rows"), F.bit_xor("h").alias("xor_hash"), F.sum((F.col("h") % 1_000_003).cast("bigint")).alias("sum_hash"))
+#: A row's digest is cut into lanes of 32 bits; a lane's sum over 2^90 rows still fits its decimal.
+LANES, LANE_TYPE = 8, "decimal(38,0)"
+
+
+def fingerprint(df: DataFrame, columns: list[str], by: list[str] = []) -> DataFrame:
+    """Order-free identity of a table, or of each of its partitions: rows, and the sums of the lanes of all row digests.
+
+    Sums of 256-bit digests in lanes count each row as often as it occurs: two equal rows do not cancel. They add up, so
+    that `merged` fingerprints of partitions are the fingerprint of the table, and a change costs its partition only.
+    """
+    digest = F.sha2(H.row_json(*[F.col(c) for c in columns]), 256)
+    lanes = [F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("bigint").cast(LANE_TYPE).alias(f"l{i}") for i in range(LANES)]
+    rows = df.select(*by, digest.alias("digest")).select(*by, *lanes)
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), *[_total(f"l{i}") for i in range(LANES)])
+
+
+def _total(lane: str) -> Column:
+    return F.coalesce(F.sum(lane), F.lit(0)).cast(LANE_TYPE).alias(lane)
+
+
+def merged(fingerprints: DataFrame) -> DataFrame:
+    """The fingerprint of all parts together."""
+    return fingerprints.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[_total(f"l{i}") for i in range(LANES)])
+
+
+def identity(fingerprints: DataFrame) -> DataFrame:
+    """rows and the lanes as one text, to store and to compare."""
+    rest = [c for c in fingerprints.columns if not c.startswith("l") or c[1:] not in map(str, range(LANES))]
+    return fingerprints.select(*rest, F.concat_ws("-", *[F.col(f"l{i}").cast("string") for i in range(LANES)]).alias("identity"))
