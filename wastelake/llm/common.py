@@ -67,3 +67,18 @@ def with_row(df: DataFrame) -> tuple[DataFrame, str]:
     df, name = rereadable(df), free_name(df, "_row")
     meta = df.metadataColumn("_metadata")
     return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"))), name
+
+
+#: Hash values by which rows are thrown out before a join; bounds the broadcast to as many numbers.
+BUCKETS = 1 << 20
+
+
+def among(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows whose key may be one of the wanted ones; a join that follows has far fewer rows, and texts, to move.
+
+    Only the different hash buckets of the wanted keys are broadcast, never more than BUCKETS numbers. Where wanted keys
+    are many more than that, nothing is thrown out and the join is as before.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    marks = wanted.select(bucket(wanted_key).alias("_bucket")).distinct()
+    return rows.join(F.broadcast(marks), bucket(key) == F.col("_bucket"), "left_semi")

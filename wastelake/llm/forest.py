@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wastelake.llm import similar
-from wastelake.llm.common import rereadable, shuffle_width
+from wastelake.llm.common import among, rereadable, shuffle_width
 from wastelake.llm.components import components
 from wastelake.session import materialize
 
@@ -62,7 +62,8 @@ def regions(labelled: DataFrame, trees: int, depths: tuple[int, ...], crowded: i
     for depth in depths:
         keyed = open_.withColumn("bucket", F.xxhash64("tree", F.expr(f"substring(path, 1, {depth})"), F.lit(depth)))
         counts = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        keyed = materialize(keyed.join(materialize(counts.select("bucket", "n"), "regions"), "bucket"), "region_rows")
+        counts = materialize(counts.select("bucket", "n"), "regions")
+        keyed = materialize(among(keyed, "bucket", counts, "bucket").join(counts, "bucket"), "region_rows")
         last = depth == depths[-1]
         part = (keyed if last else keyed.where(F.col("n") <= crowded)).select("bucket", "node", "label", "size")
         found = part if found is None else found.unionByName(part)

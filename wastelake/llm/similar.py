@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from wastelake.llm.common import ROW_TYPE, shuffle_width, whole_text, with_row
+from wastelake.llm.common import ROW_TYPE, among, shuffle_width, whole_text, with_row
 from wastelake.session import materialize
 
 SEED, WORDS = 42, 5
@@ -118,7 +118,8 @@ def sets_of(wanted: DataFrame, docs: DataFrame, text: str = "text", words: int =
             yield pa.record_batch([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
     rows, row = with_row(docs)
-    texts = rows.select(F.col(row).alias("_row"), whole_text(text).alias("_text")).join(materialize(wanted, "wanted"), "_row")
+    wanted = materialize(wanted, "wanted")
+    texts = among(rows.select(F.col(row).alias("_row"), whole_text(text).alias("_text")), "_row", wanted, "_row").join(wanted, "_row")
     return materialize(texts.select("node", "_text").mapInArrow(fold, "node long, grams array<long>"), "grams")
 
 
@@ -148,13 +149,15 @@ def open_members(members: DataFrame) -> DataFrame:
     """The rows (bucket, node, label, size, ...) of buckets that hold different labels, with the bucket's blocks."""
     counts = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("grams"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).alias("blocks")
-    return members.join(materialize(counts.select("bucket", blocks), "open"), "bucket")
+    counts = materialize(counts.select("bucket", blocks), "open")
+    return among(members, "bucket", counts, "bucket").join(counts, "bucket")
 
 
 def opened(members: DataFrame) -> DataFrame:
     """The rows (bucket, label, ...) of buckets that hold different labels, written."""
     counts = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return materialize(members.join(materialize(counts.select("bucket"), "open"), "bucket"), "opened")
+    counts = materialize(counts.select("bucket"), "open")
+    return materialize(among(members, "bucket", counts, "bucket").join(counts, "bucket"), "opened")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str], by: list[str]) -> Iterator[tuple[np.ndarray, list]]:
