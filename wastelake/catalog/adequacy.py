@@ -12,6 +12,7 @@ from wastelake.catalog.views import LON_SCALE
 from wastelake.functions import bands as B
 from wastelake.operators import adequacy as O, allocation as AL
 from wastelake.plans.jobs import allocate
+from wastelake.session import materialize
 from wastelake.sources import tables as S
 
 BOOK = Book()
@@ -257,15 +258,48 @@ def _(spark, sf):
     return O.point_summaries(counts(spark, sf, b, pts), pts)
 
 
-@BOOK.add("adequacy_constraints", """
-    select unnest(['unstable_identity','unknown_category','population_missingness','negative_numbers','level4_above_assessments','days_above_assessments','days_above_month','bins_above_point','coverage_mismatch','raw_frequency_mismatch',
-      'missing_estimate','invented_estimate','interval_order','probability_bounds','unavailable_without_reason','duplicate_feature','missing_waste_types','uneven_shared_point']) as rule,
-      unnest([0, 0, 0, (select count(*) from classed where feature_id % 9 = 0 and distance_m is not null), 0, 0, 0, 0, 0, 0, 0, 0, 0, (select count(*) from classed where exceedance_probability > 1), 0, 0, 0, 0])::bigint as violations""", **V)
+#: One fault per rule of a feature table; the other rules find nothing.
+PLANTED = {
+    "negative_numbers": "feature_id % 9 = 0 and distance_m is not null", "probability_bounds": "exceedance_probability > 1", "unknown_reason": "feature_id % 23 = 0", "population_flags": "feature_id % 29 = 0",
+    "pressure_flags": "feature_id % 31 = 0", "evidence_flag": "feature_id % 37 = 0", "invalid_area": "feature_id % 41 = 0", "unknown_waste_type": "false", "infinite_numbers": "feature_id % 43 = 0",
+}
+NO_FAULT = ("unstable_identity", "unknown_category", "population_missingness", "level4_above_assessments", "days_above_assessments", "days_above_month", "bins_above_point", "coverage_mismatch", "raw_frequency_mismatch", "missing_estimate",
+            "invented_estimate", "interval_order", "unavailable_without_reason", "duplicate_feature", "missing_waste_types", "uneven_shared_point", "invalid_identity", "invalid_counts", "coverage_bounds", "raw_frequency_bounds", "no_features")
+
+
+@BOOK.add("adequacy_constraints", " union all ".join([*(f"select '{rule}' as rule, count(*) as violations from classed where {fault}" for rule, fault in PLANTED.items()), *(f"select '{rule}', 0" for rule in NO_FAULT)]), **V)
 def _(spark, sf):
-    f = standin(spark, sf)[0].withColumn("distance_m", F.when(F.col("feature_id") % 9 == 0, -F.col("distance_m") - 1).otherwise(F.col("distance_m")))
+    f, broken = standin(spark, sf)[0], lambda k: F.col("feature_id") % k == 0
+    f = f.withColumns({
+        "distance_m": F.when(broken(9), -F.col("distance_m") - 1).otherwise(F.col("distance_m")), "reasons": F.when(broken(23), F.array(F.lit("because"), *[F.lit(r) for r in O.REASONS])).otherwise(F.col("reasons")),
+        "suppressed": F.when(~broken(29), F.col("suppressed")), "long_access": F.when(~broken(31), F.col("long_access")), "sufficient_evidence": F.when(~broken(37), F.col("sufficient_evidence")),
+        "area_ha": F.when(broken(41), -1.0).otherwise(F.col("area_ha")), "pressure": F.when(broken(43), float("inf")).otherwise(F.col("pressure")),
+    })
     return O.adequacy_constraints(f)
 
 
+@BOOK.add("artifact_constraints", """
+    with streams as (select distinct month, waste_type from classed), assessed as (select distinct month, waste_type from classed where assessments > 0)
+    select 'missing_prior' as rule, count(*) as violations from assessed where waste_type = 'Paper/plastic waste' union all select unnest(['unconverged_prior', 'prior_mean']), count(*) from assessed where waste_type = 'Glass waste'
+    union all select 'prior_parameters', count(*) from assessed where waste_type = 'Mixed municipal waste' union all select 'missing_threshold', count(distinct waste_type) from streams where waste_type = 'Glass waste'
+    union all select 'summary_points', count(*) from (select distinct month, waste_type from cnt where waste_type = 'Glass waste') union all select 'summary_level4', count(*) from (select distinct month, waste_type from cnt where waste_type = 'Mixed municipal waste')
+    union all select 'missing_summary', count(*) from streams s where not exists (select 1 from cnt c where c.month = s.month and c.waste_type = s.waste_type)
+    union all select 'category_totals', count(*) from (select distinct month, waste_type from classed where category = 'unavailable')
+    union all select unnest(['repeated_prior', 'prior_points', 'summary_counts', 'threshold_value', 'policy_bounds']), 0""", **V)
+def _(spark, sf):
+    f, c, pts, thr = standin(spark, sf)
+    f = materialize(f, "features")
+    kind = lambda name: F.col("waste_type") == name
+    glass, mixed = kind("Glass waste"), kind("Mixed municipal waste")
+    priors = f.where("assessments > 0").select("month", "waste_type").distinct().where(~kind("Paper/plastic waste")).select(
+        "month", "waste_type", F.when(mixed, 0.0).otherwise(1.0).alias("alpha"), F.lit(4.0).alias("beta"), F.lit(5.0).alias("concentration"), F.when(glass, 2.0).otherwise(0.2).alias("mean"), F.lit(3).alias("points"), (~glass).alias("converged"),
+    )
+    sums = O.point_summaries(counts(spark, sf, S.bins(spark, sf), pts), pts)
+    sums = sums.withColumns({"assessed_points": F.when(glass, F.col("points") + 1).otherwise(F.col("assessed_points")), "level4_count": F.when(mixed, F.col("assessments") + 1).otherwise(F.col("level4_count"))})
+    areas = O.category_quality(f).withColumn("areas", F.col("areas") + F.when(F.col("category") == "unavailable", 1).otherwise(0))
+    return O.artifact_constraints(f, priors, sums, thr.where(~glass), areas, POLICY)
+
+
 @BOOK.add("adequacy_catalog", """
     with d as (select distinct o_orderdate::date as day from orders),
       s as (select 'adequacy-' || strftime(date_trunc('month', day), '%Y-%m') as id, last_day(day) as period_end, '1' as schema_version, extract(month from day) % 4 <> 0 as complete from d group by all

@@ -220,11 +220,32 @@ def split_days(spark, sf):
     return SE.temporal_split(enriched(spark, sf), CC.PERIODS)
 
 
+DIM_TYPES = {"collection_status": "string", "fill_level": "int", "site_id": "bigint", "waste_type": "string", "sub_district": "string", "object_group": "string", "population_cell_id": "int", "qr_alerts": "bigint"}
+
+
 @BOOK.add("column_profile", " union all ".join(
-    f"select '{c}' as feature, count(*) as rows, count(*) - count({c}) as missing, count(distinct {c}) as \"distinct\", min({c}::varchar) as smallest, max({c}::varchar) as largest, round(100.0::double * (count(*) - count({c})) / count(*), 6) as missing_pct from enr" for c in DIMS
+    f"""select '{c}' as feature, '{DIM_TYPES[c]}' as type, count(*) as rows, count(*) - count({c}) as missing, count(distinct {c}) as "distinct", min({c}::varchar) as smallest, max({c}::varchar) as largest, round(100.0::double * (count(*) - count({c})) / count(*), 6) as missing_pct,
+      (select string_agg(v, '|' order by n desc, v) from (select {c}::varchar as v, count(*) as n from enr where {c} is not null group by 1 order by n desc, v limit 3)) as examples from enr""" for c in DIMS
 ), **CC.V)
 def _(spark, sf):
-    return P.column_profile(enriched(spark, sf), DIMS)
+    return P.column_profile(enriched(spark, sf), DIMS).withColumn("examples", F.array_join("examples", "|"))
+
+
+FAULTS = "from (select bin_id, count(*) as n, min(date) as f, max(date) as l from enr where not (bin_id % 7 = 0 and date = date '2024-06-30') group by 1) d"
+
+
+@BOOK.add("range_audit", f"""
+    select 'wrong_total_rows' as rule, (sum(n) <> 1000)::bigint as rows {FAULTS} union all select 'wrong_daily_bin_count', (count(*) <> (select count(distinct bin_id) from enr))::bigint {FAULTS}
+    union all select 'outside_registry', count(*) {FAULTS} where bin_id % 12 = 5 or bin_id not in (select id from bins) union all select 'incomplete_bin_ranges', count(*) {FAULTS} where f <> date '2024-06-01' or l <> date '2024-06-30'
+    union all select 'wrong_rows_per_bin', count(*) {FAULTS} where n <> 30 union all select 'registry_attribute_mismatches', count(*) {FAULTS} where bin_id % 11 = 3 and bin_id % 12 <> 5 and bin_id in (select id from bins)
+    union all select 'wrong_registry_count', 1""", **CC.V)
+def _(spark, sf):
+    """One fault per rule: a day lost, bins the registry does not know, an attribute changed, wrong totals but one."""
+    days = enriched(spark, sf)
+    lost = days.where(~((F.col("bin_id") % 7 == 0) & (F.col("date") == F.lit(date(2024, 6, 30)))))
+    registry = S.bins(spark, sf).where(F.col("id") % 12 != 5).withColumn("waste_type", F.when(F.col("id") % 11 == 3, "changed").otherwise(F.col("waste_type")))
+    expected = P.Expected(1000, days.select("bin_id").distinct().count(), -1, date(2024, 6, 1), date(2024, 6, 30))
+    return P.range_audit(lost, registry, expected, ["site_id", "waste_type", "capacity_m3", "object_group"])
 
 
 @BOOK.add("domain_audit", """

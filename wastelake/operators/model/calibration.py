@@ -20,7 +20,8 @@ ZERO_MARGIN = 0.005
 def true_shares(observed: tuple[float, ...] = TARGET_SHARES, error: float = RATING_ERROR) -> np.ndarray:
     """Shares of the ratings before errors, when a rating slips to its neighbours with probability `error`.
 
-    The shares solve s = (observed - what the neighbours lose to s) / (1 - error), a contraction.
+    Every rating is seen as often as it is kept plus as often as a neighbour slips to it; the shares before errors are those
+    that make this add up to the observed ones.
     """
     seen = np.array(observed, float)
     ways = np.full(len(seen), 2.0)
@@ -65,13 +66,16 @@ def rising_knots(knots: DataFrame) -> list[float]:
 
 
 def fullness(pressure: Column, residue: Column, knots: list[float]) -> Column:
-    """Linear between the knots, exponential saturation above the last, bounded by the ceiling."""
-    xs = [0.0, *knots]
-    ys = [0.0, *[(level - LEVEL_OFFSET) / (MAX_FILL - LEVEL_OFFSET) for level in KNOT_LEVELS]]
-    scale = max(xs[-1] - xs[-2], np.finfo(float).eps)
-    tail = ys[-1] + (1 - ys[-1]) * -F.expm1(-F.greatest(pressure - xs[-1], F.lit(0.0)) / scale)
-    response = F.when(pressure <= 0, F.lit(0.0))
-    for x0, x1, y0, y1 in zip(xs, xs[1:], ys, ys[1:]):
-        response = response.when(pressure <= x1, y0 + (pressure - x0) * ((y1 - y0) / (x1 - x0)))
-    response = response.otherwise(tail)
-    return F.least(F.greatest(residue + (MAX_FILL - residue) * response, F.lit(0.0)), F.lit(MAX_FILL))
+    """Percent filled: what a bin has room for above its residue, less the part of it that the pressure leaves empty.
+
+    Each stretch between knots fills its share of the room evenly. The share that all of them leave shrinks by a factor e for
+    every further width of the last stretch. No pressure, no answer.
+    """
+    room = MAX_FILL - LEVEL_OFFSET
+    shares = np.diff([0.0, *((level - LEVEL_OFFSET) / room for level in KNOT_LEVELS)]).tolist()
+    widths = np.diff([0.0, *knots]).tolist()
+    empty = (1.0 - sum(shares)) * F.exp(F.least((knots[-1] - pressure) / widths[-1], F.lit(0.0)))
+    for end, width, share in zip(knots, widths, shares):
+        empty = empty + share * F.least(F.greatest((end - pressure) / width, F.lit(0.0)), F.lit(1.0))
+    level = residue + (MAX_FILL - residue) * (1.0 - empty)
+    return F.when(pressure.isNotNull(), F.least(F.greatest(level, F.lit(0.0)), F.lit(MAX_FILL)))

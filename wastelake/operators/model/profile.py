@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wastelake.functions import bands as B, dates as D
+from wastelake.session import materialize
 
 
 def _pairs(columns: list[str], missing: str | None) -> Column:
@@ -17,16 +21,62 @@ def value_counts(rows: DataFrame, columns: list[str], by: list[str] = [], missin
     return rows.select(*by, _pairs(columns, missing).alias("f")).groupBy(*by, "f.feature", "f.value").agg(F.count("*").alias("rows"))
 
 
+#: Examples a column profile shows.
+EXAMPLES = 3
+
+
 def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows, missing, distinct and smallest and largest text value of each column."""
-    n = value_counts(rows, columns)
+    """Type, rows, missing, distinct, smallest and largest text value and the most frequent examples of each column."""
+    n = materialize(value_counts(rows, columns), "value-counts")
     out = n.groupBy("feature").agg(
         F.sum("rows").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("rows"))), F.lit(0)).alias("missing"),
         F.count("value").alias("distinct"), F.min("value").alias("smallest"), F.max("value").alias("largest"),
     )
+    place = F.row_number().over(W.partitionBy("feature").orderBy(F.col("rows").desc(), "value"))
+    top = n.where("value is not null").withColumn("place", place).where(F.col("place") <= EXAMPLES)
+    examples = top.groupBy("feature").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("examples"))
+    kinds = F.create_map(*[F.lit(v) for c, kind in rows.dtypes if c in columns for v in (c, kind)])
+    out = out.join(examples, "feature", "left").withColumn("type", kinds[F.col("feature")])
     return out.withColumn("missing_pct", 100.0 * F.col("missing") / F.col("rows"))
 
 
+@dataclass(frozen=True)
+class Expected:
+    """What a daily table has to hold: rows and bins in all, bins of the registry, and the days of every bin."""
+
+    rows: int
+    daily_bins: int
+    registry_bins: int
+    start: date
+    end: date
+
+
+def range_audit(days: DataFrame, registry: DataFrame, expected: Expected, attributes: list[str]) -> DataFrame:
+    """Violation counters of the daily table as a whole and against the registry (id and the attributes).
+
+    Days are folded to a row per bin first: rows, first and last day, and the attributes of the last day.
+    """
+    last = F.max_by(F.struct(*attributes), "date").alias("own")
+    bins = materialize(days.groupBy("bin_id").agg(F.count("*").alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"), last), "bin-ranges")
+    known = registry.select(F.col("id").alias("bin_id"), F.struct(*attributes).alias("registered"))
+    both = bins.join(known, "bin_id", "left")
+    held = F.col("registered").isNotNull()
+    span = (expected.end - expected.start).days + 1
+    differs = sum((held & ~F.col(f"own.{c}").eqNullSafe(F.col(f"registered.{c}"))).cast("long") for c in attributes)
+    wrong = lambda found, want: (F.coalesce(found, F.lit(0)) != want).cast("long")
+    rules = {
+        "wrong_total_rows": wrong(F.sum("rows"), expected.rows),
+        "wrong_daily_bin_count": wrong(F.count("*"), expected.daily_bins),
+        "outside_registry": F.count_if(~held),
+        "incomplete_bin_ranges": F.count_if((F.col("first") != F.lit(expected.start)) | (F.col("last") != F.lit(expected.end))),
+        "wrong_rows_per_bin": F.count_if(F.col("rows") != span),
+        "registry_attribute_mismatches": F.coalesce(F.sum(differs), F.lit(0)),
+    }
+    flat = both.agg(*[test.cast("bigint").alias(name) for name, test in rules.items()])
+    out = flat.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("rows")) for r in rules])).alias("r")).select("r.*")
+    return out.unionByName(registry.agg(wrong(F.count("*"), expected.registry_bins).alias("rows")).select(F.lit("wrong_registry_count").alias("rule"), "rows"))
+
+
 def domain_audit(days: DataFrame) -> DataFrame:
     """Violation counters of the daily table in one pass."""
     s, y, day = F.col("collection_status"), F.col("fill_level"), F.col("date")
