@@ -3,9 +3,6 @@
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
-from xxhash import xxh64_intdigest
-
 import corpus_pipeline as cp
 from wastelake.llm import mixing, quality
 from wastelake.llm.common import table
@@ -13,10 +10,9 @@ from wastelake.llm.common import table
 SF = "/root/testdata/sf0.01"
 
 
-def simhash_bits(text, words):
+def grams(text, words):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    h = [xxh64_intdigest(" ".join(w[i : i + words]).encode(), 42) for i in range(max(1, len(w) - words + 1))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
 
 
 def test_stages(spark, tmp_path):
@@ -40,13 +36,17 @@ def test_stages(spark, tmp_path):
         groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"])].append((-len(r["text"]), r["doc_id"]))
     assert sorted(r["doc_id"] for r in unlike) == sorted(min(g)[1] for g in groups.values())
 
-    ids = sorted(r["doc_id"] for r in unlike)
-    prints = np.array([simhash_bits(rows[d]["text"], cp.WORDS) for d in ids], "<u8")
-    low = np.arange(len(ids))
-    near = [np.flatnonzero(np.bitwise_count(prints ^ p) <= cp.MAX_BITS) for p in prints]
-    while not np.array_equal(low, new := np.array([low[n].min() for n in near])):
-        low = new
-    assert sorted(r["doc_id"] for r in far) == sorted(ids[i] for i in set(low.tolist()))
+    sets = {r["doc_id"]: grams(r["text"], cp.WORDS) for r in unlike}
+    root, ids = {d: d for d in sets}, sorted(sets)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= cp.SIMILARITY * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in near:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    assert near and sorted(r["doc_id"] for r in far) == sorted(set(root.values()))
 
     plan = {r["doc_id"]: r["copies"] for r in mixing.plan_copies(spark.read.parquet(f"{tmp_path}/2")).collect()}
     assert Counter(r["doc_id"] for r in mixed) == Counter({d: n for d, n in plan.items() if n})

@@ -20,8 +20,7 @@ two sets of shingles is high enough. 0.8^8 = 0.168 a band finds 99.7% of pairs a
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
+from wastelake.llm import similar
 from wastelake.llm.common import ROW_TYPE, rereadable, shuffle_width, whole_text, with_row
 from wastelake.llm.components import components
 from wastelake.session import materialize
@@ -39,12 +39,8 @@ BLOCK = 500
 #: Shingles hashed at a time, so that a very long text needs no more memory than a long one.
 CHUNK = 1 << 16
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Candidates by MinHash: bands, values a band, and the multipliers and shifts of all values.
+#: Candidates by MinHash: bands and values a band.
 BANDS, BAND_ROWS, SIMILARITY = 32, 8, 0.8
-FACTORS, SHIFTS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), "u8")
-FACTORS |= np.uint64(1)
-#: Shingles put through all MinHash values at a time.
-MIN_CHUNK = 1 << 11
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -78,48 +74,19 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     return rows.mapInArrow(fold, f"_row {ROW_TYPE}, doc_id {kind}, fp long")
 
 
-def shingle_set(tokens: list[bytes], words: int = WORDS) -> np.ndarray:
-    """Hashes of the different word shingles, each once; none without words, the whole sequence where words are few."""
-    if not tokens:
-        return np.zeros(0, "<u8")
-    found = np.zeros(0, "<u8")
-    for at in range(0, max(1, len(tokens) - words + 1), CHUNK):
-        part = tokens[at : at + CHUNK + words - 1]
-        shingles = zip(*(part[k:] for k in range(words))) if len(tokens) >= words else [tokens]
-        found = np.union1d(found, np.fromiter(map(xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), "<u8"))
-    return found
-
-
-def bands(grams: np.ndarray) -> np.ndarray:
-    """One number per band of MinHash values; texts that share one are candidates. None without shingles."""
-    if not len(grams):
-        return np.zeros(0, "<u8")
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, "u8")
-    for at in range(0, len(grams), MIN_CHUNK):
-        np.minimum(least, (grams[at : at + MIN_CHUNK, None] * FACTORS + SHIFTS).min(0), out=least)
-    rows = np.column_stack([np.arange(BANDS, dtype="<u8"), least.reshape(BANDS, BAND_ROWS)])
-    return np.array([xxh64_intdigest(r.tobytes(), SEED) for r in rows], "<u8")
-
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes, as signed 64 bits; 0 without hashes."""
+    counts = np.zeros((8, 8), np.int64)
+    lanes = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
+    for lane in range(8):
+        counts[lane] += np.bincount(lanes[:, lane], minlength=256) @ BYTE_BITS
+    return int(np.packbits(2 * counts.ravel() > len(hashes), bitorder="little").view("<i8")[0])
 
-def sketches(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """_row, doc_id, fp, key (digest of the lowered words), size (different shingles), bands, for every row."""
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, keys, sizes, found = [], [], [], []
-            for t in batch.column("_text"):
-                tokens = t.as_py().encode().translate(LOWER).split()
-                grams = shingle_set(tokens, words)
-                fps.append(fingerprint(t.as_py(), words))
-                keys.append(hashlib.blake2b(b" ".join(tokens), digest_size=16).digest())
-                sizes.append(len(grams))
-                found.append(bands(grams).view("<i8"))
-            columns = [pa.array(np.array(fps, "<u8").view("<i8")), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column("_row"), batch.column("doc_id"), *columns], names=["_row", "doc_id", "fp", "key", "size", "bands"])
-
-    rows, row = with_row(docs)
-    rows = rows.select(F.col(row).alias("_row"), F.col(f"`{id}`").alias("doc_id"), whole_text(text).alias("_text"))
-    return rows.mapInArrow(fold, f"_row {ROW_TYPE}, doc_id {dict(docs.dtypes)[id]}, fp long, key binary, size long, bands array<long>")
+def bands(least: np.ndarray) -> list[int]:
+    """One number per band of MinHash values; texts that share one are candidates. None without values."""
+    rows = np.column_stack([np.arange(len(least) // BAND_ROWS, dtype="<u8"), least.reshape(-1, BAND_ROWS).astype("<u8")])
+    return np.array([xxh64_intdigest(r.tobytes(), SEED) for r in rows], "<u8").view("<i8").tolist()
 
 
 def plan_segments(max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> list[tuple[int, int, int]]:
@@ -156,12 +123,12 @@ def _members(prints: DataFrame, max_bits: int, segments: int) -> DataFrame:
     return prints.select("*", F.explode(F.concat(*parts)).alias("m")).select("m.bucket", *prints.columns, "m.probe")
 
 
-def _dealt(members: DataFrame, block: int, node: str = "fp") -> DataFrame:
-    """part and the columns of `members` for buckets where something can meet; large buckets are cut into pairs of blocks by `node`."""
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """part and the columns of `members` for buckets where something can meet; large buckets are cut into pairs of blocks."""
     w = Window.partitionBy("bucket")
     counted = members.withColumn("p", F.sum(F.col("probe").cast("long")).over(w)).withColumn("t", F.count("*").over(w) - F.col("p")).where("t > 0 and t + p > 1")
     tables, probes = F.ceil(F.col("t") / block), F.ceil(F.col("p") / block)
-    mine = F.when(F.col("probe"), tables + F.pmod(F.xxhash64(node), probes)).otherwise(F.pmod(F.xxhash64(node), tables))
+    mine = F.when(F.col("probe"), tables + F.pmod(F.xxhash64("fp"), probes)).otherwise(F.pmod(F.xxhash64("fp"), tables))
     blocks = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     pair = lambda x, m: F.least(x, m) * (1 << 31) + F.greatest(x, m)
     cut = F.transform(blocks(F.when(F.col("probe"), tables).otherwise(tables + probes)), lambda x: pair(x, F.col("mine")))
@@ -264,65 +231,41 @@ def _hooks(classes: DataFrame) -> DataFrame:
     return members.join(least, "bucket").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _candidates(classes: DataFrame, similarity: float, max_bits: int, segments: int, block: int) -> DataFrame:
-    """a, b: every pair of classes with unequal `label` that shares a band or lies within max_bits, unless their sizes rule it out."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, node, label, size, fp, probe in _whole(batches, ["node", "label", "size", "fp", "probe"]):
-            fp, probe, at, step = fp.view("<u8"), probe.astype(bool), np.arange(len(node)), 1
-            while len(at := at[at + step < len(node)]) and len(at := at[group[at] == group[at + step]]):
-                to = at + step
-                low, high = np.minimum(size[at], size[to]), np.maximum(size[at], size[to])
-                near = (label[at] != label[to]) & (low / np.maximum(high, 1) >= similarity) & (np.bitwise_count(fp[at] ^ fp[to]) <= max_bits) & ~(probe[at] & probe[to])
-                if near.any():
-                    a, b = node[at[near]], node[to[near]]
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-                step += 1
-
-    by_bits = _members(classes.select("node", "label", "size", "fp"), max_bits, segments)
-    by_band = classes.select(F.explode("bands").alias("bucket"), "node", "label", "size", F.lit(0).cast("long").alias("fp"), F.lit(False).alias("probe"))
-    w = Window.partitionBy("bucket")
-    open_ = by_bits.unionByName(by_band).withColumn("_many", F.min("label").over(w) != F.max("label").over(w)).where("_many").drop("_many")
-    spread = _dealt(open_, block, "node").repartition(shuffle_width(classes.sparkSession), "bucket", "part").sortWithinPartitions("bucket", "part")
-    return spread.mapInArrow(search, "a long, b long").distinct()
+def _within(max_bits: int) -> Callable[[list[pa.Array]], Callable]:
+    def of(columns: list[pa.Array]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        fp, probe = columns[0].to_numpy().view("<u8"), columns[1].to_numpy(zero_copy_only=False)
+        return lambda a, b: (np.bitwise_count(fp[a] ^ fp[b]) <= max_bits) & ~(probe[a] & probe[b])
 
+    return of
 
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """The pairs of classes whose sets of shingles have at least this Jaccard similarity."""
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py().encode().translate(LOWER).split(), words).view("<i8") for t in batch.column("_text")]
-            yield pa.record_batch([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
-
-    rows, row = with_row(docs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("first.row").alias("_row")), "node")
-    texts = rows.select(F.col(row).alias("_row"), whole_text(text).alias("_text")).join(materialize(wanted, "wanted"), "_row")
-    grams = materialize(texts.select("node", "_text").mapInArrow(fold, "node long, grams array<long>"), "grams")
-    one, two = (grams.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b"))
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("shared"), (F.size("grams_a") + F.size("grams_b") - shared).alias("either"))
-    return both.where(F.col("shared") / F.col("either") >= similarity).select("a", "b")
-
-
-def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
     """_row, doc_id, component_id, kept, for every row; like near_groups, but linked by the exact Jaccard similarity.
 
-    Rows of equal lowered words are one class. Candidates between classes share a band or lie within max_bits;
-    every candidate that could still join two groups is checked on the sets of shingles. The pairs with each band's
-    least class go first, so that a large group of near copies is one group before the other pairs are listed.
+    Rows of equal shingle sets are one class, all rows without words among them. Classes are candidates if they meet within
+    max_bits by the segments of their fingerprints, or share a band. Each band's least class with the others goes first, so that a
+    large group of near copies is one component before the rest is compared in blocks (see `similar`): what moves
+    follows the members of a group, not its pairs. `similarity` counts in hundredths.
     """
-    docs = rereadable(docs)
-    prints = materialize(sketches(docs, id, text, words), "prints")
+    docs, values, percent = rereadable(docs), BANDS * BAND_ROWS, round(100 * similarity)
+    more = lambda hashes, least: [majority(hashes), bands(least)]
+    prints = materialize(similar.sketches(docs, values, id, text, words, more, "fp long, bands array<long>"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("first")
-    classes = prints.groupBy("key").agg(first, *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
+    classes = prints.groupBy("key").agg(first, *[F.first(c).alias(c) for c in ("fp", "size", "sig", "bands")])
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    hooks = materialize(_hooks(classes), "hooks")
-    near = materialize(_similar(hooks, classes, docs, text, words, similarity), "similar")
-    roots = components(near)
-    labelled = materialize(classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "fp", "bands"), "labelled")
-    rest = materialize(_candidates(labelled, similarity, max_bits, segments, block).join(hooks, ["a", "b"], "left_anti"), "candidates")
-    roots = components(near.unionByName(materialize(_similar(rest, classes, docs, text, words, similarity), "similar")))
+    where = classes.select("node", F.col("first.row").alias("_row"))
+    pairs = materialize(similar.likely(materialize(_hooks(classes), "hooks"), classes, percent, values), "pairs")
+    sets = similar.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(where, "node"), docs, text, words)
+    near = materialize(similar.linked(pairs, sets, percent), "near")
+    labelled = classes.where("size > 0").join(components(near), "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "fp", "sig", "bands")
+    labelled = materialize(labelled, "labelled")
+    by_band = similar.opened(labelled.select(F.explode("bands").alias("bucket"), "node", "label", "size")).join(labelled.select("node", "sig"), "node")
+    by_bits = _members(labelled.select("node", "label", "size", "fp"), max_bits, segments)
+    units = similar.candidates(by_bits, percent, _within(max_bits), ["fp", "probe"]).unionByName(similar.candidates(by_band, percent, similar.by_signature(percent, values), ["sig"]))
+    units = materialize(units.distinct(), "units")
+    rest = units.select("node").distinct().join(sets.select("node"), "node", "left_anti").join(where, "node")
+    sets = sets.unionByName(similar.sets_of(rest, docs, text, words))
+    roots = components(near.unionByName(materialize(similar.unit_links(units, labelled, sets, percent), "links")))
     rooted = materialize(classes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "first"), "rooted")
     heads = materialize(rooted.groupBy("root").agg(F.min("first").alias("head")), "heads")
     labels = materialize(rooted.join(heads, "root").select("key", "head"), "labels")
