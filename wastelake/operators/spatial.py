@@ -140,8 +140,10 @@ def broken_near(polygons: DataFrame, bbox) -> DataFrame:
 
 def intersecting(polygons: DataFrame, bbox) -> DataFrame:
     """Valid polygons that meet the rectangle; a cheap envelope test runs before the exact one. The others: broken_near."""
+    west, south, east, north = bbox
     near = _envelope_meets(polygons, bbox)
-    met = near.where(G.intersects_bbox(F.col("rings"), bbox))
+    within = (F.col("min_lon") >= west) & (F.col("max_lon") <= east) & (F.col("min_lat") >= south) & (F.col("max_lat") <= north)
+    met = near.where(within | G.intersects_bbox(F.col("rings"), bbox))
     valid = polygon_problems(met).where(F.col("problem").isNull())
     return valid.drop("problem", "min_lon", "min_lat", "max_lon", "max_lat")
 

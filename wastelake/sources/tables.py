@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wastelake.functions import dates as D, hashing as H
+from wastelake.session import materialize
 
 SHIFT_DAYS = 152  # moves the event month onto the 30 days of June 2024
 BBOX = (24.98, 54.55, 25.52, 54.85)
@@ -200,7 +201,10 @@ def bin_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Population squares; every fifth has a hole. Squares overlap on purpose."""
+    """Population squares; every fifth has a hole. Squares overlap on purpose.
+
+    They are written, as a polygon file would hold them: rings that stay an expression are worked out anew at every mention.
+    """
     p = F.col("p_partkey")
     half = F.lit(0.002) + F.lit(0.0001) * F.col("p_size")
     base = table(spark, sf, "part").select(
@@ -212,12 +216,13 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
         y0, y1 = F.col("clat") - F.col("half") * k, F.col("clat") + F.col("half") * k
         return F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array(x0, y0))
 
-    return base.select(
+    squares = base.select(
         "id",
         F.when(F.col("p_size") < 11, "<11").when(F.col("p_size") % 13 != 0, (F.col("p_size") * 4).cast("string")).alias("density_text"),
         (10000.0 * (1 + F.col("p_size") % 3)).alias("area_m2"),
         F.when(F.col("id") % 5 == 0, F.array(square(1.0), square(0.4))).otherwise(F.array(square(1.0))).alias("rings"),
     )
+    return materialize(squares, "cells")
 
 
 def _tile(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
