@@ -76,3 +76,22 @@ def test_whole_small_table_against_all_pairs(spark):
         if root == before:
             break
     assert {r["doc_id"] for r in cp.drop_near_copies(spark, docs, SF).collect()} == set(root.values())
+
+
+def test_what_moves_follows_the_members_of_a_group(spark, tmp_path, monkeypatch):
+    """Texts that share a passage (Jaccard about 0.7): all stay, and the rows compared grow with the texts, not with their pairs."""
+    from wastelake.llm import similar
+
+    rng, seen = random.Random(9), []
+    passage = words(rng, 170)
+    plain = similar.unit_links
+
+    def counted(units, *rest):
+        seen.append(units.count())
+        return plain(units, *rest)
+
+    monkeypatch.setattr(similar, "unit_links", counted)
+    for n in (500, 2000):
+        texts = [" ".join(passage + words(rng, 34)) for _ in range(n)]
+        assert stage(spark, tmp_path / str(n), texts) == set(range(n))
+    assert seen[1] <= 8 * max(seen[0], 500), seen
