@@ -53,10 +53,20 @@ def _(spark, sf):
         .when(F.col("id") % 7 == 5, F.array(F.array(p[0], F.array(F.lit(200.0), p[1][1]), p[2], p[0])))
         .otherwise(F.col("rings"))
     )
-    checked = O.polygon_problems(S.cells(spark, sf).withColumn("rings", broken))
+    checked = O.checked(S.cells(spark, sf).withColumn("rings", broken))
     return checked.groupBy(F.coalesce("problem", F.lit("valid")).alias("problem")).agg(F.count("*").alias("polygons"))
 
 
+@BOOK.add("layer_problems", """
+    with f as (select case when id % 13 = 0 then 1 else id end as id, case when id % 11 = 0 then ' ' when id % 5 = 0 then 'again' else 'cell ' || id end as name from cells)
+    select 'blank_name' as rule, count(*) as features from f where trim(name) = '' union all select 'duplicate_id', coalesce(sum(n), 0)::bigint from (select count(*) as n from f group by id having count(*) > 1)
+    union all select 'duplicate_name', coalesce(sum(n), 0)::bigint from (select count(*) as n from f group by name having count(*) > 1) union all select unnest(['invalid_id', 'broken_polygon', 'no_features']), 0""")
+def _(spark, sf):
+    i = F.col("id")
+    name = F.when(i % 11 == 0, " ").when(i % 5 == 0, "again").otherwise(F.concat(F.lit("cell "), i.cast("string")))
+    return O.layer_problems(O.checked(S.cells(spark, sf)).withColumn("name", name).withColumn("id", F.when(i % 13 == 0, 1).otherwise(i)))
+
+
 @BOOK.add("point_in_polygon", f"select b.id, m.polygon_id, coalesce(m.matches, 0) as matches from bins b left join (select b.id, min(c.id) as polygon_id, count(*) as matches from bins b join cells c on {IN_POLYGON} group by b.id) m on m.id = b.id")
 def _(spark, sf):
     return O.membership(S.bins(spark, sf), S.cells(spark, sf))

@@ -173,7 +173,7 @@ def intersects_bbox(rings: Column, bbox) -> Column:
     return edge | covers(F.lit(float(west)), F.lit(float(south)), rings)
 
 
-def _proper_cross(s: Column, t: Column) -> Column:
+def proper_cross(s: Column, t: Column) -> Column:
     """Two segments cross at a point inside both."""
     side = lambda p, q, r: (px(q) - px(p)) * (py(r) - py(p)) - (py(q) - py(p)) * (px(r) - px(p))
     a, b, c, d = s["a"], s["b"], t["a"], t["b"]
@@ -182,7 +182,15 @@ def _proper_cross(s: Column, t: Column) -> Column:
 
 def self_crossing(ring: Column) -> Column:
     segs = segments(ring)
-    return F.exists(segs, lambda s: F.exists(segs, lambda t: _proper_cross(s, t)))
+    return F.exists(segs, lambda s: F.exists(segs, lambda t: proper_cross(s, t)))
+
+
+def _three_distinct(ring: Column) -> Column:
+    """Whether three positions differ from each other, in one walk along the ring."""
+    start = F.struct(F.element_at(ring, 1).alias("a"), F.lit(None).cast("array<double>").alias("b"), F.lit(False).alias("more"))
+    new = lambda s, p: (p != s["a"]) & F.coalesce(p != s["b"], F.lit(True))
+    step = lambda s, p: F.struct(s["a"].alias("a"), F.when(s["b"].isNull() & new(s, p), p).otherwise(s["b"]).alias("b"), (s["more"] | (s["b"].isNotNull() & new(s, p))).alias("more"))
+    return F.aggregate(ring, start, step, lambda s: s["more"])
 
 
 def ring_problem(ring: Column) -> Column:
@@ -204,17 +212,19 @@ def ring_problem(ring: Column) -> Column:
         F.when(ring.isNull() | (F.size(ring) < 4), "too_few_positions")
         .when(bad_position, "invalid_position")
         .when(first != last, "unclosed")
-        .when(F.size(F.array_distinct(F.slice(ring, 1, F.size(ring) - 1))) < 3, "too_few_distinct")
+        .when(~_three_distinct(ring), "too_few_distinct")
         .when(area == 0.0, "zero_area")
     )
 
 
-def polygon_problem(rings: Column) -> Column:
+def polygon_problem(rings: Column, most: int | None = None) -> Column:
+    """First broken rule of a polygon, or NULL; rings of more than `most` positions are not asked for crossings of their edges."""
+    asked = rings if most is None else F.filter(rings, lambda r: F.size(r) <= most)
     ring_problems = F.filter(F.transform(rings, ring_problem), lambda p: p.isNotNull())
     return (
         F.when(rings.isNull() | (F.size(rings) < 1), "missing_rings")
         .when(F.size(ring_problems) > 0, F.element_at(ring_problems, 1))
-        .when(F.exists(rings, self_crossing), "self_crossing")
+        .when(F.exists(asked, self_crossing), "self_crossing")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wastelake.functions import geo as G
-from wastelake.session import spread
+from wastelake.session import materialize, spread
 
 CELL_DEGREES = 0.01
 LEAF_METRES = 7.8125
@@ -27,11 +27,64 @@ def with_centroid(polygons: DataFrame) -> DataFrame:
     ).drop("centroid")
 
 
+#: Positions up to which a ring's edges are compared inside its row.
+SMALL_RING = 64
+
+
+def crossed_polygons(polygons: DataFrame) -> DataFrame:
+    """id of every polygon with a large ring of which two edges cross.
+
+    Edges go to the cells of a grid of their ring's own, about as many cells a side as the ring has edges, so that an edge of
+    usual length lies in a few; edges meet in a cell, never all with all. A long edge takes the cells along it, row by row.
+    """
+    ring = F.col("points")
+    large = polygons.select("id", F.posexplode("rings").alias("ring", "points")).where(F.size("points") > SMALL_RING)
+    box = G.envelope(ring)
+    extent = F.greatest(box["max_lon"] - box["min_lon"], box["max_lat"] - box["min_lat"])
+    large = materialize(large.withColumn("step", 2 * extent / F.size("points")), "large-rings")  # worked out once a ring, not once an edge
+    edges = large.select("id", "ring", "step", F.posexplode(G.segments(ring)).alias("seq", "s"))
+    ends = F.struct(G.px(F.col("s.a")).alias("x0"), G.py(F.col("s.a")).alias("y0"), G.px(F.col("s.b")).alias("x1"), G.py(F.col("s.b")).alias("y1"))
+    edges = materialize(edges.select("id", "ring", "step", "seq", "s", ends.alias("e")), "edges")
+    e, step = F.col("e"), F.col("step")
+    rows = edges.withColumn("cy", F.explode(F.sequence(F.floor((F.least(e["y0"], e["y1"]) - MARGIN) / step), F.floor((F.greatest(e["y0"], e["y1"]) + MARGIN) / step))))
+    first, last = _columns(e, "x0", "y0", "x1", "y1", F.col("cy"), step)
+    cells = rows.withColumn("cx", F.explode(F.sequence(first, last))).select("id", "ring", "cx", "cy", "seq", "s")
+    key = ["id", "ring", "cx", "cy"]
+    pairs = cells.join(cells.select(*key, F.col("seq").alias("other"), F.col("s").alias("t")), key).where(F.col("seq") < F.col("other"))
+    return pairs.where(G.proper_cross(F.col("s"), F.col("t"))).select("id").distinct()
+
+
 def polygon_problems(polygons: DataFrame) -> DataFrame:
-    """Adds `problem`: the first broken geometry rule, or NULL for a usable polygon."""
+    """Adds `problem`: the first broken geometry rule, or NULL for a usable polygon. A verdict that is there is kept."""
+    if "problem" in polygons.columns:
+        return polygons
     return polygons.withColumn("problem", G.polygon_problem(F.col("rings")))
 
 
+def checked(polygons: DataFrame) -> DataFrame:
+    """Polygons (unique id, rings) with their `problem`, written once; questions over the result check nothing again.
+
+    For rings of any size: edges of rings above SMALL_RING positions are compared cell by cell.
+    """
+    judged = materialize(polygons.drop("problem").withColumn("problem", G.polygon_problem(F.col("rings"), SMALL_RING)), "judged")
+    crossed = crossed_polygons(judged.where("problem is null")).withColumn("_crossed", F.lit("self_crossing"))
+    return materialize(judged.join(crossed, "id", "left").withColumn("problem", F.coalesce("problem", "_crossed")).drop("_crossed"), "polygons")
+
+
+def layer_problems(features: DataFrame, name: str = "name") -> DataFrame:
+    """Per rule the features of a polygon layer (id, name, rings, problem) that break it as a layer, and the broken polygons."""
+    named = F.trim(F.coalesce(F.col(name), F.lit("")))
+    twice = lambda c: features.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n")).where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("features"))
+    flat = features.agg(
+        F.count_if(named == "").alias("blank_name"), F.count_if(F.col("id").isNull() | ~F.col("id").between(-(2**31), 2**31 - 1)).alias("invalid_id"),
+        F.count_if(F.col("problem").isNotNull()).alias("broken_polygon"), (F.count("*") == 0).cast("bigint").alias("no_features"),
+    )
+    out = flat.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("features")) for r in flat.columns])).alias("r")).select("r.*")
+    for rule, column in (("duplicate_id", F.col("id")), ("duplicate_name", F.col(name))):
+        out = out.unionByName(twice(column).select(F.lit(rule).alias("rule"), "features"))
+    return out
+
+
 def _row(y: Column, step: float) -> Column:
     return F.floor(y / step)
 
@@ -145,7 +198,7 @@ def intersecting(polygons: DataFrame, bbox) -> DataFrame:
     within = (F.col("min_lon") >= west) & (F.col("max_lon") <= east) & (F.col("min_lat") >= south) & (F.col("max_lat") <= north)
     met = near.where(within | G.intersects_bbox(F.col("rings"), bbox))
     valid = polygon_problems(met).where(F.col("problem").isNull())
-    return valid.drop("problem", "min_lon", "min_lat", "max_lon", "max_lat")
+    return valid.select(*[c for c in polygons.columns if c != "problem"])
 
 
 # --- nearest point -----------------------------------------------------------
