@@ -177,6 +177,23 @@ def test_nearest_point_against_brute_force(spark):
         assert got[i][0] == int(np.argmin(d)) and math.isclose(got[i][1], d.min(), rel_tol=1e-9)
 
 
+def test_nearest_point_of_crowded_boxes(spark, monkeypatch):
+    monkeypatch.setattr(SP, "HOT_BOX", 20)
+    monkeypatch.setattr(SP, "POINT_CHUNK", 3)
+    rng = np.random.default_rng(4)
+    pts = np.concatenate([rng.normal(0, 0.5, (60, 2)), [[300.0, 0.0], [300.0, 0.0], [0.0, 300.0]], rng.uniform(-900, 900, (40, 2))])
+    src = np.concatenate([rng.normal(0, 0.5, (100, 2)), [[150.0, 150.0]] * 60, rng.uniform(-900, 900, (100, 2)), [[300.0, 1.0]]])
+    points = spark.createDataFrame([(i, "a", float(x), float(y)) for i, (x, y) in enumerate(pts)] + [(999, "b", None, 1.0)], "point_id long, kind string, x double, y double")
+    rows = [(i, "a", float(x), float(y)) for i, (x, y) in enumerate(src)]
+    sources = spark.createDataFrame([*rows, rows[0], (None, "a", 300.0, 0.0), (5000, "a", None, 0.0), (5001, "b", 0.0, 0.0)], "source_id long, kind string, x double, y double")
+    got = SP.nearest_point(sources, points).collect()
+    found = {r["source_id"]: (r["point_id"], r["distance_m"]) for r in got}
+    assert len(got) == len(found) == len(src) + 1 and found[None][0] == 60
+    for i, s in enumerate(src):
+        d2 = (pts[:, 0] - s[0]) ** 2 + (pts[:, 1] - s[1]) ** 2
+        assert found[i] == (int(np.argmin(d2)), math.sqrt(d2.min()))
+
+
 def test_exact_quantiles_on_skewed_values(spark):
     rng = np.random.default_rng(5)
     values = list(np.concatenate([np.exp(rng.normal(0, 6, 500)), np.zeros(300)]))
