@@ -67,3 +67,23 @@ def test_rings_without_area_and_empty_tables(spark):
     assert sorted(map(tuple, SP.membership(points, shapes_).collect())) == [(1, 5, 1), (2, None, 0)]  # the open ring is closed
     assert sorted(map(tuple, SP.membership(points, shapes_.limit(0)).collect())) == [(1, None, 0), (2, None, 0)]
     assert SP.membership(points.limit(0), shapes_).collect() == []
+
+
+def test_pairs_are_counted_where_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(SP, "HOT_CELL", 50)
+    box = lambda x, s: [[x, 0.0], [x + s, 0.0], [x + s, s], [x, s], [x, 0.0]]
+    polygons = [(None, [box(0.0, 0.02)])] + [(i, [box(0.00001 * i, 0.009), box(0.004, 0.001)]) for i in range(120)]
+    at = [(i, 0.0001 * i, 0.0004) for i in range(150)] + [(1, 0.0001, 0.0004), (7, 0.0155, 0.001), (None, 0.002, 0.002), (900, None, 0.001)]
+    points = spark.createDataFrame(at, "id long, longitude double, latitude double")
+    shapes_ = spark.createDataFrame(polygons, RINGS)
+    plain = points.crossJoin(shapes_.withColumnRenamed("id", "polygon_id")).where(G.in_polygon(F.col("longitude"), F.col("latitude"), F.col("rings"))).select("id", "polygon_id").distinct()
+    want = {r["id"]: (r["p"], r["n"]) for r in plain.where("id is not null").groupBy("id").agg(F.min("polygon_id").alias("p"), F.count("*").alias("n")).collect()}
+    previous = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # rows of a polygon and positions of a piece go over batches
+    try:
+        found = SP.membership(points, shapes_)
+        got = [tuple(r) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", previous)
+    assert len(got) == len(at) and {i: (p, n) for i, p, n in got if n} == want and (None, None, 0) in got
+    assert "MapInArrow" in found._jdf.queryExecution().toString()  # no row per pair of a point and a polygon leaves a task
