@@ -194,6 +194,47 @@ def test_nearest_point_of_crowded_boxes(spark, monkeypatch):
         assert found[i] == (int(np.argmin(d2)), math.sqrt(d2.min()))
 
 
+def nearest_by_hand(src, pts):
+    return {(i, k): min((math.sqrt((p[0] - x) ** 2 + (p[1] - y) ** 2), j) for j, (q, p) in enumerate(pts) if q == k) for i, (k, (x, y)) in enumerate(src)}
+
+
+def nearest_of(spark, src, pts):
+    points = spark.createDataFrame([(i, k, float(x), float(y)) for i, (k, (x, y)) in enumerate(pts)], "point_id long, kind string, x double, y double")
+    sources = spark.createDataFrame([(i, k, float(x), float(y)) for i, (k, (x, y)) in enumerate(src)], "source_id long, kind string, x double, y double")
+    rows = SP.nearest_point(sources, points).collect()
+    assert len(rows) == len(src)
+    return {(r["source_id"], r["kind"]): (r["distance_m"], r["point_id"]) for r in rows}
+
+
+def test_nearest_point_meets_sources_in_their_own_cells(spark, monkeypatch):
+    """Sources among points need no pyramid, whatever the density: each moves with the points of one cell of a grid."""
+
+    def refused(*_):
+        raise AssertionError("walked the pyramid")
+
+    monkeypatch.setattr(SP, "_by_boxes", refused)
+    monkeypatch.setattr(SP, "HOT_BOX", 20)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # cells run over several batches
+    rng = np.random.default_rng(6)
+    place = lambda n, w: [tuple(p) for p in np.round(rng.uniform(-w, w, (n, 2)), 1)]
+    pts = [("a", p) for p in place(300, 1500)] + [("a", p) for p in place(200, 20)] + [("b", p) for p in place(6, 30000)] + [("a", (5.0, 5.0))] * 3
+    src = [("a", p) for p in place(150, 2500)] + [("b", p) for p in place(30, 30000)] + [("a", (5.0, 5.0))] * 50
+    try:
+        assert nearest_of(spark, src, pts) == nearest_by_hand(src, pts)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+@pytest.mark.parametrize("grids", [[], [(500.0, 16, 1)], [(10.0, 1, 30), (5_000.0, 2, 4)]])
+def test_nearest_point_is_the_same_by_any_grids(spark, monkeypatch, grids):
+    monkeypatch.setattr(SP, "GRIDS", grids)
+    rng = np.random.default_rng(7)
+    pts = [("a", tuple(p)) for p in np.round(np.concatenate([rng.normal(0, 3, (60, 2)), rng.uniform(-4000, 4000, (40, 2))]), 1)]
+    src = [("a", tuple(p)) for p in np.round(np.concatenate([rng.normal(0, 30, (40, 2)), rng.uniform(-9000, 9000, (20, 2))]), 1)]
+    assert nearest_of(spark, src, pts) == nearest_by_hand(src, pts)
+
+
 def test_exact_quantiles_on_skewed_values(spark):
     rng = np.random.default_rng(5)
     values = list(np.concatenate([np.exp(rng.normal(0, 6, 500)), np.zeros(300)]))
