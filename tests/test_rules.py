@@ -226,6 +226,14 @@ def test_nearest_point_meets_sources_in_their_own_cells(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
 
 
+def test_nearest_point_does_not_search_for_kinds_without_points(spark, monkeypatch):
+    seen, by_cells = [], SP._by_cells
+    monkeypatch.setattr(SP, "_by_cells", lambda left, *a: seen.append(left.count()) or by_cells(left, *a))
+    points = spark.createDataFrame([(1, "a", 0.0, 0.0)], "point_id long, kind string, x double, y double")
+    sources = spark.createDataFrame([(1, "a", 3.0, 4.0), (1, "b", 3.0, 4.0), (2, None, 3.0, 4.0)], "source_id long, kind string, x double, y double")
+    assert [tuple(r) for r in SP.nearest_point(sources, points).collect()] == [(1, "a", 1, 5.0)] and seen == [1]
+
+
 @pytest.mark.parametrize("grids", [[], [(500.0, 16, 1)], [(10.0, 1, 30), (5_000.0, 2, 4)]])
 def test_nearest_point_is_the_same_by_any_grids(spark, monkeypatch, grids):
     monkeypatch.setattr(SP, "GRIDS", grids)
