@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.util import inheritable_thread_target
 
 from wastelake.functions import hashing as H
-from wastelake.operators.model import metrics as M
+from wastelake.operators.model import forest as FO, metrics as M
 from wastelake.operators.model.sampling import bottom_k
 from wastelake.session import materialize
 
@@ -74,6 +74,7 @@ def encoding_stages(numeric: list[str], categorical: list[str]) -> list:
 class FillModel:
     preparation: Preparation
     pipeline: PipelineModel
+    forest: FO.Forest | None = None
 
 
 def with_class_weights(train: DataFrame) -> DataFrame:
@@ -104,17 +105,22 @@ def labelled(train: DataFrame) -> DataFrame:
 
 
 def fit(kind: str, train: DataFrame, numeric: list[str], categorical: list[str], balanced: bool = True, **params) -> FillModel:
-    """Preparation plus a forest or a multinomial logistic regression, class-weighted on demand; needs all five classes."""
-    rows, model = labelled(train), estimator(kind, balanced, **params)
+    """Preparation plus a forest (`forest.fit`) or a multinomial logistic regression, class-weighted on demand; needs all five classes."""
+    rows, stages = labelled(train), encoding_stages(numeric, categorical)
     preparation = prepare(rows, numeric, categorical)
-    ready = with_class_weights(preparation.apply(rows))
-    return FillModel(preparation, Pipeline(stages=[*encoding_stages(numeric, categorical), model]).fit(ready))
+    if kind == "random_forest":
+        indexer = Pipeline(stages=stages[:1]).fit(preparation.apply(rows))
+        sizes = [len(labels) + 1 for labels in indexer.stages[0].labelsArray]
+        return FillModel(preparation, indexer, FO.fit(indexer.transform(preparation.apply(rows)), numeric, categorical, sizes, balanced, **params))
+    return FillModel(preparation, Pipeline(stages=[*stages, estimator(kind, balanced, **params)]).fit(with_class_weights(preparation.apply(rows))))
 
 
 def predict(model: FillModel, rows: DataFrame) -> DataFrame:
     """Rows with a five-class probability array and the derived class and flag."""
     keep = [F.col(f"`{c}`") for c in rows.columns]
     out = model.pipeline.transform(model.preparation.apply(rows))
+    if model.forest:
+        return M.scored(model.forest.probabilities(out, rows.schema))
     return M.scored(out.withColumn("probabilities", vector_to_array("probability")).select(*keep, "probabilities"))
 
 
@@ -227,6 +233,5 @@ def encoded_importances(model: FillModel, numeric: list[str], categorical: list[
     encoded = [(f"{c}", c) for c in numeric] + [(f"{c}_missing", c) for c in numeric]
     for c in categorical:
         encoded += [(f"{c}={i}", c) for i in range(sizes[c])]
-    values = model.pipeline.stages[-1].featureImportances.toArray()
-    rows = [(name, feature, float(v)) for (name, feature), v in zip(encoded, values)]
+    rows = [(name, feature, float(v)) for (name, feature), v in zip(encoded, model.forest.importances, strict=True)]
     return spark.createDataFrame(rows, "encoded string, feature string, importance double")
