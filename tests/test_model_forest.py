@@ -38,7 +38,8 @@ def test_branches_obey_depth_and_least_rows(spark, monkeypatch):
     monkeypatch.setattr(FO, "BRANCH_ROWS", 300)
     rows = made(spark)
     model = T.fit("random_forest", rows, NUM, CAT, **PARAMS)
-    ready = model.pipeline.transform(model.preparation.apply(rows)).select(F.xxhash64("bin_id", "date").alias("h"), "fill_level", *FO._inputs(NUM, CAT)).toArrow().combine_chunks().to_batches()[0]
+    first = F.xxhash64(F.xxhash64("bin_id", "date", "label", *FO._inputs(NUM, CAT)), F.lit(1))
+    ready = model.pipeline.transform(model.preparation.apply(rows)).select(first.alias("h"), "fill_level", *FO._inputs(NUM, CAT)).toArrow().combine_chunks().to_batches()[0]
     s = model.forest.settings
     codes, h, y = s.codes(ready, NUM, CAT), ready.column("h").to_numpy().view(np.uint64), ready.column("fill_level").to_numpy()
     for t, tree in enumerate(whole(model)):
@@ -53,6 +54,18 @@ def test_branches_obey_depth_and_least_rows(spark, monkeypatch):
             assert np.allclose(tree.share[leaf], s.shares(own), atol=1e-6)
 
 
+def test_equal_rows_are_drawn_one_by_one(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(FO, "materialize", lambda df, name: seen.append(df) or (_ for _ in ()).throw(StopIteration))
+    rows = made(spark, 300)
+    ready = T.prepare(rows, NUM, CAT).apply(rows.unionByName(rows)).withColumn("c_index", F.lit(0.0))
+    try:
+        FO.fit(ready, NUM, CAT, [1], **{**PARAMS})
+    except StopIteration:
+        pass
+    assert seen[0].select("h").distinct().count() == 600
+
+
 def test_learns_as_well_as_the_forest_of_spark(spark, monkeypatch):
     monkeypatch.setattr(FO, "BRANCH_ROWS", 800)
     rows = made(spark).cache()

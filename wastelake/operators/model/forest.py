@@ -12,7 +12,7 @@ from math import ceil, exp, factorial, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from wastelake.functions import hashing as H
 from wastelake.session import materialize, spread
@@ -307,7 +307,9 @@ def cuts_of(rows: DataFrame, numeric: list[str]) -> list[np.ndarray]:
 
 def fit(rows: DataFrame, numeric: list[str], categorical: list[str], sizes: list[int], balanced: bool, numTrees: int, maxDepth: int, minInstancesPerNode: int, subsamplingRate: float) -> Forest:  # noqa: N803  Spark ML's names
     """rows: bin_id, date, label and per input a filled number and a missing mark, or an index below the category's size."""
-    rows = materialize(rows.select(F.xxhash64("bin_id", "date").alias("h"), F.col("label").cast("int").alias("y"), *_inputs(numeric, categorical)), "indexed")
+    h, copy = F.xxhash64("bin_id", "date", "label", *_inputs(numeric, categorical)), F.row_number().over(W.partitionBy("h").orderBy("h"))
+    rows = rows.withColumn("h", h).withColumn("h", F.xxhash64("h", copy))  # equal rows are drawn one by one
+    rows = materialize(rows.select("h", F.col("label").cast("int").alias("y"), *_inputs(numeric, categorical)), "indexed")
     by_class = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(by_class.values())
     weights = np.array([total / (len(by_class) * by_class[c]) if balanced and c in by_class else 1.0 for c in range(CLASSES)])
