@@ -82,3 +82,15 @@ def test_learns_as_well_as_the_forest_of_spark(spark, monkeypatch):
     plain = RandomForestClassifier(labelCol="label", weightCol="class_weight", seed=1, **{k: v for k, v in params.items() if k != "balanced"}).fit(T.with_class_weights(vectors(train)))
     theirs = right(T.M.scored(plain.transform(vectors(test)).withColumn("probabilities", vector_to_array("probability"))))
     assert ours > 0.6 and ours > theirs - 0.04, (ours, theirs)
+
+
+def test_moved_columns_are_scored_together(spark, monkeypatch):
+    rows = made(spark, 1500).withColumn("a", F.when(F.col("bin_id") % 7 > 0, F.col("a")))
+    model = T.fit("random_forest", rows, NUM, CAT, **PARAMS)
+    columns = ["c", "a", "b", "bin_size"]  # the last is no input
+    rows = rows.withColumn("bin_size", F.col("bin_id") % 3)
+    key = lambda df: sorted((r["feature"], r["fill_level"], *r["probabilities"]) for r in df.collect())
+    one_by_one = key(T.predict(model, T.permuted(rows, columns, 1)))
+    monkeypatch.setattr(T, "permuted", None)  # no row per column
+    assert key(T.permuted_scores(model, rows, columns, 1)) == one_by_one
+    assert T.permutation_importance(model, rows, columns, 1).count() == 4

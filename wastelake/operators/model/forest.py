@@ -22,7 +22,10 @@ CLASSES = 5
 BINS = 32
 #: Drawn rows of a node up to which one task grows the rest of its branch; rows a task packs at a time; trees of one broadcast.
 BRANCH_ROWS, PACK_ROWS, TREES = 40_000, 100_000, 10
+#: Rows times columns with a moved value scored at a time; rows of a node from which its columns are counted one by one; nodes split at a time.
+MOVED_ROWS, NODE_ROWS, SPLIT_NODES = 40_000, 500, 64
 TREE = "feature binary, cut binary, left binary, share binary"
+OWN = "own_"  # before the inputs a row had before values changed places
 
 
 @dataclass(frozen=True)
@@ -45,8 +48,8 @@ class Settings:
     def tried(self) -> int:
         return ceil(sqrt(len(self.inputs))) if self.trees > 1 else len(self.inputs)
 
-    def codes(self, batch: pa.RecordBatch, numeric: list[str], categorical: list[str]) -> np.ndarray:
-        column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+    def codes(self, batch: pa.RecordBatch, numeric: list[str], categorical: list[str], before: str = "") -> np.ndarray:
+        column = lambda c: batch.column(batch.schema.get_field_index(f"{before}{c}")).to_numpy(zero_copy_only=False)
         parts = [np.searchsorted(cuts, column(f"{c}_filled")) for c, cuts in zip(numeric, self.cuts, strict=True)]
         parts += [column(f"{c}_missing") for c in numeric] + [column(f"{c}_index") for c in categorical]
         return np.column_stack([p.astype(np.uint16) for p in parts])
@@ -70,27 +73,43 @@ class Settings:
 
     def counts(self, codes: np.ndarray, y: np.ndarray, n: np.ndarray, node: np.ndarray, subset: np.ndarray) -> np.ndarray:
         """Drawn rows by node, tried column, bin and class."""
-        shape = (*subset.shape, BINS, CLASSES)
-        size = BINS * CLASSES
-        out = np.zeros(shape[0] * shape[1] * size)
-        for k in range(shape[1]):
-            at = (node * shape[1] + k) * size + self.bins(codes, subset[node, k]).astype(np.int64) * CLASSES + y
-            out += np.bincount(at, weights=n, minlength=len(out))
-        return out.reshape(shape)
+        nodes, tried = subset.shape
+        out = np.zeros((CLASSES, nodes, tried, BINS))
+        if len(node) < NODE_ROWS * nodes:
+            first, start, flat = (y * nodes + node) * BINS, np.arange(len(codes)) * codes.shape[1], codes.ravel()
+            for k in range(tried):
+                asked, value = self.inputs[subset[:, k]], self.values[subset[:, k]]
+                code, value = flat.take(start + asked.take(node)), value.take(node)
+                at = first + np.where(value < 0, code, code == value)
+                out[:, :, k] = np.bincount(at, weights=n, minlength=CLASSES * nodes * BINS).reshape(CLASSES, nodes, BINS)
+        else:
+            order = np.argsort(node, kind="stable")
+            codes, first, n, ends = codes[order], y[order] * BINS, n[order], np.cumsum(np.bincount(node, minlength=nodes))
+            for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
+                for k, column in enumerate(subset[i]):
+                    code, value = codes[a:b, self.inputs[column]], self.values[column]
+                    at = first[a:b] + (code if value < 0 else code == value)
+                    out[:, i, k] = np.bincount(at, weights=n[a:b], minlength=CLASSES * BINS).reshape(CLASSES, BINS)
+        return np.moveaxis(out, 0, -1)
 
     def best(self, counts: np.ndarray, subset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per node the split of largest Gini gain: encoded column, cut, gain times weight (0: no split), class counts to its left."""
-        left = counts.cumsum(2)[:, :, :-1]
-        total = counts[:, 0].sum(1)
-        right = total[:, None, None] - left
-        valid = (left.sum(-1) >= self.least) & (right.sum(-1) >= self.least)
-        w = total * self.class_weights
-        pure = lambda c: (c * c).sum(-1) / np.maximum(c.sum(-1), 1e-300)
-        gain = np.where(valid, pure(left * self.class_weights) + pure(right * self.class_weights) - pure(w)[:, None, None], 0.0).reshape(len(total), -1)
-        at, i = gain.argmax(1), np.arange(len(total))
+        if len(counts) > SPLIT_NODES:
+            parts = [self.best(counts[i : i + SPLIT_NODES], subset[i : i + SPLIT_NODES]) for i in range(0, len(counts), SPLIT_NODES)]
+            return tuple(map(np.concatenate, zip(*parts)))
+        counts = np.ascontiguousarray(np.moveaxis(counts, -1, 0))  # by class: sums over classes are sums of arrays
+        left = counts.cumsum(3)[..., :-1]
+        total = counts[:, :, 0].sum(2)
+        right = total[:, :, None, None] - left
+        valid = (left.sum(0) >= self.least) & (right.sum(0) >= self.least)
+        weights = self.class_weights[:, None]
+        w = total * weights
+        pure = lambda c: (c * c).sum(0) / np.maximum(c.sum(0), 1e-300)
+        gain = np.where(valid, pure(left * weights[..., None, None]) + pure(right * weights[..., None, None]) - pure(w)[:, None, None], 0.0).reshape(total.shape[1], -1)
+        at, i = gain.argmax(1), np.arange(total.shape[1])
         gain = gain[i, at]
         k, cut = np.divmod(at, BINS - 1)
-        return subset[i, k], cut, np.where(gain > 1e-12 * w.sum(1), gain, 0.0), left.reshape(len(total), -1, CLASSES)[i, at]
+        return subset[i, k], cut, np.where(gain > 1e-12 * w.sum(0), gain, 0.0), left.reshape(CLASSES, len(gain), -1)[:, i, at].T
 
     def shares(self, counts: np.ndarray) -> np.ndarray:
         w = counts * self.class_weights
@@ -106,6 +125,7 @@ class Tree:
     left: np.ndarray
     share: np.ndarray
     _steps: np.ndarray | None = None
+    _asked: np.ndarray | None = None
 
     @staticmethod
     def of(feature: bytes, cut: bytes, left: bytes, share: bytes) -> Tree:
@@ -114,9 +134,10 @@ class Tree:
     def parts(self) -> tuple[bytes, bytes, bytes, bytes]:
         return self.feature.astype(np.int32).tobytes(), self.cut.astype(np.int16).tobytes(), self.left.astype(np.int32).tobytes(), self.share.astype(np.float32).tobytes()
 
-    def ends(self, codes: np.ndarray, settings: Settings) -> np.ndarray:
-        """The leaf of each row."""
-        steps, codes, start = self._walk(settings), codes.ravel(), np.arange(len(codes)) * codes.shape[1]
+    def ends(self, codes: np.ndarray, settings: Settings, rows: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of each row, or of the rows named."""
+        start = (np.arange(len(codes)) if rows is None else rows) * codes.shape[1]
+        steps, codes = self._walk(settings), codes.ravel()
         at = np.zeros(len(start), np.int32)
         while True:
             step = steps.take(at, axis=0)
@@ -135,6 +156,18 @@ class Tree:
             self._steps = np.column_stack([settings.inputs[self.feature], first, further, np.where(leaf, np.arange(len(leaf)), self.left)]).astype(np.int32)
         return self._steps
 
+    def asked(self, settings: Settings, place: np.ndarray, columns: int) -> np.ndarray:
+        """Per node, which columns the way to it asks; `place` names the column of each input (-1: none)."""
+        if self._asked is None:
+            self._asked, nodes = np.zeros((len(self.feature), columns + 1), bool), np.zeros(1, int)
+            while len(nodes := nodes[self.feature[nodes] >= 0]):
+                here = self._asked[nodes]
+                here[np.arange(len(nodes)), place[settings.inputs[self.feature[nodes]]]] = True
+                for child in (self.left[nodes], self.left[nodes] + 1):
+                    self._asked[child] = here
+                nodes = np.concatenate([self.left[nodes], self.left[nodes] + 1])
+        return self._asked
+
     def with_branches(self, branches: dict[int, Tree]) -> Tree:
         """Each branch in the place of the leaf it grows from."""
         feature, cut, left, share = ([a.copy()] for a in (self.feature, self.cut, self.left, self.share))
@@ -289,6 +322,43 @@ class Forest:
         schema = T.StructType([*kept.fields, T.StructField("probabilities", T.ArrayType(T.DoubleType()))])
         return spread(rows.select(*[f"`{c}`" for c in names], *inputs)).mapInArrow(run, schema)
 
+    def moved_probabilities(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """Per row and column the fill level and five class probabilities when this column alone has its moved value.
+
+        rows: fill_level, the inputs, and the row's own inputs after `OWN`. A tree is walked once a row, and again only for a
+        column whose moved value has another code and that the way to the row's leaf asks.
+        """
+        settings, trees, numeric, categorical = self.settings, self.trees, self.numeric, self.categorical
+        k, named = len(columns), [*numeric, *numeric, *categorical]
+        place, size = np.array([columns.index(c) if c in columns else k for c in named]), max(1, MOVED_ROWS // k)
+
+        def run(batches):
+            for whole in batches:
+                for i in range(0, whole.num_rows, size):
+                    batch = whole.slice(i, size)
+                    own, moved = settings.codes(batch, numeric, categorical, OWN), settings.codes(batch, numeric, categorical)
+                    other = np.zeros((k + 1, len(own)), bool)
+                    for j, differs in zip(place, (own != moved).T):
+                        other[j] |= differs
+                    column, row = np.nonzero(other[:k])
+                    codes = np.where(place == column[:, None], moved[row], own[row])
+                    total = np.zeros((k, len(own), CLASSES))
+                    for part in trees:
+                        for tree in part.value:
+                            end = tree.ends(own, settings)
+                            again = np.flatnonzero(tree.asked(settings, place, k)[end[row], column])
+                            ends = np.tile(end, (k, 1))
+                            ends[column[again], row[again]] = tree.ends(codes, settings, again)
+                            total += tree.share.take(ends, axis=0)
+                    total /= np.maximum(total.sum(2, keepdims=True), 1e-300)
+                    found = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, CLASSES), pa.int32()), pa.array(total.ravel()))
+                    level = batch.column(batch.schema.get_field_index("fill_level")).take(pa.array(np.tile(np.arange(len(own)), k)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(columns, len(own)), pa.string()), level, found], names=["feature", "fill_level", "probabilities"])
+
+        inputs = _inputs(numeric, categorical)
+        schema = T.StructType([T.StructField("feature", T.StringType()), rows.schema["fill_level"], T.StructField("probabilities", T.ArrayType(T.DoubleType()))])
+        return spread(rows.select("fill_level", *inputs, *[f"{OWN}{c}" for c in inputs])).mapInArrow(run, schema)
+
 
 def _inputs(numeric: list[str], categorical: list[str]) -> list[str]:
     return [*(f"{c}_filled" for c in numeric), *(f"{c}_missing" for c in numeric), *(f"{c}_index" for c in categorical)]

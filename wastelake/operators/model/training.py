@@ -115,10 +115,15 @@ def fit(kind: str, train: DataFrame, numeric: list[str], categorical: list[str],
     return FillModel(preparation, Pipeline(stages=[*stages, estimator(kind, balanced, **params)]).fit(with_class_weights(preparation.apply(rows))))
 
 
+def ready(model: FillModel, rows: DataFrame) -> DataFrame:
+    """Rows with their prepared inputs."""
+    return model.pipeline.transform(model.preparation.apply(rows))
+
+
 def predict(model: FillModel, rows: DataFrame) -> DataFrame:
     """Rows with a five-class probability array and the derived class and flag."""
     keep = [F.col(f"`{c}`") for c in rows.columns]
-    out = model.pipeline.transform(model.preparation.apply(rows))
+    out = ready(model, rows)
     if model.forest:
         return M.scored(model.forest.probabilities(out, rows.schema))
     return M.scored(out.withColumn("probabilities", vector_to_array("probability")).select(*keep, "probabilities"))
@@ -201,8 +206,8 @@ def temporal_grid_search(rows: DataFrame, grids: dict[str, dict[str, list]], fol
 PERMUTATION_BLOCK = 10_000
 
 
-def permuted(rows: DataFrame, columns: list[str], repeat: int, block: int = PERMUTATION_BLOCK) -> DataFrame:
-    """Each row once per column with that column's value from another row: the next in hash order, cyclic in blocks.
+def with_moved(rows: DataFrame, columns: list[str], repeat: int, block: int = PERMUTATION_BLOCK) -> DataFrame:
+    """Each row with the columns of another row, `_moved`: the next in hash order, cyclic in blocks.
 
     Blocks are ranges of the hash, as many as give about `block` rows each.
     """
@@ -211,9 +216,25 @@ def permuted(rows: DataFrame, columns: list[str], repeat: int, block: int = PERM
     w = W.partitionBy("_block").orderBy("_order", "bin_id", "date")
     everything = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     boxed = rows.withColumns({"_order": order, "_own": F.struct(*columns)}).withColumn("_block", F.floor(F.col("_order") * n))
-    moved = boxed.withColumn("_moved", F.coalesce(F.lead("_own").over(w), F.first("_own").over(everything))).withColumn("feature", F.explode(F.array(*map(F.lit, columns))))
+    return boxed.withColumn("_moved", F.coalesce(F.lead("_own").over(w), F.first("_own").over(everything))).drop("_order", "_block")
+
+
+def permuted(rows: DataFrame, columns: list[str], repeat: int, block: int = PERMUTATION_BLOCK) -> DataFrame:
+    """Each row once per column with that column's value from another row, the one `with_moved` names."""
+    moved = with_moved(rows, columns, repeat, block).withColumn("feature", F.explode(F.array(*map(F.lit, columns))))
     swapped = {c: F.when(F.col("feature") == c, F.col("_moved")[c]).otherwise(F.col("_own")[c]) for c in columns}
-    return moved.withColumns(swapped).drop("_order", "_own", "_block", "_moved")
+    return moved.withColumns(swapped).drop("_own", "_moved")
+
+
+def permuted_scores(model: FillModel, rows: DataFrame, columns: list[str], repeat: int) -> DataFrame:
+    """Fill level and probabilities of each row once per column that changed places; a forest scores all columns of a row together."""
+    if not model.forest:
+        return predict(model, permuted(rows, columns, repeat))
+    inputs = FO._inputs(model.forest.numeric, model.forest.categorical)
+    values = [*model.forest.numeric, *model.forest.categorical]
+    own = ready(model, with_moved(rows, values, repeat)).select("fill_level", "_moved", *[F.col(c).alias(f"{FO.OWN}{c}") for c in inputs])
+    moved = ready(model, own.select("fill_level", "_moved.*", *[f"{FO.OWN}{c}" for c in inputs]))
+    return model.forest.moved_probabilities(moved, columns)
 
 
 def permutation_importance(model: FillModel, rows: DataFrame, columns: list[str], repeats: int = 3) -> DataFrame:
@@ -222,7 +243,7 @@ def permutation_importance(model: FillModel, rows: DataFrame, columns: list[str]
     base = selection_score(predict(model, labeled))
     parts = []
     for r in range(repeats):
-        cells = M.counts(predict(model, permuted(labeled, columns, r)), ["feature"], threshold=0.5)
+        cells = M.counts(permuted_scores(model, labeled, columns, r), ["feature"], threshold=0.5)
         parts.append(M.binary_metrics(cells, ["feature"]).select("feature", (F.lit(base) - F.col("f1")).alias("loss")))
     return reduce(DataFrame.unionByName, parts).groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_pop("loss").alias("std"))
 
