@@ -94,3 +94,15 @@ def test_moved_columns_are_scored_together(spark, monkeypatch):
     monkeypatch.setattr(T, "permuted", None)  # no row per column
     assert key(T.permuted_scores(model, rows, columns, 1)) == one_by_one
     assert T.permutation_importance(model, rows, columns, 1).count() == 4
+
+
+def test_split_nodes_are_held_a_few_at_a_time(monkeypatch):
+    r = np.random.default_rng(3)
+    s = FO.Settings([], np.array([0, 1, 2, 2, 2]), np.array([-1, -1, 0, 1, 2]), np.ones(5), 8, 9, 2, 0.7)
+    codes, y, n = r.integers(0, [32, 8, 3], (3000, 3)).astype(np.uint16), r.integers(0, 5, 3000), r.integers(1, 3, 3000).astype(float)
+    tree, gains = FO.grown(s, codes, y, n, 0, 1)
+    held, counts = [], FO.Settings.counts
+    monkeypatch.setattr(FO, "COUNT_NODES", 5)
+    monkeypatch.setattr(FO.Settings, "counts", lambda *a: held.append(len(a[-1])) or counts(*a))
+    again, gains_again = FO.grown(s, codes, y, n, 0, 1)
+    assert tree.parts() == again.parts() and (gains == gains_again).all() and max(held) == 5 and len(tree.feature) > 100

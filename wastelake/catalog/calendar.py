@@ -51,8 +51,8 @@ def holidays(spark):
     return D.holiday_calendar(spark, 2023, 2025)
 
 
-def enriched(spark, sf):
-    return O.enriched_days(S.bin_days(spark, sf), holidays(spark).where(F.col("date") >= F.lit(START)))
+def enriched(spark, sf, days=None):
+    return O.enriched_days(S.bin_days(spark, sf) if days is None else days, holidays(spark).where(F.col("date") >= F.lit(START)))
 
 
 @BOOK.add("bin_day_grid", """
@@ -239,10 +239,11 @@ def _(spark, sf):
     return next_day(spark, sf)
 
 
-def next_day(spark, sf, day_counters=None, end=END):
+def next_day(spark, sf, day_counters=None, end=END, days=None):
     """Next-day features where a fifth of the bins have their last ten days a year too early, so they end in a gap."""
     early = (F.col("bin_id") % 5 == 0) & (F.col("date") > F.lit(date(2024, 6, 20)))
-    hist = S.bin_days(spark, sf).withColumn("date", F.when(early, F.date_sub("date", 365)).otherwise(F.col("date")))
+    days = S.bin_days(spark, sf) if days is None else days
+    hist = days.withColumn("date", F.when(early, F.date_sub("date", 365)).otherwise(F.col("date")))
     return O.next_day_features(hist, S.bins(spark, sf), end, S.district_aliases(spark, sf), holidays(spark), S.bin_population(spark, sf), day_counters)
 
 

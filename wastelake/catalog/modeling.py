@@ -14,6 +14,7 @@ from wastelake.catalog.views import u
 from wastelake.functions import hashing as H
 from wastelake.operators import registry as R, series as SE
 from wastelake.operators.model import calibration as CA, metrics as M, profile as P, sampling as SA, training as T
+from wastelake.session import materialize
 from wastelake.sources import tables as S
 
 BOOK = Book()
@@ -212,8 +213,8 @@ PV = {**CC.V, "pdays": "select *, " + CC.SPLIT + " as split from enr"}
 DIMS = ["collection_status", "fill_level", "site_id", "waste_type", "sub_district", "object_group", "population_cell_id", "qr_alerts"]
 
 
-def enriched(spark, sf):
-    return CC.enriched(spark, sf)
+def enriched(spark, sf, days=None):
+    return CC.enriched(spark, sf, days)
 
 
 def split_days(spark, sf):
@@ -383,14 +384,12 @@ GRIDS = {
 }
 
 
-def matrix(spark, sf):
-    from wastelake.session import materialize
+def matrix(spark, sf, days=None):
+    return materialize(SE.feature_matrix(enriched(spark, sf, days), S.bins(spark, sf), S.district_aliases(spark, sf)), "features")
 
-    return materialize(SE.feature_matrix(enriched(spark, sf), S.bins(spark, sf), S.district_aliases(spark, sf)), "features")
 
-
-def fitted(spark, sf, kind="random_forest", **params):
-    rows = matrix(spark, sf)
+def fitted(spark, sf, kind="random_forest", days=None, **params):
+    rows = matrix(spark, sf, days)
     return rows, T.fit(kind, rows.where(F.col("date") <= F.lit(CUT)), NUM, CAT, **(params or FOREST))
 
 
@@ -485,9 +484,11 @@ FORECAST_DAYS = 3
 @BOOK.add("predict_registry_days")
 def _(spark, sf):
     """Forecasts of every registry bin for each day of a range, each from the history up to the day before."""
-    _, model = fitted(spark, sf)
+    days = materialize(S.bin_days(spark, sf), "days")  # read by the fit and for each day
+    _, model = fitted(spark, sf, days=days)
     ends = [CC.END - timedelta(days=k) for k in range(FORECAST_DAYS)]
-    return reduce(DataFrame.unionByName, [T.predict(model, CC.next_day(spark, sf, end=end)) for end in ends]).select("bin_id", "date", "predicted_fill_level", "needs_collection_probability")
+    inputs = reduce(DataFrame.unionByName, [CC.next_day(spark, sf, end=end, days=days) for end in ends])
+    return T.predict(model, inputs).select("bin_id", "date", "predicted_fill_level", "needs_collection_probability")
 
 
 @BOOK.add("predict_registry_days_audit", f"select d as date, count(*) as bins, count(*) as forecasts from bins, (select unnest(generate_series(date '2024-07-01' - {FORECAST_DAYS - 1}, date '2024-07-01', interval 1 day))::date as d) group by 1")

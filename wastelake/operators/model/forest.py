@@ -21,9 +21,9 @@ CLASSES = 5
 #: Cuts of a number, as quantiles of the training rows; numbers with fewer values are cut between all of them.
 BINS = 32
 #: Drawn rows of a node up to which one task grows the rest of its branch; rows a task packs at a time; trees of one broadcast.
-BRANCH_ROWS, PACK_ROWS, TREES = 40_000, 100_000, 10
-#: Rows times columns with a moved value scored at a time; rows of a node from which its columns are counted one by one; nodes split at a time.
-MOVED_ROWS, NODE_ROWS, SPLIT_NODES = 40_000, 500, 64
+BRANCH_ROWS, PACK_ROWS, TREES = 160_000, 100_000, 10
+#: Rows times columns with a moved value scored at a time; rows of a node from which its columns are counted one by one; nodes counted and split at a time.
+MOVED_ROWS, NODE_ROWS, COUNT_NODES, SPLIT_NODES = 40_000, 500, 1_024, 64
 TREE = "feature binary, cut binary, left binary, share binary"
 OWN = "own_"  # before the inputs a row had before values changed places
 
@@ -111,6 +111,17 @@ class Settings:
         k, cut = np.divmod(at, BINS - 1)
         return subset[i, k], cut, np.where(gain > 1e-12 * w.sum(0), gain, 0.0), left.reshape(CLASSES, len(gain), -1)[:, i, at].T
 
+    def splits(self, codes: np.ndarray, y: np.ndarray, n: np.ndarray, node: np.ndarray, subset: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Encoded column, cut and gain of each node from its rows, `COUNT_NODES` nodes at a time, whose counts are held."""
+        if len(subset) <= COUNT_NODES:
+            return self.best(self.counts(codes, y, n, node, subset), subset)[:3]
+        order, parts = np.argsort(node, kind="stable"), []
+        ends = np.searchsorted(node[order], np.arange(0, len(subset) + COUNT_NODES, COUNT_NODES))
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            rows, of = order[a:b], subset[i * COUNT_NODES : (i + 1) * COUNT_NODES]
+            parts.append(self.best(self.counts(codes[rows], y[rows], n[rows], node[rows] - i * COUNT_NODES, of), of)[:3])
+        return tuple(map(np.concatenate, zip(*parts)))
+
     def shares(self, counts: np.ndarray) -> np.ndarray:
         w = counts * self.class_weights
         return (w / np.maximum(w.sum(-1, keepdims=True), 1e-300)).astype(np.float32)
@@ -196,7 +207,7 @@ def grown(settings: Settings, codes: np.ndarray, y: np.ndarray, n: np.ndarray, d
         keep = place[node] >= 0
         codes, y, n, node = codes[keep], y[keep], n[keep], place[node[keep]]
         subset = settings.subset(len(open_), *seed, depth)
-        chosen, cuts, gain, _ = settings.best(settings.counts(codes, y, n, node, subset), subset)
+        chosen, cuts, gain = settings.splits(codes, y, n, node, subset)
         np.add.at(gains, chosen, gain)
         split = np.flatnonzero(gain > 0)
         child = np.full(len(open_), -1)
@@ -402,7 +413,7 @@ def fit(rows: DataFrame, numeric: list[str], categorical: list[str], sizes: list
     while any(open_):
         level = spark.sparkContext.broadcast((trees, open_))
         counted = data.mapInArrow(_of(level, settings, _level), "tree int, node int, counts binary")
-        splits = counted.groupBy("tree", "node").applyInPandas(_split(settings), "tree int, node int, feature int, cut int, gain double, below array<double>, above array<double>").collect()
+        splits = spread(counted, "tree", "node").groupBy("tree", "node").applyInPandas(_split(settings), "tree int, node int, feature int, cut int, gain double, below array<double>, above array<double>").collect()
         after: list[dict[int, int]] = [{} for _ in trees]
         for s in sorted(splits, key=lambda s: (s["tree"], s["node"])):
             t, k, sides = s["tree"], s["node"], np.array([s["below"], s["above"]])
