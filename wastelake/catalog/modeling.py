@@ -213,8 +213,8 @@ PV = {**CC.V, "pdays": "select *, " + CC.SPLIT + " as split from enr"}
 DIMS = ["collection_status", "fill_level", "site_id", "waste_type", "sub_district", "object_group", "population_cell_id", "qr_alerts"]
 
 
-def enriched(spark, sf, days=None):
-    return CC.enriched(spark, sf, days)
+def enriched(spark, sf):
+    return CC.enriched(spark, sf)
 
 
 def split_days(spark, sf):
@@ -384,12 +384,12 @@ GRIDS = {
 }
 
 
-def matrix(spark, sf, days=None):
-    return materialize(SE.feature_matrix(enriched(spark, sf, days), S.bins(spark, sf), S.district_aliases(spark, sf)), "features")
+def matrix(spark, sf):
+    return materialize(SE.feature_matrix(enriched(spark, sf), S.bins(spark, sf), S.district_aliases(spark, sf)), "features")
 
 
-def fitted(spark, sf, kind="random_forest", days=None, **params):
-    rows = matrix(spark, sf, days)
+def fitted(spark, sf, kind="random_forest", **params):
+    rows = matrix(spark, sf)
     return rows, T.fit(kind, rows.where(F.col("date") <= F.lit(CUT)), NUM, CAT, **(params or FOREST))
 
 
@@ -484,8 +484,8 @@ FORECAST_DAYS = 3
 @BOOK.add("predict_registry_days")
 def _(spark, sf):
     """Forecasts of every registry bin for each day of a range, each from the history up to the day before."""
-    days = materialize(S.bin_days(spark, sf), "days")  # read by the fit and for each day
-    _, model = fitted(spark, sf, days=days)
+    _, model = fitted(spark, sf)
+    days = materialize(S.bin_days(spark, sf), "days")  # read for each day
     ends = [CC.END - timedelta(days=k) for k in range(FORECAST_DAYS)]
     inputs = reduce(DataFrame.unionByName, [CC.next_day(spark, sf, end=end, days=days) for end in ends])
     return T.predict(model, inputs).select("bin_id", "date", "predicted_fill_level", "needs_collection_probability")
